@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
-from .shared import table
+from . import decontam, token_files
+from .shared import Scratch, table
 
 
 def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, book = token_files.write(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), vocabulary("byte_bpe_50k.json"))
+    return token_files.read(files, book)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
