@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, token_files
+from . import decontam, packing, token_files
 from .shared import Scratch, table
 
 
@@ -25,6 +25,10 @@ def op5_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files, book)
 
 
+def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
