@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, token_files
+from . import decontam, packing, pii, token_files
 from .shared import Scratch, table
 
 
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, book = token_files.write(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), vocabulary("byte_bpe_50k.json"))
     return token_files.read(files, book)
