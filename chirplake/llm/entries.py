@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, token_files
+from . import decontam, packing, pii, quality, token_files
 from .shared import Scratch, table
 
 
@@ -29,6 +29,10 @@ def op5_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(files, book)
 
 
+def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+
+
 def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
