@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .native import placed
 from .shared import id_and_text
 
 
@@ -94,37 +95,9 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-#: Matches that are placed together: appending to an array copies it, so a long list is placed in parts.
-PART = 64
-
-
-def _placed(pairs: Column) -> Column:
-    """(start, end, match) of alternating gaps and matches, by running sums of their lengths."""
-    parts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int"))
-    part = lambda c: F.slice(pairs, c * PART + 1, F.lit(PART))
-    widths = F.transform(parts, lambda c: F.aggregate(part(c), F.lit(0).cast("long"), lambda a, x: a + F.length(x["gap"]) + F.length(x["match"])))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    begins = F.aggregate(widths, zero, lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
-
-    def place(at: Column, c: Column) -> Column:
-        start = F.struct(at.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
-        return F.aggregate(part(c), start, step, lambda s: s["out"])
-
-    placed = F.flatten(F.transform(begins, place))
-    return F.when(F.size(pairs) > 0, placed).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>"))
-
-
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """The confirmed spans of a kind, ascending."""
-    matches, between = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), F.split(text, kind.pattern, -1)
-    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    placed = _placed(pairs)
-    good = F.filter(placed, lambda s: _confirmed(kind.name, s["match"]))
+    good = F.filter(placed(text, kind.pattern), lambda s: _confirmed(kind.name, s["match"]))
 
     def scored(s: Column) -> Column:
         before = F.substr(text, F.greatest(s["start"] - NEARBY, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(NEARBY)).cast("int"))
