@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, pii, quality, token_files
+from . import decontam, licenses, near_dup, packing, pii, quality, token_files
 from .shared import Scratch, table
 
 
@@ -14,6 +14,10 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
