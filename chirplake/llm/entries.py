@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, near_dup, packing, pii, quality, token_files
+from . import byte_dedup, decontam, licenses, near_dup, packing, pii, quality, token_files
 from .shared import Scratch, table
 
 
@@ -18,6 +18,10 @@ def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
