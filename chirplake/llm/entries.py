@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, decontam, licenses, near_dup, packing, pii, quality, token_files
+from . import byte_dedup, decontam, html_main, licenses, near_dup, packing, pii, quality, token_files
 from .shared import Scratch, table
 
 
+def op1_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"), Scratch(spark, "op1"))
+
+
 def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
