@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, decontam, html_main, licenses, near_dup, packing, pii, quality, token_files
+from . import byte_dedup, decontam, html_main, licenses, near_dup, packing, pii, quality, token_files, toxicity
 from .shared import Scratch, table
 
 
@@ -22,6 +22,11 @@ def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_dedup.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
