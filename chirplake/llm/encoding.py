@@ -4,12 +4,19 @@ A byte-pair tokenizer first splits a text into pieces and merges within a piece
 only.  A single space between two non-space characters always begins a piece
 (byte level) or belongs to none (word level), so the ids of a text are those of
 its parts between such spaces.  Each distinct part is encoded once and its ids
-are kept, in a table that is emptied when it gets too large.
+are kept for the life of the worker, in two generations of bounded size: a part
+that is met again while it is in the older one moves to the younger.
+
+A part of Latin letters with punctuation behind it, the usual case, is two
+pieces at most and goes straight to the library's merge model; any other part
+goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,74 +26,142 @@ from . import textbytes as T
 #: A space next to further white space; only there may parts at spaces differ from the library's pieces.
 _RUN = re.compile(r" \s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-KEPT_WORDS, KEPT_CHARS = 300_000, 8_000_000
+#: Letters of Latin-1, then ASCII punctuation without the apostrophe.
+_SIMPLE = re.compile(r"([A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-&(-/:-@\[-`{-~]*)\Z")
+KEPT_WORDS, KEPT_CHARS = 600_000, 16_000_000
+
 
+def _byte_letters() -> dict[int, str]:
+    """The character by which byte-level vocabularies write each byte: itself where printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-class _Numbers(dict):
-    """Numbers of strings in order of their first use; ``new`` gathers the unseen ones."""
 
-    def __init__(self) -> None:
+class _Generation(dict):
+    """Numbers of parts, and their ids one after the other; ``new`` gathers parts that have no ids yet."""
+
+    def __init__(self, older: _Generation | None):
         super().__init__()
-        self.new: list[str] = []
+        self.older, self.new, self.chars = older, [], 0
+        self.pool, self.edge = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
+        self.size = 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
         return n
 
+    def ids(self, part: str) -> list[int] | None:
+        n = self.get(part)
+        return None if n is None else self.pool[self.edge[n] : self.edge[n + 1]].tolist()
+
+    def add(self, ids: list[list[int]]) -> None:
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self.edge[self.size]
+        if ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(int(ends[-1]) - len(self.pool), len(self.pool)), np.uint32)])
+        if self.size + len(ids) + 1 > len(self.edge):
+            self.edge = np.concatenate([self.edge, np.zeros(max(len(ids), len(self.edge)), np.int64)])
+        begin = int(self.edge[self.size])
+        self.pool[begin : int(ends[-1])] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - begin)
+        self.edge[self.size + 1 : self.size + 1 + len(ids)] = ends
+        self.size += len(ids)
+
 
 class Encoder:
-    """``spaced``: the space before a word is part of its first token (byte level); else white space makes no tokens."""
+    """``spaced``: the space before a word is part of its first token (byte level); else white space makes no tokens and letters are lowered."""
+
+    _kept: dict[tuple[str, bool], Encoder] = {}
 
     def __init__(self, path: str, spaced: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced = spaced
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words, self.chars = _Numbers(), 0
-        self.pool, self.used, self.edge = np.zeros(1 << 16, np.uint32), 0, [0]
+        self.spaced, self.words, self.letters = spaced, _Generation(None), _byte_letters()
+        self.merges, self.tails = self.model.model.tokenize, {}
+
+    @classmethod
+    def of(cls, path: str, spaced: bool) -> Encoder:
+        """The worker's encoder for this vocabulary."""
+        if (path, spaced) not in cls._kept:
+            cls._kept[path, spaced] = cls(path, spaced)
+        return cls._kept[path, spaced]
+
+    def _piece(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            letters = self.letters
+            piece = "".join([letters[b] for b in piece.encode()])
+        elif piece[0] == " ":
+            piece = self.letters[32] + piece[1:]
+        return [t.id for t in self.merges(piece)]
+
+    def _part(self, part: str) -> list[int] | None:
+        """The ids of a simple part; None for another."""
+        found = _SIMPLE.match(part)
+        if not found:
+            return None
+        word, tail = found.groups()
+        ids = self._piece(" " + word if self.spaced else word.lower())
+        if tail:
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._piece(tail)
+            ids += self.tails[tail]
+        return ids
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        words, self.words.new = self.words.new, []
-        self.chars += sum(map(len, words))
-        for i in range(0, len(words), 4096):
-            got = [e.ids for e in self.model.encode_batch(words[i : i + 4096], add_special_tokens=False)]
-            flat = np.array([x for ids in got for x in ids], np.uint32)
-            if self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(flat), self.used), np.uint32)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            for ids in got:
-                self.used += len(ids)
-                self.edge.append(self.used)
+        words = self.words
+        new, words.new = words.new, []
+        words.chars += sum(map(len, new))
+        found = [(words.older.ids(p) if words.older else None) or self._part(p) for p in new]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rest, self._whole([self._spelled(new[i]) for i in rest]), strict=True):
+            found[i] = ids
+        words.add(found)
+
+    def _spelled(self, part: str) -> str:
+        """The text that a part stands for: with the space before it, or, marked by a NUL, as the head of a text."""
+        if not self.spaced:
+            return part
+        return part[1:] if part[:1] == "\0" else " " + part
 
     def _parts(self, text: str) -> list[str]:
         if not self.spaced:
             return text.split(" ")
-        return _SAFE.split(text) if _RUN.search(text) else text.split(" ")
+        parts = _SAFE.split(text) if _RUN.search(text) else text.split(" ")
+        parts[0] = "\0" + parts[0]
+        return parts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and each text's number of ids."""
-        if len(self.words) > KEPT_WORDS or self.chars > KEPT_CHARS:
-            self._clear()
-        number, seq, count = self.words.__getitem__, [], []
+        odd = [i for i, t in enumerate(texts) if "\0" in t]
+        if odd:  # NUL marks heads here; such texts go to the library whole
+            cut, out = 0, []
+            for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+                out += [self.encode(texts[cut:i]), (np.array(ids, np.uint32), np.array([len(ids)], np.int64))]
+                cut = i + 1
+            out.append(self.encode(texts[cut:]))
+            return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
+        if len(self.words) > KEPT_WORDS or self.words.chars > KEPT_CHARS:
+            self.words.older = None
+            self.words = _Generation(self.words)
+        seq, count = [], []
         for text in texts:
             parts = self._parts(text)
-            if self.spaced:
-                seq.append(parts[0])
-                seq += [" " + p for p in parts[1:]]
-            else:
-                seq += parts
+            seq += parts
             count.append(len(parts))
-        at = np.fromiter(map(number, seq), np.int64, len(seq))
-        if self.words.new:
+        words = self.words
+        at = np.fromiter(map(words.__getitem__, seq), np.int64, len(seq))
+        if words.new:
             self._learn()
-        edge = np.asarray(self.edge, np.int64)
-        size = edge[at + 1] - edge[at]
-        ids = self.pool[T.ranges(edge[at], size)]
+        size = words.edge[at + 1] - words.edge[at]
+        ids = words.pool[T.ranges(words.edge[at], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(count, dtype=np.int64)] if count else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 

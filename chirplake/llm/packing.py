@@ -119,7 +119,7 @@ def tail_cost(n: int) -> int:
 
 def _pack(path: str, size: int, end_id: int, stops: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, spaced=False)
+        encoder = Encoder.of(path, spaced=False)
         marks = [encoder.model.token_to_id(x) for x in stops]
         stop = np.zeros(encoder.model.get_vocab_size() + 1, bool)
         stop[[m for m in marks if m is not None]] = True

@@ -126,7 +126,7 @@ def _tokenize(path: str, end_id: int):
     """Sorted (doc_id, text) to blocks of whole documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, first, held, docs, sizes, total = Encoder(path, spaced=True), 0, 0, [], [], [], 0
+        encoder, number, first, held, docs, sizes, total = Encoder.of(path, spaced=True), 0, 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:
             ids = np.concatenate(held)
