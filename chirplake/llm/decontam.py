@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as T
@@ -159,16 +160,21 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def find_shared(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """One row per document row: its words, those inside a shared span, and the items found.  ``docs`` has doc_id and text."""
-    spark = docs.sparkSession
+def _slices(spark: SparkSession, benchmark: DataFrame, slice_bytes: int) -> list[Broadcast]:
+    """The benchmark's texts in slices of about ``slice_bytes``, each a broadcast table of item_id and text."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // slice_bytes) or 1
+    parts = [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    return [spark.sparkContext.broadcast(part.toArrow()) for part in parts]
+
+
+def find_shared(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """One row per document row: its words, those inside a shared span, and the items found.  ``docs`` has doc_id and text."""
+    slices = _slices(docs.sparkSession, benchmark, slice_bytes)
+    n = len(slices)
     out = id_and_text(docs).withColumn("spans", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        held = spark.sparkContext.broadcast(part.toArrow())
+    for i, held in enumerate(slices):
 
         def step(batches: Iterator[pa.RecordBatch], held=held, last=i == n - 1) -> Iterator[pa.RecordBatch]:
             prints = Prints(held.value, span, k)
@@ -188,3 +194,18 @@ def find_shared(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int
 
         out = out.mapInArrow(step, SCHEMA if i == n - 1 else "doc_id long, text string, spans array<long>, items array<string>")
     return out
+
+
+def without_hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents, all columns as they are, without those that share a span with an item.  ``docs`` has text."""
+    out = docs
+    for held in _slices(docs.sparkSession, benchmark, slice_bytes):
+
+        def step(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            prints = Prints(held.value, span, k)
+            for batch in batches:
+                _, spans, _ = _scan(batch.column("text"), prints)
+                yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
+
+        out = out.mapInArrow(step, docs.schema)
+    return out

@@ -276,3 +276,13 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     out = signed.select("doc_id", *same).join(named, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns as they are, with one of each group of near duplicates: its smallest doc_id, and one row of that."""
+    found = scratch.write(classes(docs, scratch, k, percent), "classes")
+    out = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
