@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_dedup, decontam, html_main, licenses, near_dup, packing, pii, quality, token_files, toxicity
+from . import byte_dedup, decontam, html_main, licenses, near_dup, oracles, packing, pii, quality, token_files, toxicity
 from .shared import Scratch, table
 
 
@@ -15,11 +15,11 @@ def op1_template_free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.find_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_items", "hit_spans")
 
 
 def op8_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return near_dup.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op8")).drop("copies")
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_dedup.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    return byte_dedup.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op10")).drop("removed")
 
 
 def vocabulary(name: str) -> str:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
