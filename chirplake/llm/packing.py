@@ -38,14 +38,13 @@ from .shared import id_and_text
 SIZE = 2048
 #: In ids of padding: a cut at the end of a sentence, inside a sentence, and a window of a smaller power of two.
 SENTENCE, INSIDE, SMALL = 8, 64, 16
-#: Smaller powers of two only end a partition's stream.
-POWERS = (256, 512, 1024)
 STRETCH = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def places(ends: np.ndarray, sentence: np.ndarray, total: int, gap: int = 256, every: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def places(ends: np.ndarray, sentence: np.ndarray, total: int, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may be (from 0 to total, ascending) and their penalties."""
+    gap, every = max(size // 8, 1), max(size // 32, 1)
     cost = np.full(total + 1, -1, np.int16)
     cost[sentence] = SENTENCE
     cost[ends] = 0
@@ -66,11 +65,11 @@ def plan(at: np.ndarray, cost: np.ndarray, size: int = SIZE, last: bool = True)
     where = np.full(int(at[-1]) + 1, -1, np.int32)
     where[at] = np.arange(n, dtype=np.int32)
     small: dict[int, list[int]] = {}
-    for power in POWERS:
-        if power < size:
-            i = np.flatnonzero(at >= power)
-            j = where[at[i] - power]
-            for a, b in zip(i[j >= 0].tolist(), j[j >= 0].tolist(), strict=True):
+    for power in (size // 8, size // 4, size // 2):  # smaller ones only end a partition's stream
+        i = np.flatnonzero(at >= power)
+        j = where[at[i] - power]
+        for a, b in zip(i[j >= 0].tolist(), j[j >= 0].tolist(), strict=True):
+            if power:
                 small.setdefault(a, []).append(b)
     f, back = [0] * n, [0] * n
     q_key, q_at, head = [pos[0]], [0], 0
@@ -131,7 +130,7 @@ def _pack(path: str, size: int, end_id: int, stops: tuple[str, ...]):
             nonlocal held, held_n, docs, sequence
             ids = np.concatenate(held)
             ends = np.array([d[3] for d in docs])
-            at, cost = places(ends, np.flatnonzero(stop[ids]) + 1, len(ids))
+            at, cost = places(ends, np.flatnonzero(stop[ids]) + 1, len(ids), size)
             cuts = np.array(plan(at, cost, size, last))
             kept = int(cuts[-1])
             bounds = np.unique(np.concatenate([cuts, ends[ends <= kept]]))
