@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geo
-from ..operators import catalog, efficiency, far, features, intervals, jobs, kernels, lags, matching, selection
+from ..operators import catalog, cuts, efficiency, far, features, intervals, jobs, kernels, lags, matching, selection, sky
 from ..streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,6 +652,82 @@ def online_stream(spark, d):
     return spark.table(name)
 
 
+@query("SELECT id, rho FROM t WHERE sqrt(rho) > 7 AND greatest(rho, k) > 60 AND NOT k = 3", _T)
+def cut_strings(spark, d):
+    return cuts.all_cuts(triggers(spark, d), ["sqrt(rho) > 7", "max(rho, k) > 60 & not k == 3"]).select("id", "rho")
+
+
+@query("SELECT id, concat_ws(';', CASE WHEN rho < 20 THEN 'quiet' END, CASE WHEN k > 80 THEN 'late' END, CASE WHEN event_type = 'error' THEN 'error' END) AS reason, CASE WHEN rho < 20 THEN 1 ELSE 0 END AS status FROM t", _T)
+def rejection_reasons(spark, d):
+    c = F.col
+    return triggers(spark, d).select("id", cuts.rejection({"quiet": c("rho") < 20, "late": c("k") > 80, "error": c("event_type") == "error"}).alias("reason"), cuts.status(c("rho"), 20.0).alias("status"))
+
+
+@query("SELECT id FROM t WHERE least(rho, rho + k) > 30 AND rho > 40 AND rho > 0.5 * k", _T)
+def sub_network_cut(spark, d):
+    c = F.col
+    return triggers(spark, d).where(cuts.sub_network(c("rho"), c("rho") + c("k"), c("rho"), c("rho"), c("k"), 30.0, 40.0, 0.5)).select("id")
+
+
+@query("SELECT id FROM sky WHERE degrees(acos(least(1.0, greatest(-1.0, cos(radians(theta)) * cos(radians(60.0)) + sin(radians(theta)) * sin(radians(60.0)) * cos(radians(phi - 120.0)))))) <= 25.0000001", _T, _SKY)
+def sky_mask(spark, d):
+    t = triggers(spark, d)
+    return t.where(cuts.sky_patch((F.col("id") % 180).cast("double"), ((F.col("id") * 7) % 360).cast("double"), 60.0, 120.0, 25.0000001)).select("id")
+
+
+@query("SELECT job_id, id, round(quantile_cont(rho, 0.5) OVER (PARTITION BY job_id ORDER BY id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS median FROM t", _T)
+def rolling_median(spark, d):
+    return rounded(cuts.rolling_median(triggers(spark, d).select("job_id", "id", "rho"), ["job_id"], "id", "rho", 3).drop("rho"), "median")
+
+
+@query("SELECT sample, round(quantile_cont(x, 0.05), 5) AS lower, round(quantile_cont(x, 0.5), 5) AS median, round(quantile_cont(x, 0.95), 5) AS upper FROM (SELECT i AS sample, x[i + 1] AS x FROM e, (SELECT CAST(unnest(range(64)) AS INTEGER) AS i)) GROUP BY 1", _E)
+def waveform_bands(spark, d):
+    return rounded(cuts.bands(read(spark, d, "embeddings"), "embedding"), "lower", "median", "upper", digits=5)
+
+
+@query("SELECT vec_id, CAST(len(list_filter(x, lambda z: z > 0.1)) AS INTEGER) AS n_above, round(list_sort(x[11:30])[6], 6) AS fifth, round(x[17], 6) AS slid, round(x[4] + x[1], 6) AS added, round(sqrt(list_sum(list_transform(x, lambda z: abs(z)))), 5) AS snr FROM e", _E)
+def array_functions(spark, d):
+    x = F.transform("embedding", lambda z: z.cast("double"))
+    e = read(spark, d, "embeddings").select("vec_id", x.alias("x"))
+    c = F.col("x")
+    return e.select("vec_id", arrays.count_above(c, 0.1).alias("n_above"), F.round(arrays.order_statistic(c, 10, 30, 5), 6).alias("fifth"), F.round(F.get(arrays.slide(c, 4), F.lit(20)), 6).alias("slid"), F.round(F.get(arrays.add_at(c, c, 3), F.lit(3)), 6).alias("added"), F.round(arrays.network_snr(F.transform(c, lambda z: F.abs(z))), 5).alias("snr"))
+
+
+@query("SELECT id, round(pi() / 2 - k * 0.01, 6) AS dec, round(((k * 0.07 + pi()) % (2 * pi())) - pi(), 6) AS lon, round(cos(0.01 * k) * cos(0.05 * k), 6) AS x, format('{:.4f}_{}', rho, id) AS name FROM t", _T)
+def coordinate_functions(spark, d):
+    k = F.col("k")
+    return triggers(spark, d).select("id", F.round(geo.colatitude_to_dec(k * 0.01), 6).alias("dec"), F.round(geo.to_geographic(k * 0.07), 6).alias("lon"), F.round(geo.cartesian(k * 0.05, k * 0.01)["x"], 6).alias("x"), arrays.long_id(F.col("rho"), F.col("id")).alias("name"))
+
+
+@query("SELECT id, unnest(list_concat(range(k, k + 3), [CAST(500 AS BIGINT)])) AS number FROM t WHERE event_type = 'signup'", _T)
+def id_ranges(spark, d):
+    text = F.concat(F.col("k").cast("string"), F.lit("-"), (F.col("k") + 2).cast("string"), F.lit(", 500"))
+    return triggers(spark, d).where("event_type = 'signup'").select("id", F.explode(arrays.id_ranges(text).cast("array<bigint>")).alias("number"))
+
+
+@query("SELECT id, round(CAST(CAST('0x' || substr(md5('1_' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 2 * pi(), 5) AS ra, round(asin(2 * (CAST(CAST('0x' || substr(md5('2_' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0) - 1), 5) AS dec FROM t", _T)
+def sky_draw(spark, d):
+    return rounded(sky.all_sky(triggers(spark, d).select("id"), "id", 1), "ra", "dec", digits=5)
+
+
+@query("SELECT job_id, trial_idx, CAST(row_number() OVER (ORDER BY job_id, trial_idx) AS INTEGER) AS index FROM (SELECT DISTINCT c_custkey AS job_id, unnest([0, c_custkey % 3]) AS trial_idx FROM customer)")
+def trials_flattened(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("job_id"), F.array(F.lit(0).cast("long"), F.col("c_custkey") % 3).alias("trials"))
+    return jobs.by_trial(c)
+
+
+@query("SELECT id, job_id, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS classifier FROM t", _T)
+def labelled_union(spark, d):
+    t = triggers(spark, d)
+    bkg, sim = t.where("event_type = 'view'").withColumn("classifier", F.lit(0)), t.where("event_type <> 'view'").withColumn("classifier", F.lit(1))
+    return bkg.unionByName(sim).select("id", "job_id", "classifier")
+
+
+@query("SELECT job_id, round(min(rho), 6) AS lo, round(max(rho) - min(rho), 6) AS spread, count(DISTINCT event_type) AS kinds FROM t GROUP BY 1", _T)
+def consistency_across_runs(spark, d):
+    return triggers(spark, d).groupBy("job_id").agg(F.round(F.min("rho"), 6).alias("lo"), F.round(F.max("rho") - F.min("rho"), 6).alias("spread"), F.count_distinct("event_type").alias("kinds"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
