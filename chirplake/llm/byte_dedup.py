@@ -122,17 +122,36 @@ def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], end[np.append(at[1:], len(start)) - 1]
 
 
+def _by_doc(doc: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows in the order of their documents, as one blob per document."""
+    raw, width = rows.tobytes(), rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
+    first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else np.zeros(0, np.int64)
+    cut = [*(first * width).tolist(), len(raw)]
+    return doc[first].tolist(), [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+
+
 def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Per document, its intervals as one blob."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]]) if len(doc) else [0]
-    ids, blobs = [], []
-    for i, j in zip(cut[:-1], cut[1:], strict=True):
-        ids.append(int(doc[i]))
-        s, e = joined(start[i:j], end[i:j])
-        blobs.append(np.stack([s, e], 1).astype("<i8").tobytes())
-    return ids, blobs
+    order = np.argsort(doc, kind="stable")
+    return _by_doc(doc[order], np.stack([start[order], end[order]], 1).astype("<i8"))
+
+
+class _Buffer:
+    """Rows gathered into record batches of some size."""
+
+    def __init__(self, schema: list[tuple[str, pa.DataType]], size: int = 8192):
+        self.schema, self.size, self.columns = schema, size, [[] for _ in schema]
+
+    def add(self, *columns: list) -> Iterator[pa.RecordBatch]:
+        for held, new in zip(self.columns, columns, strict=True):
+            held += new
+        if len(self.columns[0]) >= self.size:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(self.columns, self.schema, strict=True)], names=[n for n, _ in self.schema])
+            self.columns = [[] for _ in self.schema]
 
 
 def _entries(parts: int, length: int):
@@ -150,7 +169,9 @@ def _entries(parts: int, length: int):
                     continue
                 key, h, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
                 start = start - offs[:-1][doc]
-                order = np.lexsort((ids[doc], h, key))
+                order = np.argsort(ids[doc], kind="stable") if (np.diff(ids) < 0).any() else slice(None)
+                key, h, doc, start, size = (x[order] for x in (key, h, doc, start, size))
+                order = np.argsort(T.mix(key) ^ h, kind="stable")  # equal segments stand together, by document
                 key, h, doc, start, size = (x[order] for x in (key, h, doc, start, size))
                 head = np.ones(len(key), bool)
                 head[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
@@ -194,15 +215,15 @@ def _resolve(length: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        out = _Buffer([("doc_id", pa.int64()), ("marks", pa.binary()), ("asked", pa.binary())])
 
-        def out(ids: list, marks: list, asked: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(asked, pa.binary())], names=["doc_id", "marks", "asked"])
-
-        def close() -> pa.RecordBatch:
+        def close() -> tuple[list, list, list]:
             e = np.concatenate([np.frombuffer(x, ENTRY) for x, _ in held])
             doc = np.concatenate([np.frombuffer(d, "<i8")[np.frombuffer(x, ENTRY)["doc"]] for x, d in held])
             h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"]
-            order = np.lexsort((doc, h, e["key"]))
+            order = np.argsort(doc, kind="stable")
+            mixed = e["key"].astype(np.uint64) << np.uint64(32) | (h ^ h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+            order = order[np.argsort(mixed[order], kind="stable")]  # by key, equal segments together, by document
             e, doc, h = e[order], doc[order], h[order]
             n = len(e)
             new_key, new_seg = np.ones(n, bool), np.ones(n, bool)
@@ -222,23 +243,22 @@ def _resolve(length: int):
             r["start"], r["n"], r["wide"] = start[ask], e["n"][ask], (kinds > WIDE)[group[ask]]
             by = np.argsort(doc[ask], kind="stable")
             r, who = r[by], doc[ask][by]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1, [len(who)]]) if len(who) else [0]
-            ids2 = [int(who[i]) for i in cut[:-1]]
-            asked = [r[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            return out(ids + ids2, marks + [None] * len(ids2), [None] * len(ids) + asked)
+            ids2, asked = _by_doc(who, r)
+            return ids + ids2, marks + [None] * len(ids2), [None] * len(ids) + asked
 
         for batch in it:
             for row in batch.to_pylist():
                 if row["part"] != now:
                     if held:
-                        yield close()
+                        yield from out.add(*close())
                     now, held = row["part"], []
                 if row["entries"] is None:
-                    yield out([row["doc_id"]], [row["marks"]], [None])
+                    yield from out.add([row["doc_id"]], [row["marks"]], [None])
                 else:
                     held.append((row["entries"], row["docs"]))
         if held:
-            yield close()
+            yield from out.add(*close())
+        yield from out.flush()
 
     return run
 
@@ -315,20 +335,20 @@ def _compare(length: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, doc, start, n, size, last = [], [], [], [], 0, None
+        out = _Buffer([("doc_id", pa.int64()), ("marks", pa.binary())])
 
-        def close() -> pa.RecordBatch:
+        def close() -> tuple[list, list]:
             owner, at = repeated(text, np.array(doc), np.array(n), length)
             begin = np.array(start)[owner] + at
-            ids, marks = _marks(np.array(doc)[owner], begin, begin + length)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "marks"])
+            return _marks(np.array(doc)[owner], begin, begin + length)
 
         for batch in it:
             for row in batch.to_pylist():
                 if row["bytes"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([row["marks"]], pa.binary())], names=["doc_id", "marks"])
+                    yield from out.add([row["doc_id"]], [row["marks"]])
                     continue
                 if size >= BLOCK and row["key"] != last:
-                    yield close()
+                    yield from out.add(*close())
                     text, doc, start, n, size = [], [], [], [], 0
                 last = row["key"]
                 text.append(row["bytes"])
@@ -337,7 +357,8 @@ def _compare(length: int):
                 n.append(row["n"])
                 size += len(row["bytes"])
         if text:
-            yield close()
+            yield from out.add(*close())
+        yield from out.flush()
 
     return run
 
