@@ -34,7 +34,9 @@ from . import textbytes as T
 from .shared import id_and_text
 
 #: Labelled documents used, folds, hash space and features kept per category.
-MAX_ROWS, FOLDS, HASH_BITS, MAX_FEATURES = 12_000, 5, 20, 3000
+MAX_ROWS, FOLDS, HASH_BITS, MAX_FEATURES = 8_000, 5, 20, 3000
+#: Features in fewer of the labelled documents tell nothing and are left out.
+LEAST_DOCS = 3
 #: Lengths of word beginnings (in bytes) that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 STEPS, L2 = 150, 1e-4
@@ -93,8 +95,12 @@ class Rows:
         size = self.edge[rows + 1] - self.edge[rows]
         return Rows(np.concatenate([[0], np.cumsum(size)]), self.flat[T.ranges(self.edge[rows], size)])
 
+    def only(self, keep: np.ndarray) -> Rows:
+        """Without the entries that ``keep`` marks as false."""
+        return Rows(np.concatenate([[0], np.cumsum(keep)])[self.edge], self.flat[keep])
+
     def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
+        return np.repeat(np.arange(len(self.edge) - 1, dtype=np.int32), np.diff(self.edge))
 
 
 @dataclass
@@ -123,20 +129,17 @@ def fit(rows: Rows, y: np.ndarray, earlier: np.ndarray) -> Model:
     none = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(rate / (1 - rate))))
     if good == 0 or good == n:
         return Model(none.features, none.weights, none.earlier, none.bias, 1.0)
-    owner = rows.owner()
-    names, at = np.unique(rows.flat, return_inverse=True)
-    inside = np.bincount(at, weights=y[owner], minlength=len(names))
-    outside = np.bincount(at, minlength=len(names)) - inside
-    a, b = (inside + 0.5) / (good + 1), (outside + 0.5) / (n - good + 1)
+    total = np.bincount(rows.flat, minlength=1 << HASH_BITS)
+    inside = np.bincount(rows.take(np.flatnonzero(y)).flat, minlength=1 << HASH_BITS)
+    a, b = (inside + 0.5) / (good + 1), (total - inside + 0.5) / (n - good + 1)
     sure = np.abs(a - b) / np.sqrt(a * (1 - a) / good + b * (1 - b) / (n - good) + 1e-12)
-    sure[inside + outside < 3] = 0
+    sure[total < LEAST_DOCS] = 0
     best = np.argsort(-sure, kind="stable")[:MAX_FEATURES]
     best = np.sort(best[sure[best] > 3])
-    where = np.full(len(names), -1)
+    where = np.full(1 << HASH_BITS, -1, np.int32)
     where[best] = np.arange(len(best))
-    col = where[at]
-    keep = col >= 0
-    owner, col, k = owner[keep], col[keep], len(best)
+    rows = rows.only(where[rows.flat] >= 0)
+    owner, col, k = rows.owner(), where[rows.flat], len(best)
     weight = np.where(y > 0, n / (2 * good), n / (2 * (n - good)))
     w, v, bias, vb = np.zeros(k), np.zeros(k), none.bias, 0.0
     e, ve = np.zeros(earlier.shape[1]), np.zeros(earlier.shape[1])
@@ -148,7 +151,7 @@ def fit(rows: Rows, y: np.ndarray, earlier: np.ndarray) -> Model:
         vb = 0.9 * vb - 0.5 * g.sum()
         ve = 0.9 * ve - 0.5 * (earlier.T @ g)
         w, bias, e = w + v, bias + vb, e + ve
-    return Model(names[best].astype(np.int64), w, e, float(bias))
+    return Model(best.astype(np.int64), w, e, float(bias))
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -192,8 +195,10 @@ def train(docs: DataFrame, labels: DataFrame, chain: tuple[Category, ...] = CHAI
     order = np.argsort(ids, kind="stable")
     y = np.array(got.column("labels").to_pylist(), np.int64).reshape(len(ids), len(chain))[order]
     lists = got.column("features").combine_chunks()
-    size, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    every = Rows(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), flat.astype(np.int64))
+    every = Rows(lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy())
+    del got, lists
+    common = np.bincount(every.flat, minlength=1 << HASH_BITS) >= LEAST_DOCS
+    every = every.only(common[every.flat])
     fold = (T.mix(ids.astype(np.uint64)) % T.U64(FOLDS)).astype(np.int64)[order]
     return fit_chain(every.take(order), y, fold)
 
