@@ -9,8 +9,9 @@ Neighbouring strings mostly share their key; a run of them is a segment.
    Equal segments within a batch need no comparison: only those of the smallest
    document go on, the others are marked.  A segment that a third of all
    documents hold is thus one entry per batch.
-2. By key: equal segments of larger documents are marked; a key whose segments
-   differ is passed on, with one document for each different segment.
+2. By key: equal segments of larger documents are marked.  Of a key's different
+   segments those are passed on that agree with another on enough bytes left or
+   right of the gram for a common string, with one document for each.
 3. Those segments' bytes are fetched from the documents, and brought together
    by key in blocks.  In a block, common prefixes are derived from the
    Burrows-Wheeler transform in increasing order and up to ``length`` (see
@@ -48,14 +49,16 @@ RUN, SLICE, BLOCK = 128, 1 << 20, 1 << 20
 #: Different segments of one key from which on it is dealt out by its strings.
 WIDE = 4096
 PARTS = 8
-ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1")])
+ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u2"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
+#: Sides of a segment: NONE can match nothing, ANY may match everything (the gram that makes the key stands in it several times).
+NONE, ANY = 0, 0xFFFF
 
 
-def keys(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The key of every ``length``-byte string of a buffer, by its start."""
+def keys(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every ``length``-byte string of a buffer, by its start, and the hashes of all grams."""
     n = len(raw) - length + 1
     if n <= 0:
-        return np.zeros(0, T.U64)
+        return np.zeros(0, T.U64), np.zeros(0, T.U64)
     with np.errstate(over="ignore"):
         h, size = T._BYTE[raw], 1
         for m in T._stream(0x16, 4) | T.U64(1):
@@ -65,20 +68,52 @@ def keys(raw: np.ndarray, length: int = LENGTH) -> np.ndarray:
         h ^= h >> T.U64(29)
         h *= T.U64(0xBF58476D1CE4E5B9)
         h ^= h >> T.U64(32)
-    width, have = length - GRAM + 1, 1
+    width, have, low = length - GRAM + 1, 1, h
     while have < width:
         step = min(have, width - have)
-        h = np.minimum(h[:-step], h[step:])
+        low = np.minimum(low[:-step], low[step:])
         have += step
-    return h
+    return low, h
+
+
+def _sides(h: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Short hashes of the bytes left and right of each segment's gram.
+
+    A string of ``length`` bytes with the gram inside reaches at least half of
+    the other bytes to its left, or to its right.  Two segments can have a
+    string in common only if they agree on that many bytes on one side.
+    """
+    width = length - GRAM + 1  # starts of strings that hold one gram
+    half = (length - GRAM) // 2
+    left, right = np.full(len(key), ANY, np.uint16), np.full(len(key), ANY, np.uint16)
+    some = np.flatnonzero(size <= width)  # a longer run holds the gram more than once
+    at = np.arange(2 * width - 1)
+    for i in range(0, len(some), 4096):
+        j = some[i : i + 4096]
+        seen = (h[np.minimum(begin[j, None] + at, len(h) - 1)] == key[j, None]) & (at < (size[j] + width - 1)[:, None])
+        once = seen.sum(1) == 1
+        j = j[once]
+        q = begin[j] + seen[once].argmax(1)
+        reach = q - half >= begin[j]
+        left[j], right[j] = NONE, NONE
+        a, b = j[reach], q[reach]
+        left[a] = _short((total[b] - total[b - half]) * down[b - half])
+        reach = q + GRAM + half <= begin[j] + size[j] - 1 + length
+        a, b = j[reach], q[reach] + GRAM
+        right[a] = _short((total[b + half] - total[b]) * down[b])
+    return left, right
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    return (T.mix(h) % T.U64(ANY - 1) + T.U64(1)).astype(np.uint16)
 
 
 def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slices of a buffer of documents: key, hash, document, start in the buffer and number of starts of its segments."""
+    """Slices of a buffer of documents: key, hash, document, start in the buffer, number of starts and sides of its segments."""
     ends = offs[1:]
     for a in range(0, len(raw), SLICE):
         part = raw[a : a + SLICE + length - 1]
-        k = keys(part, length)
+        k, grams = keys(part, length)
         if not len(k):
             continue
         lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(offs[:-1], a + len(k), "left")
@@ -106,8 +141,9 @@ def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> Iterato
             total = np.zeros(len(part) + 1, T.U64)
             np.cumsum(T._BYTE[part] * up[: len(part)], out=total[1:])
             h = T.mix((total[begin + size + length - 1] - total[begin]) * down[begin] + size.astype(T.U64))
+            left, right = _sides(grams, k[begin], begin, size, total, down, length)
         start = begin + a
-        yield k[begin], h, np.searchsorted(ends, start, "right"), start, size
+        yield k[begin], h, np.searchsorted(ends, start, "right"), start, size, left, right
 
 
 def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,24 +203,24 @@ def _entries(parts: int, length: int):
                 found = list(segments(raw, offs, length))
                 if not found:
                     continue
-                key, h, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
+                key, h, doc, start, size, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
                 start = start - offs[:-1][doc]
                 order = np.argsort(ids[doc], kind="stable") if (np.diff(ids) < 0).any() else slice(None)
-                key, h, doc, start, size = (x[order] for x in (key, h, doc, start, size))
+                key, h, doc, start, size, left, right = (x[order] for x in (key, h, doc, start, size, left, right))
                 order = np.argsort(T.mix(key) ^ h, kind="stable")  # equal segments stand together, by document
-                key, h, doc, start, size = (x[order] for x in (key, h, doc, start, size))
+                key, h, doc, start, size, left, right = (x[order] for x in (key, h, doc, start, size, left, right))
                 head = np.ones(len(key), bool)
                 head[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
                 first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
                 repeat = ids[doc] != ids[doc[first]]
                 mark_ids, mark_blobs = _marks(ids[doc[repeat]], start[repeat], start[repeat] + size[repeat] + length - 1)
                 keep = ~repeat
-                key, h, doc, start, size = (x[keep] for x in (key, h, doc, start, size))
+                key, h, doc, start, size, left, right = (x[keep] for x in (key, h, doc, start, size, left, right))
                 part = (key >> T.U64(32)) % T.U64(parts)
                 order = np.argsort(part, kind="stable")
                 entry = np.empty(len(key), ENTRY)
                 entry["key"], entry["low"], entry["high"] = key & T.U64(0xFFFFFFFF), h & T.U64(0xFFFFFFFF), (h >> T.U64(32)) & T.U64(0xFFFF)
-                entry["doc"], entry["start"], entry["n"] = doc, start, size
+                entry["doc"], entry["start"], entry["n"], entry["left"], entry["right"] = doc, start, size, left, right
                 assert not len(start) or start.max() < 1 << 32
                 entry, part = entry[order], part[order]
                 cut = np.searchsorted(part, np.arange(parts + 1))
@@ -234,10 +270,19 @@ def _resolve(length: int):
             start, end = e["start"].astype(np.int64), e["start"].astype(np.int64) + e["n"] + length - 1
             ids, marks = _marks(doc[repeat], start[repeat], end[repeat])
             group = np.cumsum(new_key) - 1
-            kinds = np.bincount(group, weights=new_seg)
             heads = np.flatnonzero(new_key)
             least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-            ask = ((kinds > 1) & (least < most))[group] & ~repeat
+            # of the key's different segments, those that agree with another on a side
+            kind = np.flatnonzero(new_seg)
+            of = group[kind]
+            wanted = np.bincount(of, weights=e["left"][kind] == ANY, minlength=len(heads))[of] > 0
+            for side in ("left", "right"):
+                value = e[side][kind].astype(np.int64)
+                _, which, many = np.unique(of << 16 | value, return_inverse=True, return_counts=True)
+                wanted |= (many[which] > 1) & (value != NONE)
+            wanted &= (least < most)[of]
+            kinds = np.bincount(of, weights=wanted, minlength=len(heads))
+            ask = (wanted & (kinds > 1)[of])[np.cumsum(new_seg) - 1] & ~repeat
             r = np.empty(int(ask.sum()), REQUEST)
             r["key"] = np.uint64(now) << np.uint64(32) | e["key"][ask]
             r["start"], r["n"], r["wide"] = start[ask], e["n"][ask], (kinds > WIDE)[group[ask]]
@@ -394,7 +439,7 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> Data
     rows = id_and_text(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    dealt = rows.repartition(n, "doc_id")
+    dealt = rows.where("doc_id is not null").repartition(n, "doc_id")  # both joins below read this one exchange
     entries = rows.mapInArrow(_entries(n * PARTS, length), "part int, entries binary, docs binary, doc_id long, marks binary")
     first = entries.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_resolve(length), "doc_id long, marks binary, asked binary")
     first = scratch.write(first, "first")
@@ -402,4 +447,6 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> Data
     fetched = dealt.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "key long, doc_id long, start long, n int, bytes binary, marks binary")
     second = fetched.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id long, marks binary")
     marks = first.where("marks is not null").select("doc_id", "marks").union(second).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    return dealt.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_cut, SCHEMA)
+    marked = dealt.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
+    free = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    return marked.unionByName(free).mapInArrow(_cut, SCHEMA)
