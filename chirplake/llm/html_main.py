@@ -292,6 +292,7 @@ def main_text(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, mi
     many = differing.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     template = many.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h")
     own = parsed.select("row", "host", F.explode("hashes").alias("h")).join(template, ["host", "h"]).groupBy("row").agg(F.collect_set("h").alias("gone"))
+    own = scratch.write(own, "template")  # its size is known then: small, it is broadcast and the pages stay where they are
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("gone"))))
     out = parsed.select("row", "page_id", "url", "blocks").join(own, "row", "left").withColumn("kept", kept)
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
