@@ -37,6 +37,18 @@ def test_held_out(spark, frame):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in range(800, 1200) if not got[i]["toxic"]) and kept.columns == ["doc_id", "text", "kept"]
 
 
+def test_rare_word_is_learned_from_many_labels(spark, frame):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(12_000):
+        rare, toxic = i % 1200 == 7, i % 7 == 0
+        docs.append((i, " ".join(words(6, rng) + ["zyxgloat"] * rare + ["vilest"] * toxic)))
+        labels.append((i, i % 5 and 1, int(rare or toxic)))
+    models = toxicity.train(frame(docs, SCHEMA), frame(labels, LABELS))
+    got = {r["doc_id"]: r for r in toxicity.score(frame([(-1, "zyxgloat"), (-2, "")], SCHEMA), models).collect()}
+    assert got[-1]["p_toxic"] > got[-2]["p_toxic"]  # 10 documents of 12,000: too few of them are in a smaller sample
+
+
 def test_no_labels(spark, frame):
     docs, labels = corpus(20, 2)
     for some in ([], [(i, 1, 0) for i in range(20)]):
