@@ -8,9 +8,14 @@ of its tags and text.  Spark counts these hashes per host, over pages that
 differ; a subtree that recurs on many pages of its host is template and is
 deleted, with all blocks in it.
 
-Inside the page's article only containers can be template: a paragraph that
-many articles quote is part of each of them.  Outside an article, or in a page
-without one, every element can be.
+Containers, and outside an article every element, are template from
+``MIN_PAGES`` pages on if these are ``MIN_SHARE`` of the host's, and from
+``ENOUGH_PAGES`` on whatever the host's size.  A paragraph, heading or list item
+inside an article is template only if it stands on ``LINE_SHARE`` of the host's
+pages, as a site-wide notice does: one that fewer articles quote is part of each
+of them.  Of articles that are copies of each other but for a few places, only
+those count that differ in their least other block, so a much copied article is
+no template.
 
 Counts are partial sums per host and hash, so a host with a third of all pages
 is no single group; the join of template hashes back to pages splits its skewed
@@ -37,6 +42,10 @@ from .shared import Scratch
 
 #: A subtree is template from so many differing pages of a host on, if these are so large a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.05
+#: So many differing pages are enough on any host.
+ENOUGH_PAGES = 100
+#: Share of the host's pages for a paragraph, heading or list item inside an article.
+LINE_SHARE = 0.5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -45,6 +54,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = {"aside", "button", "canvas", "dialog", "fieldset", "footer", "form", "head", "iframe", "menu", "nav", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "blockquote", "figure", "details", "address", "center"}
+#: What holds a line of an article.
+LINES = BLOCKS - CONTAINERS
 CLOSES_P = BLOCKS - {"body", "caption", "dd", "dt", "head", "html", "legend", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "title", "tr"}
 #: An opening tag ends these open ones, up to the list or table that holds them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -205,11 +216,22 @@ def _article(root: _Node) -> tuple[_Node, bool]:
     return best, bool(key[0])
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """The article's blocks, each with the subtree hashes of the elements it is in, and all hashes of the page that can be template."""
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _lines(found: list[tuple[str, list[int]]], lines: set[int]) -> list[tuple[int, int]]:
+    """Each of the hashes ``lines`` with the least digest of a block outside its elements (0: there is none)."""
+    least = sorted((_digest(text), own) for text, own in found)
+    return [(h, next((d for d, own in least if h not in own), 0)) for h in sorted(lines)]
+
+
+def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tuple[int, int]]]:
+    """The article's blocks, each with the subtree hashes of the elements it is in; the hashes that can be template; those of lines inside an article, each with what tells its article from others."""
     base, found = _article(parse(page))
     out: list[tuple[str, list[int]]] = []
     every: set[int] = set()
+    lines: set[int] = set()
     held: list[str] = []
     # an element's hash is known at its end; blocks refer to open elements by cells
     open_cells: list[list[int]] = []
@@ -234,7 +256,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 open_cells.pop()
                 h = digest.intdigest() - (1 << 63)
                 cell.append(h)
-                every.add(h)
+                (lines if found and node.tag in LINES else every).add(h)
             if stack:
                 stack[-1][2].update(digest.digest())
             continue
@@ -254,7 +276,7 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     continue  # a list of links in a page that names no article
             if child.tag in BLOCKS:
                 flush()
-            mine = [] if child.tag in CONTAINERS or (not found and child.tag in BLOCKS) else None
+            mine = [] if child.tag in BLOCKS else None
             if mine is not None:
                 open_cells.append(mine)
             stack.append([child, 0, xxhash.xxh3_64(child.tag.encode()), mine])
@@ -262,11 +284,11 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             flush()
     flush()
     out = [(words, [c[0] for c in own]) for words, own in cells]
-    return out, sorted(every)
+    return out, sorted(every - lines), _lines(out, lines)
 
 
-PAGES = "page_id long, url string, host string, content long, blocks array<struct<text:string,inside:array<long>>>, hashes array<long>"
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))), ("hashes", pa.list_(pa.int64()))])
+PAGES = "page_id long, url string, host string, content long, blocks array<struct<text:string,inside:array<long>>>, hashes array<long>, lines array<struct<h:long,other:long>>"
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))), ("hashes", pa.list_(pa.int64())), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("other", pa.int64())])))])
 
 
 def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,23 +297,27 @@ def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(lo, 512)
             rows = []
             for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                found, hashes = blocks(page or "")
-                content = xxhash.xxh3_64_intdigest("\n".join(t for t, _ in found).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows.append({"page_id": page_id, "url": url, "host": host, "content": content, "blocks": [{"text": t, "inside": own} for t, own in found], "hashes": hashes})
+                found, hashes, lines = blocks(page or "")
+                content = _digest("\n".join(t for t, _ in found))
+                rows.append({"page_id": page_id, "url": url, "host": host, "content": content, "blocks": [{"text": t, "inside": own} for t, own in found], "hashes": hashes, "lines": [{"h": h, "other": other} for h, other in lines]})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def main_text(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES, line_share: float = LINE_SHARE) -> DataFrame:
     """One row per page row: page_id, url, its main text and length, and the number of blocks kept and of template blocks deleted."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     parsed = scratch.write(rows.mapInArrow(_parse, PAGES).withColumn("row", F.monotonically_increasing_id()), "parsed")
     one = parsed.groupBy("host", "content").agg(F.min("row").alias("row"))
     total = one.groupBy("host").agg(F.count("*").alias("pages"))
-    differing = parsed.select("row", "hashes").join(one.select("row", "host"), "row").select("host", F.explode("hashes").alias("h"))
-    many = differing.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    template = many.join(total, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h")
-    own = parsed.select("row", "host", F.explode("hashes").alias("h")).join(template, ["host", "h"]).groupBy("row").agg(F.collect_set("h").alias("gone"))
+    differing = parsed.select("row", "hashes", "lines").join(one.select("row", "host"), "row")
+    many = differing.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = many.join(total, "host").where((F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= enough_pages)).select("host", "h")
+    apart = differing.select("host", F.explode("lines").alias("x")).select("host", "x.h", "x.other").distinct()
+    often = apart.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    template = template.union(often.join(total, "host").where(F.col("n") >= line_share * F.col("pages")).select("host", "h")).distinct()
+    each = parsed.select("row", "host", F.explode(F.concat("hashes", F.col("lines")["h"])).alias("h"))
+    own = each.join(template, ["host", "h"]).groupBy("row").agg(F.collect_set("h").alias("gone"))
     own = scratch.write(own, "template")  # its size is known then: small, it is broadcast and the pages stay where they are
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("gone"))))
     out = parsed.select("row", "page_id", "url", "blocks").join(own, "row", "left").withColumn("kept", kept)

@@ -375,6 +375,18 @@ def test_templates_are_counted_per_host(spark, frame):
     assert all(got[i] == f"Own words {i}" for i in range(12)) and all(got[100 + i] == "Same article" for i in range(12)) and got[200] == ""
 
 
+def test_templates_inside_articles(spark, frame):
+    notice, quote = "<p>Read our other stories</p><ul><li>Join us</li></ul>", "<p>A much quoted line</p>"
+    pages = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Own words {i}</p>{quote if i < 15 else ''}{notice}</article>") for i in range(40)]
+    # copies that differ in one place are no template, though all of the host's pages hold them
+    pages += [(100 + i, f"http://b.example/{i}", "<article>" + "".join(f"<p>Copied text {k}{f' edit {i}' * (k == i)}</p>" for k in range(20)) + "</article>") for i in range(15)]
+    # a large host: 120 pages are enough, though less than the share
+    pages += [(1000 + i, f"http://c.example/{i}", f"<article><p>Page {i}</p>{'<div><p>Made by us</p></div>' if i < 120 else ''}</article>") for i in range(2500)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(frame(pages, "page_id long, url string, html string"), Scratch(spark, "t")).collect()}
+    assert all(got[i] == "\n".join([f"Title {i}", f"Own words {i}"] + ["A much quoted line"] * (i < 15)) for i in range(40))
+    assert all(got[100 + i].count("Copied text") == 20 for i in range(15)) and all(got[1000 + i] == f"Page {i}" for i in range(2500))
+
+
 def test_entries_are_named():
     from chirplake.llm import entries
 
