@@ -21,6 +21,10 @@ Counts are partial sums per host and hash, so a host with a third of all pages
 is no single group; the join of template hashes back to pages splits its skewed
 partitions.
 
+All elements of the highest rank (article, main, a container named so) that are
+not inside each other are the article; where they hold less than ``HELD_SHARE``
+of the page's text outside links, a lower rank's are, and at last the page.
+
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
 unknown tags are taken as browsers do, nearly; a null url is a host of its own;
 each row is a page, equal pages count as one for the template; an empty table
@@ -46,6 +50,8 @@ MIN_PAGES, MIN_SHARE = 10, 0.05
 ENOUGH_PAGES = 100
 #: Share of the host's pages for a paragraph, heading or list item inside an article.
 LINE_SHARE = 0.5
+#: The elements of a rank hold the article if they hold so large a share of the page's text.
+HELD_SHARE = 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -200,20 +206,24 @@ def _size(node: _Node) -> tuple[int, int]:
     return total, linked
 
 
-def _article(root: _Node) -> tuple[_Node, bool]:
-    """The element that holds the article, and whether the page has one: of the highest rank, the one with the most text."""
-    best, key = root, (0, 0)
-    stack = [root]
+def _articles(root: _Node) -> tuple[list[_Node], bool]:
+    """The elements that hold the article, and whether the page names any: all of the highest rank, or above it, that hold enough of the page's text outside links."""
+    tops: dict[int, list[_Node]] = {3: [], 2: [], 1: []}
+    stack = [(root, 0)]
     while stack:
-        node = stack.pop()
+        node, rank = stack.pop()
         if node.junk:
             continue
-        if node.body:
-            got = (node.body, _size(node)[0])
-            if got > key and got[1]:
-                best, key = node, got
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
-    return best, bool(key[0])
+        for r in range(rank + 1, node.body + 1):
+            tops[r].append(node)
+        rank = max(rank, node.body)
+        stack += [(c, rank) for c in reversed(node.children) if not isinstance(c, str)]
+    total, linked = _size(root)
+    for found in tops.values():
+        sizes = [_size(node) for node in found]
+        if any(size for size, _ in sizes) and sum(size - links for size, links in sizes) >= HELD_SHARE * (total - linked):
+            return [node for node, (size, _) in zip(found, sizes, strict=True) if size], True
+    return [root], False
 
 
 def _digest(text: str) -> int:
@@ -228,7 +238,7 @@ def _lines(found: list[tuple[str, list[int]]], lines: set[int]) -> list[tuple[in
 
 def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tuple[int, int]]]:
     """The article's blocks, each with the subtree hashes of the elements it is in; the hashes that can be template; those of lines inside an article, each with what tells its article from others."""
-    base, found = _article(parse(page))
+    bases, found = _articles(parse(page))
     out: list[tuple[str, list[int]]] = []
     every: set[int] = set()
     lines: set[int] = set()
@@ -244,44 +254,49 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tupl
             cells.append((words, list(open_cells)))
 
     # iterative, as trees may be very deep: (node, state), state: next child, digest
-    stack: list[list] = [[base, 0, xxhash.xxh3_64(base.tag.encode()), None]]
-    while stack:
-        frame = stack[-1]
-        node, i, digest, cell = frame
-        if i == len(node.children):
-            if node.tag in BLOCKS:
-                flush()
-            stack.pop()
-            if cell is not None:
-                open_cells.pop()
-                h = digest.intdigest() - (1 << 63)
-                cell.append(h)
-                (lines if found and node.tag in LINES else every).add(h)
-            if stack:
-                stack[-1][2].update(digest.digest())
-            continue
-        frame[1] += 1
-        child = node.children[i]
-        if isinstance(child, str):
-            held.append(child)
-            digest.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
-        elif child.tag in VOID:
-            if child.tag == "hr":
-                flush()
-            held.append(" ")
-        elif not child.junk:
-            if not found and child.tag in CONTAINERS:
-                total, linked = _size(child)
-                if total and linked > 0.7 * total:
-                    continue  # a list of links in a page that names no article
-            if child.tag in BLOCKS:
+    for base in bases:
+        flush()
+        mine = [] if len(bases) > 1 else None
+        if mine is not None:
+            open_cells.append(mine)
+        stack: list[list] = [[base, 0, xxhash.xxh3_64(base.tag.encode()), mine]]
+        while stack:
+            frame = stack[-1]
+            node, i, digest, cell = frame
+            if i == len(node.children):
+                if node.tag in BLOCKS:
+                    flush()
+                stack.pop()
+                if cell is not None:
+                    open_cells.pop()
+                    h = digest.intdigest() - (1 << 63)
+                    cell.append(h)
+                    (lines if found and node.tag in LINES and len(stack) else every).add(h)
+                if stack:
+                    stack[-1][2].update(digest.digest())
+                continue
+            frame[1] += 1
+            child = node.children[i]
+            if isinstance(child, str):
+                held.append(child)
+                digest.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
+            elif child.tag in VOID:
+                if child.tag == "hr":
+                    flush()
+                held.append(" ")
+            elif not child.junk:
+                if not found and child.tag in CONTAINERS:
+                    total, linked = _size(child)
+                    if total and linked > 0.7 * total:
+                        continue  # a list of links in a page that names no article
+                if child.tag in BLOCKS:
+                    flush()
+                inner = [] if child.tag in BLOCKS else None
+                if inner is not None:
+                    open_cells.append(inner)
+                stack.append([child, 0, xxhash.xxh3_64(child.tag.encode()), inner])
+            elif child.tag in BLOCKS:
                 flush()
-            mine = [] if child.tag in BLOCKS else None
-            if mine is not None:
-                open_cells.append(mine)
-            stack.append([child, 0, xxhash.xxh3_64(child.tag.encode()), mine])
-        elif child.tag in BLOCKS:
-            flush()
     flush()
     out = [(words, [c[0] for c in own]) for words, own in cells]
     return out, sorted(every - lines), _lines(out, lines)

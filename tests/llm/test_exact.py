@@ -375,6 +375,21 @@ def test_templates_are_counted_per_host(spark, frame):
     assert all(got[i] == f"Own words {i}" for i in range(12)) and all(got[100 + i] == "Same article" for i in range(12)) and got[200] == ""
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>one<p>two</article><p>between</p><article><p>three and more</article>", "one\ntwo\nthree and more"),
+        (f"<article><p>teaser</p></article><main><p>{'long text ' * 9}</p></main>", f"teaser\n{('long text ' * 9).strip()}"),
+        (f"<div class=content><p>{'long text ' * 9}</p><article><p>teaser</p></article></div>", f"{('long text ' * 9).strip()}\nteaser"),
+        (f"<div><p>{'long text ' * 9}</p></div><article><p>teaser</p></article>", f"{('long text ' * 9).strip()}\nteaser"),
+        ("<article><p>outer</p><article><p>inner</p></article></article>", "outer\ninner"),
+        (f"<ul><li><a href=x>{'link ' * 90}</a></ul><article><p>text</p></article>", "text"),
+    ],
+)
+def test_all_articles(page, want):
+    assert text_of(page) == want
+
+
 def test_templates_inside_articles(spark, frame):
     notice, quote = "<p>Read our other stories</p><ul><li>Join us</li></ul>", "<p>A much quoted line</p>"
     pages = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Own words {i}</p>{quote if i < 15 else ''}{notice}</article>") for i in range(40)]
