@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Of interval starts, for running sums over all intervals.
+BUCKETS = 256
+
 
 def split_jobs(intervals: DataFrame, length: float, least: float, edge: float) -> DataFrame:
     """Jobs of each live interval: whole lengths, and a rest that is halved where both halves are long enough.
@@ -65,20 +68,27 @@ def schedule_at_rate(injections: DataFrame, intervals: DataFrame, rate: float, k
     """Injections on evenly spaced places of the concatenated live time; more than fit are spread over further trials.
 
     Intervals (start, end, interval_id) get their range of the concatenated axis
-    by a running sum; a place finds its interval by cells of that axis.
+    by a running sum over ``BUCKETS`` of their starts and then inside one of
+    them; a place finds its interval by cells of that axis, as many as intervals.
     """
-    total = intervals.agg(F.sum(F.col("end") - F.col("start")).alias("t")).first()["t"]  # one number
+    size = F.col("end") - F.col("start")
+    got = intervals.agg(F.sum(size).alias("t"), F.min("start").alias("lo"), F.max("start").alias("hi"), F.count("*").alias("n")).first()  # one row
+    total = got["t"]
     if not total or 1 / rate > total:
         raise ValueError("the rate leaves no place in the live time")
     capacity = int(total * rate)
     first, last = 1 / (2 * rate), total - 1 / (2 * rate)
     step = (last - first) / (capacity - 1) if capacity > 1 else 0.0
-    w = Window.orderBy("start", "interval_id").rowsBetween(Window.unboundedPreceding, 0)
-    # the running sum goes over the intervals, a few thousand rows
-    axis = intervals.withColumn("_hi", F.sum(F.col("end") - F.col("start")).over(w)).withColumn("_lo", F.col("_hi") - (F.col("end") - F.col("start")))
+    bucket = F.least(F.floor((F.col("start") - got["lo"]) / max((got["hi"] - got["lo"]) / BUCKETS, 1e-9)), F.lit(BUCKETS - 1))
+    dealt = intervals.withColumn("_b", bucket.cast("long"))
+    per = dealt.groupBy("_b").agg(F.sum(size).alias("_s"))
+    before = per.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    w = Window.partitionBy("_b").orderBy("start", "interval_id").rowsBetween(Window.unboundedPreceding, 0)
+    # a broadcast of BUCKETS rows at most
+    axis = dealt.withColumn("_in", F.sum(size).over(w)).join(F.broadcast(before), "_b").withColumn("_hi", F.col("_before") + F.col("_in")).withColumn("_lo", F.col("_hi") - size)
     numbered = injections.withColumn("_i", F.col(key) if count is None else F.pmod(F.col(key), F.lit(count)))
     placed = numbered.withColumn("trial_idx", F.floor(F.col("_i") / capacity).cast("long")).withColumn("_pos", F.lit(first) + F.pmod(F.col("_i"), F.lit(capacity)) * F.lit(step))
-    cell = max(total / 64, 1e-9)
+    cell = max(total / max(got["n"], 64), 1e-9)
     axis = axis.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / cell).cast("long"), F.floor(F.col("_hi") / cell).cast("long"))))
     out = placed.withColumn("_cell", F.floor(F.col("_pos") / cell).cast("long")).join(axis.select("_cell", "_lo", "_hi", "start", "interval_id"), "_cell")
     out = out.where((F.col("_pos") >= F.col("_lo")) & (F.col("_pos") < F.col("_hi")))

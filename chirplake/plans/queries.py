@@ -368,6 +368,13 @@ def schedule_rate(spark, d):
     return out.select("id", "trial_idx", "interval_id", F.round("gps_time", 4).alias("gps_time"))
 
 
+@query("SELECT s.id, s.trial_idx, i.interval_id, round(i.start + s.pos - i.lo, 4) AS gps_time FROM (SELECT id, CAST(floor(i / cap) AS BIGINT) AS trial_idx, 50.0 + (i % cap) * st AS pos FROM (SELECT id, id AS i, cap, CASE WHEN cap > 1 THEN (tot - 100.0) / (cap - 1) ELSE 0 END AS st FROM t, (SELECT CAST(floor(sum(e - start) * 0.01) AS BIGINT) AS cap, sum(e - start) AS tot FROM q))) s JOIN (SELECT *, hi - (e - start) AS lo FROM (SELECT *, sum(e - start) OVER (ORDER BY start, interval_id ROWS UNBOUNDED PRECEDING) AS hi FROM q)) i ON s.pos >= i.lo AND s.pos < i.hi", _T, "q AS (SELECT c_custkey AS interval_id, c_custkey * 10000.0 AS start, c_custkey * 10000.0 + 500 + c_custkey % 97 AS e FROM customer)")
+def schedule_rate_all(spark, d):
+    iv = read(spark, d, "customer").select(F.col("c_custkey").alias("interval_id"), (F.col("c_custkey") * F.lit(10000.0)).alias("start"), (F.col("c_custkey") * F.lit(10000.0) + 500 + F.col("c_custkey") % 97).alias("end"))
+    out = jobs.schedule_at_rate(triggers(spark, d).select("id"), iv, 0.01, "id")
+    return out.select("id", "trial_idx", "interval_id", F.round("gps_time", 4).alias("gps_time"))
+
+
 @query("SELECT job_id, livetime FROM (SELECT job_id, livetime, sum(livetime) OVER (ORDER BY h, job_id ROWS UNBOUNDED PRECEDING) - livetime AS before FROM (SELECT job_id, sum(livetime) AS livetime, md5('7_' || job_id) AS h FROM p GROUP BY 1)) WHERE before < 100000", _P)
 def livetime_running_select(spark, d):
     per = catalog.live_time(progress(spark, d), by=["job_id"]).select("job_id", "livetime")

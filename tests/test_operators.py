@@ -1,5 +1,7 @@
 """Operators on hand-written rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,24 @@ def test_job_split_rules(frame):
     assert got == [(10.0, 610.0), (100010.0, 101200.0), (101200.0, 102390.0)]
 
 
+def test_schedule_sums_no_table_in_one_task(spark, frame, capsys):
+    points = spark.range(40).withColumnRenamed("id", "key")
+    got = {n: jobs.schedule_at_rate(points, frame([(i, i * 100.0, i * 100.0 + 1 + i % 3) for i in range(n)], "interval_id long, start double, end double"), 0.5, "key") for n in (10, 3000)}
+    for n, out in got.items():
+        size = [1 + i % 3 for i in range(n)]
+        capacity = int(sum(size) * 0.5)
+        step = (sum(size) - 2) / (capacity - 1)
+        for r in out.collect():
+            at, i = 1 + r["key"] % capacity * step, 0
+            while at >= size[i]:
+                at, i = at - size[i], i + 1
+            assert (r["trial_idx"], r["interval_id"]) == (r["key"] // capacity, i) and abs(r["gps_time"] - i * 100.0 - at) < 1e-6
+        assert out.count() == 40
+    got[3000].explain()
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", capsys.readouterr().out)
+    assert windows and all(w.startswith("_b") for w in windows)
+
+
 def test_superlags_start_with_zero(spark):
     rows = [list(r["shift"]) for r in jobs.superlags(spark, 3, 3, size=5).collect()]
     assert rows[0] == [0, 0, 0] and all(r[0] == 0 for r in rows) and len({tuple(r) for r in rows}) == 5
