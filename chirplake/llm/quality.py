@@ -4,7 +4,7 @@ Within a document: few words, and words in repeated three-word windows.  Across
 documents: each line is normalised and hashed; per host (``source``) the
 documents that hold it are counted, a document once; lines held by more than
 ``max_docs`` documents and more than ``max_share`` of the host's documents are
-boilerplate.  They are taken out, and a document that keeps too few of its
+boilerplate, and lines held by more than ``enough_docs`` are on any host.  They are taken out, and a document that keeps too few of its
 words is rejected.
 
 The counts are partial sums before the shuffle, one row per task and line, so a
@@ -32,6 +32,8 @@ BLANKS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line is boilerplate on a host when more documents than this hold it, and more than this share of the host's.
 MAX_DOCS, MAX_SHARE = 20, 0.02
+#: More documents than this are enough on any host, however large.
+ENOUGH_DOCS = 1000
 #: A document is depleted when fewer of its words are left, or a smaller share of them.
 LEFT_WORDS, LEFT_SHARE = 30, 0.5
 _POSITION_BITS = 20
@@ -104,14 +106,14 @@ def signals(docs: DataFrame) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
+def report(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
     """One row per document row: the counts, base_failed, boilerplate words, and the verdict ``kept``."""
     # written once: the line counts and the verdicts both read it, and a row's number must be the same for both
     found = scratch.write(signals(docs), "signals")
     hosts = found.groupBy("source").agg(F.count("*").alias("docs"))
     once = found.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     held = once.groupBy("source", "h").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > max_docs)
-    common = held.join(hosts, held["source"].eqNullSafe(hosts["source"])).where(F.col("in_docs") > max_share * F.col("docs")).select(held["source"].alias("host"), "h")
+    common = held.join(hosts, held["source"].eqNullSafe(hosts["source"])).where((F.col("in_docs") > max_share * F.col("docs")) | (F.col("in_docs") > enough_docs)).select(held["source"].alias("host"), "h")
     each = found.select("row", "source", F.explode("lines").alias("line"))
     hit = each.join(common, each["source"].eqNullSafe(common["host"]) & (each["line"]["h"] == common["h"])).groupBy("row").agg(F.sum("line.n").cast("long").alias("n_common"), F.count("*").alias("n_common_lines"))
     left = F.col("n_words") - F.coalesce("n_common", F.lit(0))

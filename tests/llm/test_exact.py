@@ -150,6 +150,13 @@ def test_quality_counts(spark, frame, monkeypatch, bits):
     assert by_row(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(repr((i, *quality_counts(t))) for i, t in docs)
 
 
+def test_enough_documents_on_a_large_host(spark, frame):
+    own = lambda i: " ".join(str(i).translate({48 + k: 97 + k for k in range(10)}) + w for w in "klmnopqrstuvwxyz" * 2)
+    rows = [(i, f"{own(i)}\n{'footer word ' * 20}" if i < 30 else own(i), "big") for i in range(2000)]
+    count = lambda **limits: quality.report(frame(rows, SCHEMA + ", source string"), Scratch(spark, "t"), **limits).where("n_boilerplate_lines = 1").count()
+    assert count() == 0 and count(enough_docs=29) == 30 and count(enough_docs=30) == 0
+
+
 def test_boilerplate_depletes(spark, frame):
     line = "all rights reserved " * 20
     rows = [(i, line + "\n" + (" ".join(f"w{chr(97 + i)}_{j}" for j in range(10 if i == 0 else 200))), None if i % 2 else "h") for i in range(20)]
