@@ -4,8 +4,9 @@ Within a document: few words, and words in repeated three-word windows.  Across
 documents: each line is normalised and hashed; per host (``source``) the
 documents that hold it are counted, a document once; lines held by more than
 ``max_docs`` documents and more than ``max_share`` of the host's documents are
-boilerplate, and lines held by more than ``enough_docs`` are on any host.  They are taken out, and a document that keeps too few of its
-words is rejected.
+boilerplate, and lines held by more than ``enough_docs`` are on any host.  A
+document that keeps too few of its words without them is rejected; ``cleaned``
+takes them out of the texts.
 
 The counts are partial sums before the shuffle, one row per task and line, so a
 line that a third of all documents hold is a few rows.  Lines above the limit
@@ -58,6 +59,14 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))), "[0-9]+", "0"), "^ | $", ""))
 
 
+def _filled(text: Column) -> Column:
+    return F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+
+
+def _lines(filled: Column) -> Column:
+    return F.transform(filled, lambda x: F.struct(_line_hash(x).alias("h"), F.size(_words(x)).alias("n")))
+
+
 def _same(words: Column, a: Column, b: Column) -> Column:
     at = lambda i, k: F.get(words, i + k)
     return (at(a, 0) == at(b, 0)) & (at(a, 1) == at(b, 1)) & (at(a, 2) == at(b, 2))
@@ -67,7 +76,7 @@ def signals(docs: DataFrame) -> DataFrame:
     """Of each row: row (its number), doc_id, source, lines (distinct hashes with their words), and the counts within the document."""
     t = F.col("text")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = out.withColumn("words", _words(t)).withColumn("filled", F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, BLANKS, "") != ""))
+    out = out.withColumn("words", _words(t)).withColumn("filled", _filled(t))
     low = (1 << _POSITION_BITS) - 1
     pos = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
     bits = lambda x: F.shiftright(x, _POSITION_BITS)
@@ -92,7 +101,6 @@ def signals(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((i + 3).alias("to"), (a["sum"] + i + 3 - F.greatest(i, a["to"])).alias("sum")),
         lambda a: a["sum"],
     )
-    lines = F.transform(F.col("filled"), lambda x: F.struct(_line_hash(x).alias("h"), F.size(_words(x)).alias("n")))
     return out.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -102,20 +110,25 @@ def signals(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("again") > 0, covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        lines.alias("lines"),
+        _lines(F.col("filled")).alias("lines"),
     )
 
 
-def report(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
-    """One row per document row: the counts, base_failed, boilerplate words, and the verdict ``kept``."""
-    # written once: the line counts and the verdicts both read it, and a row's number must be the same for both
-    found = scratch.write(signals(docs), "signals")
+def _hits(found: DataFrame, max_docs: int, max_share: float, enough_docs: int) -> DataFrame:
+    """(row, line) of each row's boilerplate lines; ``found`` has row, source and lines."""
     hosts = found.groupBy("source").agg(F.count("*").alias("docs"))
     once = found.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     held = once.groupBy("source", "h").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > max_docs)
     common = held.join(hosts, held["source"].eqNullSafe(hosts["source"])).where((F.col("in_docs") > max_share * F.col("docs")) | (F.col("in_docs") > enough_docs)).select(held["source"].alias("host"), "h")
     each = found.select("row", "source", F.explode("lines").alias("line"))
-    hit = each.join(common, each["source"].eqNullSafe(common["host"]) & (each["line"]["h"] == common["h"])).groupBy("row").agg(F.sum("line.n").cast("long").alias("n_common"), F.count("*").alias("n_common_lines"))
+    return each.join(common, each["source"].eqNullSafe(common["host"]) & (each["line"]["h"] == common["h"])).select("row", "line")
+
+
+def report(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
+    """One row per document row: the counts, base_failed, boilerplate words, and the verdict ``kept``."""
+    # written once: the line counts and the verdicts both read it, and a row's number must be the same for both
+    found = scratch.write(signals(docs), "signals")
+    hit = _hits(found, max_docs, max_share, enough_docs).groupBy("row").agg(F.sum("line.n").cast("long").alias("n_common"), F.count("*").alias("n_common_lines"))
     left = F.col("n_words") - F.coalesce("n_common", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = F.col("n_common").isNotNull() & ((left < left_words) | (left < left_share * F.col("n_words")))
@@ -129,3 +142,13 @@ def report(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float
 def without_boilerplate(text: Column, common: Column) -> Column:
     """The text without the lines whose hashes ``common`` (an array) holds."""
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(common, _line_hash(x))), "\n")
+
+
+def cleaned(docs: DataFrame, scratch, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, enough_docs: int = ENOUGH_DOCS) -> DataFrame:
+    """The rows, all columns as they are, with the boilerplate lines taken out of ``text``."""
+    # written once: a row's number must be the same in the counts and in the join
+    rows = scratch.write(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = rows.select("row", F.col("source").cast("string").alias("source"), _lines(_filled(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("lines"))
+    gone = _hits(found, max_docs, max_share, enough_docs).groupBy("row").agg(F.collect_set("line.h").alias("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without_boilerplate(F.col("text"), F.col("gone")))
+    return rows.join(gone, "row", "left").withColumn("text", text).select(*docs.columns)

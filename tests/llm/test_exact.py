@@ -157,6 +157,14 @@ def test_enough_documents_on_a_large_host(spark, frame):
     assert count() == 0 and count(enough_docs=29) == 30 and count(enough_docs=30) == 0
 
 
+def test_boilerplate_is_taken_out(spark, frame):
+    rows = [(i, f"Own {i % 7} line\n\n  Copyright  {i} by US \nlast", "s" if i < 8 else None, i) for i in range(11)] + [(50, None, "s", 0)]
+    got = quality.cleaned(frame(rows, SCHEMA + ", source string, other int"), Scratch(spark, "t"), max_docs=5)
+    assert got.columns == ["doc_id", "text", "source", "other"]
+    # of the host's 9 rows 8 hold all three lines once digits are one; the other host's 3 are too few
+    assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in frame([(i, "" if i < 8 else t, s, o) if t is not None else (i, t, s, o) for i, t, s, o in rows], SCHEMA + ", source string, other int").collect())
+
+
 def test_boilerplate_depletes(spark, frame):
     line = "all rights reserved " * 20
     rows = [(i, line + "\n" + (" ".join(f"w{chr(97 + i)}_{j}" for j in range(10 if i == 0 else 200))), None if i % 2 else "h") for i in range(20)]
