@@ -89,7 +89,7 @@ def signals(docs: DataFrame) -> DataFrame:
     odd = (F.col("n") > low) | F.exists(pair, lambda i: ~_same(w, pos(F.get(p, i)), pos(F.get(p, i - 1))))
     plain = F.array_sort(F.array_distinct(F.flatten(F.transform(pair, lambda i: F.array(pos(F.get(p, i)), pos(F.get(p, i - 1)))))))
     # by the windows themselves: sorted (window, position), each equal to a neighbour
-    out = out.withColumn("odd", F.when(F.size(pair) > 0, odd).otherwise(F.lit(False)))
+    out = out.withColumn("odd", F.when(F.size(p) > 0, odd).otherwise(F.lit(False)))
     grouped = F.when(F.col("odd"), F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.struct(F.slice(w, i + 1, 3).alias("x"), i.alias("i")))))
     out = out.withColumn("sorted", grouped)
     s = F.col("sorted")

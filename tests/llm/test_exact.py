@@ -165,6 +165,13 @@ def test_boilerplate_is_taken_out(spark, frame):
     assert sorted(map(repr, got.collect())) == sorted(repr(r) for r in frame([(i, "" if i < 8 else t, s, o) if t is not None else (i, t, s, o) for i, t, s, o in rows], SCHEMA + ", source string, other int").collect())
 
 
+def test_repeats_on_either_side_of_the_last_position(spark, frame, monkeypatch):
+    monkeypatch.setattr(quality, "_POSITION_BITS", 3)
+    rows = [(k, " ".join([f"a{k}", f"b{k}", f"c{k}", *"defghi", f"a{k}", f"b{k}", f"c{k}"]), "s") for k in range(16)]
+    got = quality.report(frame(rows, SCHEMA + ", source string"), Scratch(spark, "t")).collect()
+    assert [r["n_repeat_words"] for r in got] == [6] * 16
+
+
 def test_boilerplate_depletes(spark, frame):
     line = "all rights reserved " * 20
     rows = [(i, line + "\n" + (" ".join(f"w{chr(97 + i)}_{j}" for j in range(10 if i == 0 else 200))), None if i % 2 else "h") for i in range(20)]
