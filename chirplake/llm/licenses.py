@@ -64,13 +64,68 @@ FORMS = (
     ("under the terms of (?:the )?{name}", 70, 0.85),
     ("{name}", 50, 0.6),
 )
+# Short names: label, pattern, keyword, versions ("" for the name alone).
+SHORT = (
+    ("gpl", "(?:gnu )?gpl", " gpl", ("", "1", "2", "3")),
+    ("lgpl", "(?:gnu )?lgpl", " lgpl", ("", "2", "2 1", "3")),
+    ("agpl", "(?:gnu )?agpl", " agpl", ("", "1", "3")),
+    ("apache", "apache", " apache", ("1 0", "1 1", "2 0")),
+    ("apache", "asl", " asl", ("1 0", "1 1", "2 0")),
+    ("mpl", "mpl", " mpl", ("1 0", "1 1", "2 0")),
+    ("epl", "epl", " epl", ("1 0", "2 0")),
+    ("cddl", "cddl", " cddl", ("", "1 0", "1 1")),
+    ("eupl", "eupl", " eupl", ("", "1 1", "1 2")),
+    ("bsl", "bsl", " bsl", ("1 0",)),
+    ("bsl", "boost", " boost", ("1 0",)),
+    ("wtfpl", "wtfpl", " wtfpl", ("", "2")),
+    ("bsd", "bsd (?:style )?licen[cs]ed?", " bsd ", ("",)),
+    ("bsd", "licensed under (?:the |a )?bsd", " bsd ", ("",)),
+    ("bsd-2-clause", "bsd 2 clause(?: licen[cs]e)?", " bsd ", ("",)),
+    ("bsd-3-clause", "bsd 3 clause(?: licen[cs]e)?", " bsd ", ("",)),
+    ("mit", "(?:mit (?:style )?licensed|mit style licen[cs]e|licensed under (?:the )?mit)", " mit ", ("",)),
+    ("mit", "expat licen[cs]e", " expat ", ("",)),
+    ("mit", "x11 licen[cs]e", " x11 ", ("",)),
+)
+_NOTICE = "this [^ ]+ is free software you can redistribute it"
+_FSF = "(?: as published by the free software foundation)?"
+# Wording of licenses and notices: label, keyword, pattern.
+TEXTS = (
+    ("mit", " hereby ", "permission is hereby granted free of charge(?: to any person obtaining a copy(?: of this software and associated documentation files(?: the software)?)?)?"),
+    ("mit", " substantial ", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsl", " organization ", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl", " font ", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("isc", " fee ", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", " fee ", "permission to use copy modify(?: and)? distribute (?:and sell )?this software and its documentation for any purpose (?:and )?(?:with or )?without fee is hereby granted"),
+    ("bsd", " redistribution ", "redistribution and use in source and binary forms(?: with or without modification are permitted(?: provided that the following conditions are met)?)?"),
+    ("bsd-3-clause", " endorse ", "neither the names? of (?:[^ ]+ ){1,16}?may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", " advertising ", "all advertising materials mentioning features or use of this software must display"),
+    ("gpl", " redistribute ", "this program is free software you can redistribute it(?: and or modify it)?"),
+    ("lgpl", " redistribute ", "this library is free software you can redistribute it(?: and or modify it)?"),
+    *((label, " redistribute ", f"{_NOTICE} and or modify it under the terms of (?:the )?gnu {kind}general public licen[cs]e{_FSF}") for label, kind in (("gpl", ""), ("lgpl", "(?:lesser|library) "), ("agpl", "affero "))),
+    *((f"{label}-{v.replace(' ', '.')}", " redistribute ", f"{_NOTICE} and or modify it under the terms of (?:the )?gnu {kind}general public licen[cs]e{_FSF}(?: either)? version {v} of the licen[cs]e") for label, kind, versions in (("gpl", "", "1|2|3"), ("lgpl", "(?:lesser|library) ", "2|2 1|3"), ("agpl", "affero ", "1|3")) for v in versions.split("|")),
+    ("apache", " compliance ", "you may not use this file except in compliance with the licen[cs]e"),
+    ("apache", " reproduction ", "terms and conditions for use reproduction and distribution"),
+    ("apache-2.0", " basis ", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("mpl-2.0", " mozilla ", "this source code form is subject to the terms of the mozilla public licen[cs]e(?: v 2 0)?"),
+    ("mpl-1.1", " mozilla ", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl", " eclipse ", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", " development ", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("unlicense", " unencumbered ", "this is free and unencumbered software released into the public domain"),
+    ("zlib", " liable ", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", " misrepresented ", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("cc0", " waived ", "waived all copyright and related or neighbou?ring rights"),
+    ("wtfpl", " verbatim ", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("artistic", " intent ", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("psf", " python ", "this licen[cs]e agreement is between the python software foundation"),
+    ("ms-pl", " governs ", "this licen[cs]e governs use of the accompanying software"),
+)
 #: A text with none of these words has no license.
-GENERAL = r" (?:licen[cs]e[ds]?|spdx|cc|cc0|creative|copyright|unlicense) "
+GENERAL = r" (?:licen[cs]e[ds]?|spdx|cc|cc0|creative|copyright|unlicense|(?:[al]?gpl|asl|apache|mpl|epl|cddl|eupl|bsl|boost|wtfpl)(?:v?[0-9])?|bsd|hereby|redistribut(?:e|ion)|reproduction|endorse|advertising|unencumbered|liable|misrepresented|waived|intent) "
 BASE_SCORE = 0.5
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, score), in order: every license and version in every form."""
+    """(label, keyword, pattern, priority, score), in order: every license and version in every form, short names, wording."""
     out = []
     for label, name, versions in NAMES:
         keyword = " " + next(w for w in name.replace("(?:", " ").replace("|", " ").split() if w.isalpha() or w == "cc0")
@@ -83,6 +138,11 @@ def rules() -> list[tuple[str, str, str, int, float]]:
                 spdx = " ".join([label.replace("-", " "), *([version] if version else [])])
                 full = form.format(name=name + tail, id=spdx + "(?: only| or later)?")
                 out.append((f"{label}-{version.replace(' ', '.')}" if version else label, " spdx " if priority == 100 else keyword, f"(?<= ){full}(?= )", priority + (5 if version else 0), score))
+    for label, name, keyword, versions in SHORT:
+        for version in versions:
+            tail = f"(?: version| v)? ?v?{version.removesuffix(' 0')}(?: 0)?(?: only| or later)?" if version else ""
+            out.append((f"{label}-{version.replace(' ', '.')}" if version else label, keyword, f"(?<= ){name}{tail}(?= )", 45 if version else 40, 0.5))
+    out += [(label, keyword, f"(?<= ){pattern}(?= )", 85, 0.9) for label, keyword, pattern in TEXTS]
     return out
 
 

@@ -86,6 +86,58 @@ def test_rules_are_many_and_compile():
         assert keyword.startswith(" ") and 0 < score <= 1
 
 
+LICENSE_TEXTS = (
+    ("Permission is hereby granted, free of charge", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "bsl"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of the Font Software", "ofl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted", "hpnd"),
+    ("Redistribution and use in source and binary forms, with or without modification", "bsd"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause"),
+    ("All advertising materials mentioning features or use of this software must display", "bsd-4-clause"),
+    ("This program is free software; you can redistribute it", "gpl"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published", "agpl"),
+    ("You may not use this file except in compliance with the License.", "apache"),
+    ("TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "apache"),
+    ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS', "apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1", "mpl-1.1"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License", "epl"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License", "cddl"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable", "zlib"),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib"),
+    ("has waived all copyright and related or neighboring rights", "cc0"),
+    ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl"),
+    ("The intent of this document is to state the conditions under which a Package may be copied", "artistic"),
+    ("This LICENSE AGREEMENT is between the Python Software Foundation", "psf"),
+    ("This license governs use of the accompanying software.", "ms-pl"),
+    ("plain BSD license", "bsd"),
+    ("GPLv3", "gpl-3"),
+    ("GPL", "gpl"),
+    ("GPL-2.0-or-later", "gpl-2"),
+    ("LGPL 2.1", "lgpl-2.1"),
+    ("AGPL v3", "agpl-3"),
+    ("Apache 2.0", "apache-2.0"),
+    ("Apache-2", "apache-2.0"),
+    ("MPL 1.1", "mpl-1.1"),
+    ("BSD-3-Clause", "bsd-3-clause"),
+    ("MIT licensed", "mit"),
+    ("WTFPL", "wtfpl"),
+)
+
+
+def test_license_texts_and_short_names(frame):
+    docs = [(i, f"some words before, {t}\nand after") for i, (t, _) in enumerate(LICENSE_TEXTS)]
+    docs += [(1000, "an apache helicopter, 2 0 of them, permission and a mit, bsd"), (1001, "the software is here")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(frame(docs, SCHEMA)).collect()}
+    wrong = [(t, want, got[i]) for i, (t, want) in enumerate(LICENSE_TEXTS) if want not in got[i].split(",")]
+    assert not wrong and got[1000] == "" and got[1001] == ""
+
+
 # --- personal data
 
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
