@@ -151,7 +151,7 @@ def _pack(path: str, size: int, end_id: int, stops: tuple[str, ...]):
         for batch in it:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for a, b in batches(texts):
-                ids, count = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                ids, count = encoder.encode(texts.slice(a, b - a))
                 ends = np.cumsum(count)
                 ids = np.insert(ids, ends, end_id)
                 ends = ends + np.arange(1, len(ends) + 1)

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from chirplake.llm import bwt, byte_dedup, decontam, html_main, licenses, near_dup, packing, pii, quality, token_files
+from chirplake.llm import bwt, byte_dedup, decontam, encoding, html_main, licenses, near_dup, packing, pii, quality, token_files
 from chirplake.llm.encoding import Encoder
 from chirplake.llm.entries import vocabulary
 from chirplake.llm.shared import Scratch
@@ -237,15 +237,20 @@ TEXTS = ["", " ", "a  b", "it's  the\n \nend", " x", "x ", "foo\n bar", "Éa ª
 
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_words_encode_as_texts(name, spaced):
+def test_words_encode_as_texts(monkeypatch, name, spaced):
     import random
 
     rng = random.Random(3)
-    parts = ["a", "B", " ", "  ", "\n", ".", "é", " ", "'s", "1", "\t", "<|endoftext|>", "Σ", "́", "\x1c", "中", "'", "\0", "foo", "Éa", "foo.", "!!"]
-    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    letters = ["a", "B", " ", "  ", "\n", ".", "é", " ", "'s", "1", "\t", "<|endoftext|>", "Σ", "́", "\x1c", "中", "'", "\0", "foo", "Éa", "foo.", "!!"]
+    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    from tokenizers import Tokenizer
+
     e = Encoder(vocabulary(name), spaced)
+    want = [x.ids for x in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(encoding, "KEPT_WORDS", 50)
+    parts = [e.encode(texts[i : i + 400]) for i in range(0, len(texts), 400)]  # words are forgotten and learned again
+    assert np.concatenate([x for x, _ in parts]).tolist() == [i for x in want for i in x] and np.concatenate([n for _, n in parts]).tolist() == [len(x) for x in want]
     ids, n = e.encode(texts)
-    want = [x.ids for x in e.model.encode_batch(texts, add_special_tokens=False)]
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
