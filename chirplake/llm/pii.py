@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import placed
+from .native import PART, let, placed
 from .shared import id_and_text
 
 
@@ -142,15 +142,35 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the earlier one counts."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with its spans replaced by their kind in brackets; spans that overlap or lie in each other go as one, named by the first."""
+    zero = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        more = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        return F.when(s["start"] >= state["at"], more).otherwise(state)
+        last = F.element_at(state["out"], -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["rank"].alias("rank"), last["kind"].alias("kind"), last["score"].alias("score"))
+        size = F.size(state["out"])
+        joined = F.struct(longer["end"].alias("end"), F.concat(F.slice(state["out"], F.lit(1), size - 1), F.array(longer)).alias("out"))
+        return F.when(s["start"] < state["end"], joined).otherwise(F.struct(s["end"].alias("end"), F.concat(state["out"], F.array(s)).alias("out")))
 
-    return F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"))))
+    def write(spans: Column) -> Column:
+        n = F.size(spans)
+        end = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.get(spans, i)["end"])
+        cut = lambda t, a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+
+        def part(c: Column) -> Column:
+            """PART spans with the text before each: a place is looked for in their stretch, not in the whole text."""
+            first, last = c * PART, F.least(c * PART + PART, n) - 1
+
+            def one(base: Column) -> Column:
+                each = lambda chunk: F.array_join(F.transform(F.sequence(first, last), lambda i: F.concat(cut(chunk, end(i - 1) - base, F.get(spans, i)["start"] - base), F.lit("["), F.upper(F.get(spans, i)["kind"]), F.lit("]"))), "")
+                return let(cut(text, base, end(last)), each)
+
+            return let(end(first - 1), one)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PART).cast("int")), part)
+        return F.concat(F.array_join(parts, ""), F.substr(text, (end(n - 1) + 1).cast("int")))
+
+    return let(F.aggregate(found, zero, step, lambda s: s["out"]), write)
 
 
 def mask(docs: DataFrame) -> DataFrame:
