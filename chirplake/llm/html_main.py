@@ -67,22 +67,29 @@ CLOSES_P = BLOCKS - {"body", "caption", "dd", "dt", "head", "html", "legend", "l
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _SCOPE = {"table", "td", "th", "button", "object", "template", "html", "body"}
 _JUNK_WORDS = "ad|ads|adbox|adslot|advert|adverts|advertisement|advertising|alert|announcement|banner|breadcrumb|breadcrumbs|byline|comment|comments|commentlist|consent|cookie|cookies|copyright|disclaimer|disqus|footer|gdpr|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|pager|pagination|paywall|popup|promo|promoted|promotion|related|recommended|recommendations|replies|reply|respond|responses|rail|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|teaser|toolbar|topbar|trending|warning|widget"
-_JUNK = re.compile(rf"^(?!(?:with|has|no|is|without)[-_])(?:(?:{_JUNK_WORDS})(?:[-_0-9].*)?|.*[-_](?:{_JUNK_WORDS})[0-9]*)$", re.I)
+_PARTS = "area|bar|block|body|bottom|box|button|buttons|container|content|desktop|first|form|fixed|group|holder|icons|inner|item|items|last|left|link|links|list|main|mobile|nav|outer|panel|posts|primary|right|row|secondary|section|site|slot|sticky|text|title|top|unit|widget|widgets|wrap|wrapper|module|section|modal|banner|overlay|media|card|cards|feed|thread|count|reply|author|meta|toggle|logo|info|message|notice|close"
+_JUNK = re.compile(rf"^(?:(?:{_JUNK_WORDS})(?:[-_]?[0-9x]+|[-_](?:{_PARTS})[0-9]*)*|.*[-_](?:{_JUNK_WORDS})[0-9]*)$", re.I)
 _JUNK_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _BODY = re.compile(r"^(?:(?:article|post|entry|story|main|page|blog|news)[-_]?(?:body|content|text)|articlebody|content|main|maincontent|story|article|post|entry)$", re.I)
 _KEPT_NAMES = {"html", "body", "main", "article"}
+#: Names that fit these say what stands beside the text, or what it is about, not that it is none.
+_ABOUT = re.compile(r"(?:^|[-_])(?:with|has|no|is|without|tag|category|topic|type|format|status)[-_]", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "children", "junk", "body", "links", "size")
+    __slots__ = ("tag", "children", "junk", "body", "size", "ranks")
 
-    def __init__(self, tag: str, junk: bool = False, body: int = 0):
+    def __init__(self, tag: str, junk: int = 0, body: int = 0):
         self.tag, self.junk, self.body = tag, junk, body
         self.children: list = []
 
 
-def _attributes(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
-    """Whether the element is no article text, and its rank as the article's container (0: none)."""
+#: What declares an element to be no article text: its tag or that it is hidden; or a name or a form, which may wrap the page.
+HARD, SOFT = 1, 2
+
+
+def _attributes(tag: str, raw: str, in_article: bool) -> tuple[int, int]:
+    """HARD or SOFT if the element is no article text, else 0, and its rank as the article's container (0: none)."""
     rank = {"article": 3, "main": 2}.get(tag, 0)
     names: list[str] = []
     for name, a, b, c in _ATTR.findall(raw) if raw and not raw.isspace() else ():
@@ -91,37 +98,60 @@ def _attributes(tag: str, raw: str, in_article: bool) -> tuple[bool, int]:
             names += value.split()
         elif name == "role":
             if value.lower() in _JUNK_ROLES and tag not in _KEPT_NAMES:
-                return True, 0
+                return SOFT, 0
             rank = max(rank, {"main": 2, "article": 3}.get(value.lower(), 0))
         elif name == "itemprop" and value.lower() == "articlebody":
             rank = max(rank, 3)
         elif (name == "hidden" and tag not in _KEPT_NAMES) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True, 0
+            return HARD, 0
     if tag in ("html", "body", "main"):
-        return False, rank
+        return 0, rank
     for name in names:
-        if _JUNK.match(name) and not (in_article and re.search(r"header|byline|legal", name, re.I)):
-            return True, 0
+        if _JUNK.match(name) and not _ABOUT.search(name) and not (in_article and re.search(r"header|byline|legal", name, re.I)):
+            return HARD if tag in DROPPED - {"form"} else SOFT, 0
         if tag in ("div", "section") and _BODY.match(name):
             rank = max(rank, 1)
-    return tag in DROPPED or (tag == "header" and not in_article), rank
+    if tag == "form":
+        return SOFT, rank
+    return HARD if tag in DROPPED or (tag == "header" and not in_article) else 0, rank
+
+
+def _rescue(root: _Node) -> None:
+    """Settles SOFT elements: one with the page's main element in it stays, and a form also if it holds an article's container or most of the page's text."""
+    order, stack = [], [root]
+    while stack:
+        order.append(stack.pop())
+        stack += [c for c in order[-1].children if not isinstance(c, str)]
+    for node in reversed(order):
+        below = [c for c in node.children if not isinstance(c, str)]
+        node.size = sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace()) + sum(c.size for c in below)
+        node.ranks = 1 << node.body
+        for c in below:
+            node.ranks |= c.ranks * (c.junk != HARD)
+        if node.junk == SOFT and node.ranks & (0b1110 if node.tag == "form" else 0b100):
+            node.junk = 0
+    for node in order:
+        if node.junk == SOFT and node.tag == "form" and 2 * node.size > root.size:
+            node.junk = 0
+        if node.junk:
+            node.children = []
 
 
 def parse(page: str) -> _Node:
     """The tree of a page.  Text is str, decoded; what is no article is a junk node without children."""
     root = _Node("#root")
     stack, at, n = [root], 0, len(page)
-    junk_depth = article = 0
+    hard_depth = article = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal junk_depth, article
+        nonlocal hard_depth, article
         while len(stack) > depth:
             node = stack.pop()
-            junk_depth -= node.junk
+            hard_depth -= node.junk == HARD
             article -= node.body >= 2
 
     def text(s: str) -> None:
-        if s and not junk_depth:
+        if s and not hard_depth:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     while at < n:
@@ -178,16 +208,17 @@ def parse(page: str) -> _Node:
             at = close.end() if close else n
             continue
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS and tag != "a":
-            if not junk_depth:
+            if not hard_depth:
                 stack[-1].children.append(_Node(tag))
             continue
         junk, rank = _attributes(tag, raw, article > 0)
         node = _Node(tag, junk, rank)
-        if not junk_depth:
+        if not hard_depth:
             stack[-1].children.append(node)
         stack.append(node)
-        junk_depth += junk
+        hard_depth += junk == HARD
         article += rank >= 2
+    _rescue(root)
     return root
 
 
@@ -283,7 +314,8 @@ def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tupl
             elif child.tag in VOID:
                 if child.tag == "hr":
                     flush()
-                held.append(" ")
+                if child.tag != "wbr":
+                    held.append(" ")
             elif not child.junk:
                 if not found and child.tag in CONTAINERS:
                     total, linked = _size(child)
