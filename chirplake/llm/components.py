@@ -2,8 +2,11 @@
 
 Alternates two steps until no edge changes: every node links its larger
 neighbours to its smallest one, then its smaller neighbours and itself.  Both
-are a partial minimum per node and a join, so no node's neighbours ever meet in
-one task.  Each round is written to the shared folder, which cuts the lineage.
+are a partial minimum per node and a join of it back to the node's edges.  A
+node that holds more than one in ``HUBS`` of all edge ends is a hub; there are
+fewer than ``HUBS`` of them, so their minima are broadcast and their edges stay
+where they are.  No other node's edges are many.  Each round is written to the
+shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -13,30 +16,37 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
+HUBS = 4096
+
 
 def _sign(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with ``m`` of their u; ``least`` has u, m and the number n of the at most ``total`` edge ends that u holds."""
+    hub = F.col("n") > total / HUBS
+    hubs = F.broadcast(least.where(hub).select("u", "m"))  # fewer than HUBS rows
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label): the smallest node of its component, for every node that has an edge.  ``edges`` has longs a and b."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.write(now, f"{name}-0")
-    sign = _sign(now)
-    for i in range(1, most):
+    sign, before, i = _sign(now), None, 0
+    while sign != before:  # each round makes the sum of all labels smaller, so it ends
+        i += 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # larger neighbours go to the smallest of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least, 2 * sign[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.write(large, f"{name}-large-{i}")
         # smaller neighbours and the node itself go to the smallest one
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.write(small, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
-        now, before, sign = new, sign, _sign(new)
-        if sign == before:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, down, 2 * sign[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).distinct()
+        now, before = scratch.write(small, f"{name}-{i}"), sign
+        sign = _sign(now)
+        scratch.drop(f"{name}-{i - 1}", f"{name}-large-{i}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

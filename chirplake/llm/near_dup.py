@@ -6,8 +6,9 @@ kept, two signature values for one evaluation; each equals that of another
 document with the probability of their similarity.  Values are banded; two
 documents that agree in a band share a bucket.
 
-1. Equal sets form a class (128 bits of their hashes and their size) with its
-   smallest doc id for it.  Only class representatives go on.
+1. Equal sets form a class (a 128-bit cryptographic digest of the whole sorted
+   set, and its size) with its smallest doc id for it.  Only class
+   representatives go on.
 2. Buckets with two or more representatives: a task gets them by bucket, with
    their signatures, and draws a spanning forest over the pairs whose
    signatures agree in ``PROBABLE`` or more of all values.  A true link agrees
@@ -34,6 +35,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,11 +49,11 @@ from .shared import Scratch, id_and_text
 
 PERMS, ROWS = 70, 5
 BANDS = 2 * PERMS // ROWS
-PROBABLE = 0.64
+PROBABLE = 0.62
 BUCKET, BLOCK, BLOCK_SHINGLES = 1024, 2048, 2_000_000
 _MULT = (T._stream(0xAB, PERMS) >> T.U64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (T._stream(0xAC, PERMS) >> T.U64(32)).astype(np.uint32)
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"
+SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, a: int, b: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +85,11 @@ def _sign(k: int):
                 flat, size = shingle_sets(raw, offs, a, b, k)
                 n = b - a
                 bands, sketch = np.zeros((n, BANDS), np.int64), np.zeros((n, 2 * PERMS), np.uint8)
-                sums = np.zeros((2, n), np.int64)
+                edge = np.concatenate([[0], np.cumsum(size)])
+                digests = [hashlib.blake2b(flat[i:j].astype("<u8").data, digest_size=16).digest() if j > i else b"" for i, j in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
                 full = np.flatnonzero(size)
                 if len(full):
-                    starts = (np.cumsum(size) - size)[full]
+                    starts = edge[full]
                     low = (flat >> T.U64(32)).astype(np.uint32)
                     values = np.empty((len(full), 2 * PERMS), np.uint32)
                     for i in range(PERMS):
@@ -99,12 +102,9 @@ def _sign(k: int):
                     for r in range(ROWS):
                         h = T.mix(h ^ grouped[:, :, r])
                     bands[full] = h.view(np.int64)
-                    with np.errstate(over="ignore"):
-                        sums[0, full] = np.add.reduceat(flat, starts).view(np.int64)
-                        sums[1, full] = np.add.reduceat(T.mix(flat ^ T.U64(0x1234567)), starts).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), pa.array(size, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), T.lists(bands[full].reshape(-1), np.where(size > 0, BANDS, 0), pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "sketch"],
+                    [batch.column("doc_id").slice(a, n), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), T.lists(bands[full].reshape(-1), np.where(size > 0, BANDS, 0), pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
                 )
 
     return run
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     assert percent >= 80, "bands are laid out for similarities of 0.8 or more"
     rows = id_and_text(docs)
     signed = scratch.write(rows.mapInArrow(_sign(k), SIGNED), "signed")
-    same = ["s1", "s2", "n_shingles"]
+    same = ["digest", "n_shingles"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     kinds = scratch.write(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "kinds")
     reps = kinds.join(full.withColumnRenamed("doc_id", "rep"), [*same, "rep"]).dropDuplicates([*same, "rep"]).select("rep", F.col("n_shingles").alias("n"), "sketch", "bands")
@@ -257,6 +257,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     small = shared.where(F.col("members") <= BUCKET).select("bucket", "rep").join(reps.select("rep", "n", "sketch"), "rep")
     likely = small.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_probable, "a long, b long")
     clusters = components(likely.union(large), scratch, "likely").withColumnRenamed("label", "cluster")
+    scratch.drop("buckets")
     # a cluster's sets meet in one task, or, cut into blocks by their shingles, in one for each pair of blocks
     sized = scratch.write(clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
     blocks = sized.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
@@ -272,6 +273,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     several = full.join(kinds.select(*same, "rep"), [*same]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     again = several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
     labels = components(links.union(again), scratch, "links")
+    scratch.drop("reps", "clusters")
     named = kinds.join(labels, kinds["rep"] == labels["node"], "left").select(*same, F.coalesce("label", "rep").alias("component"), "copies")
     out = signed.select("doc_id", *same).join(named, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
