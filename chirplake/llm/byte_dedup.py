@@ -45,7 +45,9 @@ from .shared import Scratch, id_and_text
 
 GRAM, LENGTH = 16, 50
 #: Starts in one segment at most, starts looked at together, and symbols in one transform.
-RUN, SLICE, BLOCK = 128, 1 << 20, 1 << 20
+RUN, SLICE, BLOCK = 128, 1 << 20, 1 << 19
+#: Bytes of text whose equal segments are looked for before anything is shuffled.
+SHARED = 8 << 20
 #: Different segments of one key from which on it is dealt out by its strings.
 WIDE = 4096
 PARTS = 8
@@ -195,8 +197,9 @@ def _entries(parts: int, length: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for lo in range(0, whole.num_rows, 1 << 16):
-                batch = whole.slice(lo, 1 << 16)
+            _, edges = T.flat(whole.column("text"))
+            for lo, hi in [(a, min(a + (1 << 16), j)) for i, j in T.chunks(edges, SHARED) for a in range(i, j, 1 << 16)]:
+                batch = whole.slice(lo, hi - lo)
                 batch = batch.filter(batch.column("doc_id").is_valid())
                 raw, offs = T.flat(batch.column("text"))
                 ids = batch.column("doc_id").to_numpy()
@@ -312,47 +315,52 @@ def _fetch(length: int):
     """(doc_id, text, asked) to rows (key, doc_id, start, n, bytes); of wide keys one row per string, and marks for those that a smaller document of the batch has."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            raw, offs = T.flat(batch.column("text"))
-            data = raw.tobytes()
-            key, doc, start, count, text = [], [], [], [], []
-            wide: dict[bytes, list[tuple[int, int]]] = {}
-            for i, (d, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-                base, stop = int(offs[i]), int(offs[i + 1])
-                for blob in asked:
-                    for k, s, n, many in np.frombuffer(blob, REQUEST).tolist():
-                        if base + s + n + length - 1 > stop:
-                            continue  # another row of the same doc_id has this segment
-                        if many:
-                            for j in range(s, s + n):
-                                wide.setdefault(data[base + j : base + j + length], []).append((d, j))
-                        else:
-                            key.append(k)
-                            doc.append(d)
-                            start.append(s)
-                            count.append(n)
-                            text.append(data[base + s : base + s + n + length - 1])
-            m_doc, m_at = [], []
-            for string, places in wide.items():
-                least = min(d for d, _ in places)
-                for d, j in places:
-                    if d == least:
-                        key.append(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest()))
-                        doc.append(d)
-                        start.append(j)
-                        count.append(1)
-                        text.append(string)
+        for whole in it:
+            _, edges = T.flat(whole.column("text"))
+            for lo, hi in T.chunks(edges, SHARED):
+                yield from chunk(whole.slice(lo, hi - lo))
+
+    def chunk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw, offs = T.flat(batch.column("text"))
+        data = raw.tobytes()
+        key, doc, start, count, text = [], [], [], [], []
+        wide: dict[bytes, list[tuple[int, int]]] = {}
+        for i, (d, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+            base, stop = int(offs[i]), int(offs[i + 1])
+            for blob in asked:
+                for k, s, n, many in np.frombuffer(blob, REQUEST).tolist():
+                    if base + s + n + length - 1 > stop:
+                        continue  # another row of the same doc_id has this segment
+                    if many:
+                        for j in range(s, s + n):
+                            wide.setdefault(data[base + j : base + j + length], []).append((d, j))
                     else:
-                        m_doc.append(d)
-                        m_at.append(j)
-            at = np.array(m_at, np.int64)
-            ids, marks = _marks(np.array(m_doc, np.int64), at, at + length)
-            n, m = len(key), len(ids)
-            signed = np.array(key, np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(signed, np.array(ids, np.int64)), pa.int64()), pa.array(doc + ids, pa.int64()), pa.array(start + [None] * m, pa.int64()), pa.array(count + [None] * m, pa.int32()), pa.array(text + [None] * m, pa.binary()), pa.array([None] * n + marks, pa.binary())],
-                names=["key", "doc_id", "start", "n", "bytes", "marks"],
-            )
+                        key.append(k)
+                        doc.append(d)
+                        start.append(s)
+                        count.append(n)
+                        text.append(data[base + s : base + s + n + length - 1])
+        m_doc, m_at = [], []
+        for string, places in wide.items():
+            least = min(d for d, _ in places)
+            for d, j in places:
+                if d == least:
+                    key.append(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest()))
+                    doc.append(d)
+                    start.append(j)
+                    count.append(1)
+                    text.append(string)
+                else:
+                    m_doc.append(d)
+                    m_at.append(j)
+        at = np.array(m_at, np.int64)
+        ids, marks = _marks(np.array(m_doc, np.int64), at, at + length)
+        n, m = len(key), len(ids)
+        signed = np.array(key, np.uint64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(signed, np.array(ids, np.int64)), pa.int64()), pa.array(doc + ids, pa.int64()), pa.array(start + [None] * m, pa.int64()), pa.array(count + [None] * m, pa.int32()), pa.array(text + [None] * m, pa.binary()), pa.array([None] * n + marks, pa.binary())],
+            names=["key", "doc_id", "start", "n", "bytes", "marks"],
+        )
 
     return run
 

@@ -58,6 +58,16 @@ def test_decontamination_of_nothing(frame):
     assert out.count() == 0
 
 
+def test_decontamination_of_repeated_words(frame):
+    import time
+
+    docs = [(1, "ab " * 20_000), (2, "ab cd " * 3000 + "x"), (3, "yes " * 500 + "no")]
+    items = [(1, "ab " * 600), (2, "ab cd " * 30), *[(100 + i, "yes") for i in range(300)], (9, "ab " * 12 + "zz " + "ab " * 300)]
+    began = time.time()
+    got = {r["doc_id"]: tuple(r)[1:4] for r in decontam.find_shared(frame(docs, SCHEMA), frame(items, "item_id long, text string")).collect()}
+    assert got == {1: (20_000, 20_000, 2), 2: (6001, 6000, 1), 3: (501, 500, 300)} and time.time() - began < 60
+
+
 # --- licenses
 
 
@@ -179,6 +189,23 @@ def test_mask_and_context(frame):
     assert tuple(got[2]) == (2, "clean", 5, "y") and got[3]["text"] is None
 
 
+def test_mask_leaves_nothing_of_a_span(frame):
+    import random
+
+    rng = random.Random(8)
+    parts = ["1.2.3.4", " ", "111111111111111", "a@b.co", "+1 555 123 4567", "x", "4111 1111 1111 1111", "12.", "-"]
+    docs = [(0, "host 1.2.3.4 111111111111111 end")] + [(i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(1, 300)]
+    frame_ = frame(docs, SCHEMA)
+    spans_of = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s] for r in pii.report(frame_).collect()}
+    for r in pii.mask(frame_).collect():
+        text, gone = dict(docs)[r["doc_id"]], set()
+        for a, b in spans_of[r["doc_id"]]:
+            gone |= set(range(a, b))
+        left = "".join(c for i, c in enumerate(text) if i not in gone)
+        assert re.sub(r"\[[A-Z]+\]", "", r["text"]) == left
+    assert len([1 for v in spans_of.values() if len(v) > 1]) > 50
+
+
 # --- quality
 
 
@@ -379,6 +406,32 @@ def test_one_of_each(spark, frame):
     assert sorted(r["doc_id"] for r in rows) == sorted(want) and all(r["copies"] == "x" for r in rows)
 
 
+def test_recall_of_the_sketch_gate():
+    """Sets of similarity 0.8: how many the share of equal sketch bytes would drop, by its exact distribution."""
+    import math
+
+    n, least = 2 * near_dup.PERMS, math.ceil(2 * near_dup.PERMS * near_dup.PROBABLE)
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least))
+    bands = (1 - 0.8**near_dup.ROWS) ** near_dup.BANDS
+    assert missed < 1e-6 and bands < 2e-5
+
+
+def test_pairs_at_the_limit_are_found(spark, frame):
+    import random
+
+    rng, docs, far = random.Random(11), [], []
+    for i in range(150):  # 180 words with one word changed in the middle of 4-word shingles: similarity falls with each change
+        base = [f"w{rng.randrange(10**6)}" for _ in range(183)]
+        other = list(base)
+        for at in rng.sample(range(10, 170, 8), 5):
+            other[at] = f"z{rng.randrange(10**6)}"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        far.append(len({tuple(base[j : j + 4]) for j in range(180)} & {tuple(other[j : j + 4]) for j in range(180)}))
+    assert set(far) == {160}  # 160 of 200: exactly 0.8
+    out = near_dup.classes(frame(docs, SCHEMA), Scratch(spark, "t")).where("kept").count()
+    assert out == 150
+
+
 # --- repeated bytes
 
 
@@ -463,6 +516,13 @@ def test_templates_are_counted_per_host(spark, frame):
         (f"<div><p>{'long text ' * 9}</p></div><article><p>teaser</p></article>", f"{('long text ' * 9).strip()}\nteaser"),
         ("<article><p>outer</p><article><p>inner</p></article></article>", "outer\ninner"),
         (f"<ul><li><a href=x>{'link ' * 90}</a></ul><article><p>text</p></article>", "text"),
+        ('<article class="post category-legal tag-social"><p>blog text</p><div class="social-science">science</div><div class="share-buttons">share</div></article>', "blog text\nscience"),
+        ('<div class="content-with-sidebar"><p>beside</p><div class="sidebar">not this</div></div>', "beside"),
+        ("<form id=f><nav>menu</nav><article><p>in a form</p></article><input></form>", "in a form"),
+        (f"<form><div><p>{'whole page ' * 9}</p></div></form><form>small one</form>", ("whole page " * 9).strip()),
+        ("<div class='site-header-wrapper cookie-page' role=search><main><p>main text</p></main></div>", "main text"),
+        ("<p>super<wbr>cali</p>", "supercali"),
+        ("<section class=comments><article><p>a reader</p></article></section><article><p>text here</p></article>", "text here"),
     ],
 )
 def test_all_articles(page, want):
