@@ -83,3 +83,37 @@ def id_ranges(text: Column) -> Column:
 def element(values: Column, i: int) -> Column:
     """The i-th element as a column of its own; null where the list is short."""
     return F.get(values, F.lit(i))
+
+
+def shift_key(shift: Column) -> Column:
+    """Numbers as text of 12 significant digits without trailing zeros, joined by commas: equal shifts have equal keys."""
+
+    def one(x: Column) -> Column:
+        text = F.format_string("%.11e", x)
+        for size in range(11, -5, -1):  # as many decimals as 12 digits leave
+            fixed = F.format_string(f"%.{11 - size}f", x)
+            fixed = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+            text = F.when((F.abs(x) >= 10.0**size) & (F.abs(x) < 10.0 ** (size + 1)), fixed).otherwise(text)
+        return F.when(x == 0, F.lit("0")).otherwise(text)
+
+    return F.array_join(F.transform(shift, lambda x: one(x.cast("double"))), ",")
+
+
+def lag_vectors(text: Column) -> Column:
+    """"0,0;1,0" as an array of arrays; null if vectors differ in length, one is no number, or there is none."""
+    rows = F.filter(F.transform(F.split(text, ";"), lambda e: F.trim(e)), lambda e: e != "")
+    out = F.transform(rows, lambda e: F.transform(F.split(e, ","), lambda v: F.trim(v).try_cast("double")))
+    good = (F.size(out) > 0) & F.forall(out, lambda v: (F.size(v) == F.size(F.get(out, F.lit(0)))) & ~F.exists(v, lambda x: x.isNull()))
+    return F.when(good, out)
+
+
+def leakage(wave: Column, reference: Column, steps: int) -> Column:
+    """Strength of a reconstruction in each of ``steps`` samples behind the reference's end, over the reference's whole strength.
+
+    The end is behind the last sample above a thousandth of the largest; both have one time axis.
+    """
+    top = F.array_max(F.transform(reference, lambda x: F.abs(x)))
+    last = F.array_max(F.filter(F.transform(reference, lambda x, i: F.when(F.abs(x) > top * 1e-3, i)), lambda i: i.isNotNull()))
+    total = F.sqrt(F.aggregate(reference, F.lit(0.0), lambda a, x: a + x * x))
+    end = F.least(last + 1, F.size(reference) - 1)
+    return F.when((total > 0) & last.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda j: F.abs(F.coalesce(F.get(wave, end + j), F.lit(0.0))) / total))

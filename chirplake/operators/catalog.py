@@ -13,14 +13,14 @@ YEAR = 86400 * 365.25
 
 
 def keep_last(df: DataFrame, key: Sequence[str] = KEY, order: str = "_seq") -> DataFrame:
-    """Of rows with one key (columns that are there), the last in ingest order.
+    """Of rows with one key (columns that are there), the last in ingest order; a null order comes first, and equal ones go by the rows' hash.
 
     A maximum per key with partial sums before the shuffle, not a window, so a
     key with very many rows is no single group.
     """
     key = [k for k in key if k in df.columns]
     rest = [c for c in df.columns if c not in key]
-    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("_row"))
     return last.select(*key, "_row.*").select(*df.columns)
 
 

@@ -54,6 +54,21 @@ def rolling_median(df: DataFrame, key: list[str], order: str, value: str, half:
     return df.withColumn("median", F.percentile(value, 0.5).over(w))
 
 
+def rolling_median_whole(df: DataFrame, key: list[str], order: str, value: str, half: int) -> DataFrame:
+    """The same with windows of full length: at an edge the window is moved inwards, so a series' first rows share one window, and its last."""
+    by = Window.partitionBy(*key)
+    ordered = by.orderBy(order)
+    place, n = F.row_number().over(ordered) - 1, F.count("*").over(by)
+
+    rows = df.withColumn("_p", place).withColumn("_n", n).withColumn("_m", F.percentile(value, 0.5).over(ordered.rowsBetween(-half, half)))
+    whole = F.percentile(value, 0.5).over(by)
+    rows = rows.withColumn("_all", whole)
+    first = F.max(F.when(F.col("_p") == half, F.col("_m"))).over(by)
+    last = F.max(F.when(F.col("_p") == F.col("_n") - 1 - half, F.col("_m"))).over(by)
+    out = F.when(F.col("_n") <= 2 * half + 1, F.col("_all")).when(F.col("_p") < half, first).when(F.col("_p") > F.col("_n") - 1 - half, last).otherwise(F.col("_m"))
+    return rows.withColumn("median", out).drop("_p", "_n", "_m", "_all")
+
+
 def bands(waves: DataFrame, column: str, level: float = 0.9) -> DataFrame:
     """Per sample the median and the central band of many waveforms of one length."""
     lo = (1 - level) / 2

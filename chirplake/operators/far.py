@@ -46,11 +46,12 @@ def cumulative_rate(triggers: DataFrame, value: str, thresholds: list[float], li
 def attach_far(events: DataFrame, value: str, curve: DataFrame, livetime: float) -> DataFrame:
     """far, ifar_years and significance of each event, from the curve's bin at or below its value (clipped at both ends).
 
-    The curve is a bounded table of bins, held as one array per row by a
-    broadcast; the bin is found by counting the array's bins, not by a join.
+    The curve is a bounded table of bins, one array as a scalar subquery; the bin
+    is found by counting the array's bins, not by a join.
     """
-    ordered = curve.agg(F.sort_array(F.collect_list(F.struct("center", "far"))).alias("bins"), F.min(F.when(F.col("far") > 0, F.col("far"))).alias("least"))
-    out = events.join(F.broadcast(ordered))  # one row: the curve
+    least = F.min(F.when(F.col("far") > 0, F.col("far")))
+    one = curve.agg(F.struct(F.sort_array(F.collect_list(F.struct("center", "far"))).alias("bins"), least.alias("least")).alias("c"))
+    out = events.withColumn("_curve", one.scalar()).withColumn("bins", F.col("_curve.bins")).withColumn("least", F.col("_curve.least")).drop("_curve")
     at = F.greatest(F.size(F.filter("bins", lambda b: b["center"] <= F.col(value))) - 1, F.lit(0))
     far = F.greatest(F.get("bins", at)["far"], F.col("least"))
     out = out.withColumn("far", far).drop("bins", "least")

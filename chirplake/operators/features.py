@@ -40,12 +40,23 @@ def balanced_tail(df: DataFrame, value: str, label: str, least: float, key: str,
     hash buckets and then inside one bucket: no class is ever sorted as a whole.
     """
     tail = df.where(F.col(value) >= least).withColumn("_h", hash_order(seed, key))
-    counts = {r[label]: r["n"] for r in tail.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row per class
-    n = min(counts.values(), default=0)
+    bucket = F.substring("_h", 1, 3)
+    by: dict = {}
+    for r in tail.groupBy(label, bucket.alias("b")).agg(F.count("*").alias("n")).collect():  # 4096 rows per class at most
+        by.setdefault(r[label], {})[r["b"]] = r["n"]
+    n = min((sum(c.values()) for c in by.values()), default=0)
     parts = []
-    for klass, many in counts.items():
-        rows = tail.where(F.col(label) == klass)
-        parts.append(rows if many == n else rows.orderBy("_h", key).limit(n))
+    for klass, counts in by.items():
+        rows, left, last = tail.where(F.col(label) == klass), n, None
+        for b in sorted(counts):
+            if counts[b] > left:
+                last = b
+                break
+            left -= counts[b]
+        if last is None:
+            parts.append(rows)
+            continue
+        parts += [rows.where(bucket < last), rows.where(bucket == last).orderBy("_h", key).limit(left)]
     return reduce(DataFrame.unionByName, parts).drop("_h") if parts else tail.drop("_h")
 
 

@@ -13,13 +13,13 @@ def with_cells(df: DataFrame, start: Column, end: Column, width: float) -> DataF
     return df.withColumn("_cell", F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))))
 
 
-def intersect(a: DataFrame, b: DataFrame, key: Sequence[str], width: float | None = None) -> DataFrame:
-    """Overlaps of both sides' intervals per key; touching ones do not overlap.
+def intersect(a: DataFrame, b: DataFrame, key: Sequence[str], width: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Overlaps of both sides' intervals per key, with columns of the first side to keep; touching ones do not overlap.
 
     ``width`` adds cells of that length to the join key; a pair is taken in the
     cell where its overlap starts, so it comes once.
     """
-    x = a.select(*key, F.col("start").alias("s1"), F.col("end").alias("e1"))
+    x = a.select(*key, *keep, F.col("start").alias("s1"), F.col("end").alias("e1"))
     y = b.select(*key, F.col("start").alias("s2"), F.col("end").alias("e2"))
     on = list(key)
     if width:
@@ -28,7 +28,19 @@ def intersect(a: DataFrame, b: DataFrame, key: Sequence[str], width: float | Non
     out = x.join(y, on).where((F.col("s1") < F.col("e2")) & (F.col("s2") < F.col("e1")))
     if width:
         out = out.where(F.floor(lo / width) == F.col("_cell"))
-    return out.select(*key, lo.alias("start"), hi.alias("end"))
+    return out.select(*key, *keep, lo.alias("start"), hi.alias("end"))
+
+
+def padded_union(df: DataFrame, key: Sequence[str], half: float, least: float = 1.0) -> DataFrame:
+    """Windows of ``half`` on either side of the times ``at``, ``least`` long at least, joined where they touch."""
+    half = max(half, least / 2)
+    return union(df.select(*key, (F.col("at") - half).alias("start"), (F.col("at") + half).alias("end")), key)
+
+
+def live_outside(segments: DataFrame, windows: DataFrame, key: Sequence[str], width: float) -> DataFrame:
+    """Per key, the length of the segments and what windows leave of it."""
+    gone = total(union(intersect(segments, windows, key, width), key), key).withColumnRenamed("livetime", "vetoed")
+    return total(segments, key).join(gone, list(key), "left").select(*key, "livetime", (F.col("livetime") - F.coalesce("vetoed", F.lit(0.0))).alias("livetime_left"))
 
 
 def union(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 #: Of interval starts, for running sums over all intervals.
 BUCKETS = 256
 
@@ -61,7 +63,7 @@ def lag_shifts(n_lags: int, step: float, detector: int) -> Column:
 def by_trial(jobs: DataFrame) -> DataFrame:
     """A row per job and trial (array column ``trials``), renumbered in (job, trial) order."""
     flat = jobs.withColumn("trial_idx", F.explode(F.array_distinct("trials"))).drop("trials")
-    return flat.withColumn("index", F.row_number().over(Window.orderBy("job_id", "trial_idx")))
+    return graph.numbered(flat, "job_id", ["job_id", "trial_idx"], "index").withColumn("index", (F.col("index") + 1).cast("int"))
 
 
 def schedule_at_rate(injections: DataFrame, intervals: DataFrame, rate: float, key: str, count: int | None = None) -> DataFrame:
@@ -96,15 +98,16 @@ def schedule_at_rate(injections: DataFrame, intervals: DataFrame, rate: float, k
 
 
 def own_segment(points: DataFrame, segments: DataFrame, at: str, cell: float) -> DataFrame:
-    """Each point with the first (smallest index) segment that holds it, null if none does."""
+    """Each point with the first (smallest index) segment that holds it, null if none does.  Equal points have equal segments, and nulls are values like others."""
     s = segments.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / cell).cast("long"), F.floor(F.col("end") / cell).cast("long"))))
     hits = points.withColumn("_cell", F.floor(F.col(at) / cell).cast("long")).join(s, "_cell").where((F.col("start") <= F.col(at)) & (F.col(at) < F.col("end")))
-    keys = points.columns
-    return points.join(hits.groupBy(*keys).agg(F.min("segment_idx").alias("segment_idx")), keys, "left")
+    owned = hits.groupBy(F.col(at).alias("_at")).agg(F.min("segment_idx").alias("segment_idx"))  # a segment depends on the time alone
+    return points.join(owned, F.col(at) == F.col("_at"), "left").drop("_at")
 
 
 def in_windows(points: DataFrame, windows: DataFrame, at: str, cell: float, name: str) -> DataFrame:
-    """Flags points that lie in any window."""
-    w = windows.select("start", "end").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / cell).cast("long"), F.floor(F.col("end") / cell).cast("long"))))
-    inside = points.withColumn("_cell", F.floor(F.col(at) / cell).cast("long")).join(w, [F.floor(F.col(at) / cell).cast("long") == w["_cell"], F.col(at) >= w["start"], F.col(at) < w["end"]], "left_semi").drop("_cell")
-    return inside.withColumn(name, F.lit(True)).unionByName(points.join(inside.select(*points.columns), points.columns, "left_anti").withColumn(name, F.lit(False)))
+    """Flags points that lie in any window (a null time in none); what else the points hold does not matter."""
+    w = windows.select(F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_c", F.explode(F.sequence(F.floor(F.col("_s") / cell).cast("long"), F.floor(F.col("_e") / cell).cast("long"))))
+    times = points.select(F.col(at).alias("_at")).distinct().withColumn("_cell", F.floor(F.col("_at") / cell).cast("long"))
+    inside = times.join(w, (F.col("_cell") == F.col("_c")) & (F.col("_at") >= F.col("_s")) & (F.col("_at") < F.col("_e")), "left_semi").select("_at").withColumn(name, F.lit(True))
+    return points.join(inside, F.col(at) == F.col("_at"), "left").drop("_at").withColumn(name, F.coalesce(name, F.lit(False)))

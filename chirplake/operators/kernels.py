@@ -18,13 +18,14 @@ def upsample(x: np.ndarray, times: int = 4) -> np.ndarray:
 
 
 def segment_maxima(x: np.ndarray) -> np.ndarray:
-    """Largest |x| between sign changes; what lies before the first change belongs to the first segment."""
+    """Largest |x| of each stretch of one sign, zero being a sign of its own; the first two stretches count as one, and one change is none."""
     sign = np.sign(x)
-    change = np.flatnonzero(sign[1:] * sign[:-1] < 0) + 1
-    if len(change) < 2:
-        return np.zeros(0)
-    starts = np.concatenate([[0], change[1:]])
-    return np.maximum.reduceat(np.abs(x), starts)
+    stretch = np.concatenate([[0], np.cumsum(sign[1:] != sign[:-1])]) if len(x) else np.zeros(1, int)
+    changes = int(stretch[-1])
+    out = np.zeros(changes if changes > 1 else 0)
+    if changes > 1:
+        np.maximum.at(out, np.maximum(stretch, 1) - 1, np.abs(x))
+    return out
 
 
 #: Fixed value: peaks below this part of the largest don't count.

@@ -33,6 +33,8 @@ def overlapping(triggers: DataFrame, sims: DataFrame, buffer: float = 0.0, cell:
     s = sims.select(*[F.col(c).alias(f"sim_{c}") for c in sims.columns])
     keys = [k for k in ("trial_idx", "job_id") if k in triggers.columns and k in sims.columns]
     on = F.lit(True)
+    if not cell and not keys:
+        raise ValueError("without a key in common, the join needs cells of time")
     if cell:
         t = with_cells(t, F.col("_lo"), F.col("_hi"), cell)
         s = with_cells(s, F.col("sim_real_start"), F.col("sim_real_end"), cell).withColumnRenamed("_cell", "_cell2")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def hash_order(seed: int, *keys: str) -> Column:
     """A fixed random order: the same rows come first on every run and any number of machines."""
@@ -50,13 +52,41 @@ def split_by_livetime(keys: list[tuple], fractions: Sequence[float], seed: int =
     return parts
 
 
-def write_splits(df: DataFrame, parts: dict[str, DataFrame], key: str, path: str) -> None:
-    """One tagged table, partitioned by split; a split without rows has no folder."""
+def split_table(rows: DataFrame, fractions: Mapping[str, float], key: Sequence[str], seed: int = 0) -> DataFrame:
+    """Rows (key, livetime) with the ``split`` each belongs to: in a fixed random order, each split takes rows until its share of the live time is reached; those behind the last split go.
+
+    The order's running sum goes over 256 buckets; each split's end is then one value.
+    """
+    total_share = sum(fractions.values())
+    if not 0 < total_share <= 1.000001:
+        raise ValueError("the fractions' sum is not in (0, 1]")
+    ordered = rows.withColumn("_h", hash_order(seed, *key)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("long"))
+    summed = graph.running(ordered, "_b", ["_h", *key], F.col("livetime").cast("double"), "_before").withColumn("_to", F.col("_before") + F.col("livetime"))
+    total = rows.agg(F.sum("livetime")).first()[0] or 0.0  # one row
+    at, tag = 0.0, F.lit(None).cast("string")
+    for i, (name, share) in enumerate(fractions.items()):
+        if i == len(fractions) - 1 and abs(total_share - 1) < 1e-9:
+            end = float("inf")
+        else:
+            end = summed.where(F.col("_to") >= at + total * share).agg(F.min("_to")).first()[0]  # one value a split
+            end = float("inf") if end is None else end
+        tag = F.when(tag.isNotNull(), tag).when((F.col("_before") >= at) & (F.col("_before") < end), F.lit(name))
+        at = end
+    return summed.withColumn("split", tag).where("split is not null").drop("_h", "_b", "_before", "_to")
+
+
+def write_splits(df: DataFrame, parts: Mapping[str, DataFrame], key: str | Sequence[str], path: str) -> None:
+    """One tagged table, partitioned by split; a split without rows gets an empty file with the schema."""
+    key = [key] if isinstance(key, str) else list(key)
     tags = None
     for name, keys in parts.items():
-        one = keys.select(key).distinct().withColumn("split", F.lit(name))
+        one = keys.select(*key).distinct().withColumn("split", F.lit(name))
         tags = one if tags is None else tags.unionByName(one)
-    df.join(tags, key).write.partitionBy("split").parquet(path)
+    out = df.join(tags, key)
+    out.write.partitionBy("split").parquet(path)
+    there = {r["split"] for r in df.sparkSession.read.parquet(path).select("split").distinct().collect()} if not out.isEmpty() else set()  # a row per split
+    for name in set(parts) - there:
+        out.where(F.lit(False)).drop("split").coalesce(1).write.mode("overwrite").parquet(f"{path}/split={name}")
 
 
 def train_test(df: DataFrame, key: str, label: str, test: float = 0.1, seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import graph
 from .selection import hash_order
 
 
@@ -35,14 +36,16 @@ def fixed(df: DataFrame, ra: float, dec: float) -> DataFrame:
 
 
 def weighted(df: DataFrame, key: str, pixels: DataFrame, seed: int = 0) -> DataFrame:
-    """Pixels (ra, dec, value) drawn by their non-negative values: a sky map is a bounded table, held as one array of running sums."""
-    rows = [(r["ra"], r["dec"], max(r["value"], 0.0)) for r in pixels.orderBy("ra", "dec").collect()]
-    edges = np.cumsum([r[2] for r in rows])
-    if not len(rows) or edges[-1] <= 0:
+    """Pixels (ra, dec, value) drawn by their non-negative values: a draw finds its pixel on the axis of their running sum, by cells of it, as many as pixels."""
+    good = pixels.where("value > 0").select("ra", "dec", F.col("value").cast("double").alias("value"))
+    got = good.agg(F.sum("value").alias("t"), F.count("*").alias("n")).first()  # one row
+    if not got["t"]:
         raise ValueError("the map has no positive pixel")
-    table = F.array(*[F.struct(F.lit(float(e / edges[-1])).alias("to"), F.lit(r[0]).alias("ra"), F.lit(r[1]).alias("dec")) for e, r in zip(edges, rows, strict=True)])
-    out = df.withColumn("_u", uniform(seed, key)).withColumn("_p", F.get(F.filter(table, lambda p: p["to"] > F.col("_u")), F.lit(0)))
-    return out.withColumn("ra", F.col("_p.ra")).withColumn("dec", F.col("_p.dec")).drop("_u", "_p")
+    axis = graph.running(good, "ra", ["ra", "dec"], F.col("value"), "_lo").withColumn("_hi", F.col("_lo") + F.col("value"))
+    cell = got["t"] / got["n"]
+    axis = axis.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / cell).cast("long"), F.floor(F.col("_hi") / cell).cast("long")))).drop("value")
+    drawn = df.withColumn("_at", uniform(seed, key) * got["t"]).withColumn("_cell", F.floor(F.col("_at") / cell).cast("long"))
+    return drawn.join(axis, "_cell").where((F.col("_lo") <= F.col("_at")) & (F.col("_at") < F.col("_hi"))).drop("_cell", "_at", "_lo", "_hi")
 
 
 def repeated(df: DataFrame, times: int) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geo
-from ..operators import catalog, cuts, efficiency, far, features, intervals, jobs, kernels, lags, matching, selection, sky
+from ..operators import catalog, cuts, efficiency, far, features, intervals, jobs, kernels, lags, matching, reports, selection, sky
+from ..session import scratch_dir
+from ..sources import store
 from ..streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,7 +170,7 @@ def progress_fragments(spark, d):
 
 @query("SELECT status, count(*) AS n FROM p GROUP BY 1", _P)
 def status_counts(spark, d):
-    return progress(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    return reports.status_counts(progress(spark, d))
 
 
 @query("SELECT job_id, count(DISTINCT lag_idx) AS n_lags FROM p WHERE status = 'F' GROUP BY 1", _P)
@@ -178,7 +180,7 @@ def completed_lags(spark, d):
 
 @query("SELECT status, lag_idx, round(sum(livetime), 4) AS livetime, count(*) AS n_rows, count(DISTINCT job_id) AS n_jobs FROM p GROUP BY 1, 2", _P)
 def interval_summary(spark, d):
-    return progress(spark, d).groupBy("status", "lag_idx").agg(F.round(F.sum("livetime"), 4).alias("livetime"), F.count("*").alias("n_rows"), F.count_distinct("job_id").alias("n_jobs"))
+    return rounded(reports.interval_summary(progress(spark, d), ["status", "lag_idx"]), "livetime", digits=4)
 
 
 @query("SELECT job_id, id, lag_idx, rho FROM (SELECT job_id, event_type AS id, k AS lag_idx, rho, row_number() OVER (PARTITION BY job_id, event_type, k ORDER BY id DESC) AS r FROM t) WHERE r = 1", _T)
@@ -591,26 +593,25 @@ def multi_run_union(spark, d):
 
 @query("SELECT count(*) AS n_rows, round(sum(livetime), 4) AS livetime, round(min(livetime), 4) AS least, round(max(livetime), 4) AS most, count(*) FILTER (WHERE livetime = 50) AS n_equal, count(*) FILTER (WHERE livetime < 50 - 1e-9) AS n_less, count(DISTINCT job_id) AS n_jobs FROM p", _P)
 def live_summary(spark, d):
-    t = F.col("livetime")
-    return progress(spark, d).agg(F.count("*").alias("n_rows"), F.round(F.sum(t), 4).alias("livetime"), F.round(F.min(t), 4).alias("least"), F.round(F.max(t), 4).alias("most"), F.count_if(t == 50).alias("n_equal"), F.count_if(t < 50 - 1e-9).alias("n_less"), F.count_distinct("job_id").alias("n_jobs"))
+    out = reports.live_summary(progress(spark, d), 50.0)
+    return rounded(out, "livetime", "least", "most", digits=4).select("n_rows", "livetime", "least", "most", "n_equal", "n_less", "n_jobs")
 
 
 @query("SELECT CAST(round(job_id / 100.0) AS BIGINT) AS slag, lag_idx, count(*) AS n_rows, round(sum(livetime), 4) AS livetime FROM p GROUP BY 1, 2", _P)
 def slag_summary(spark, d):
-    return progress(spark, d).groupBy(F.round(F.col("job_id") / 100.0).cast("long").alias("slag"), "lag_idx").agg(F.count("*").alias("n_rows"), F.round(F.sum("livetime"), 4).alias("livetime"))
+    return rounded(reports.slag_summary(progress(spark, d), F.round(F.col("job_id") / 100.0).cast("long")), "livetime", digits=4)
 
 
 @query("SELECT epoch(s) AS start, count(*) AS n, max(value) AS loudest FROM (SELECT value, unnest([time_bucket(INTERVAL 20 seconds, ts), time_bucket(INTERVAL 20 seconds, ts) - INTERVAL 20 seconds, time_bucket(INTERVAL 20 seconds, ts) - INTERVAL 40 seconds]) AS s FROM events) GROUP BY 1")
 def online_windows(spark, d):
     e = read(spark, d, "events")
-    w = e.groupBy(F.window("ts", "60 seconds", "20 seconds")).agg(F.count("*").alias("n"), F.max("value").alias("loudest"))
-    return w.select(F.expr(SECONDS.format("window.start")).alias("start"), "n", "loudest")
+    return online.sliding(e, "ts").select(F.expr(SECONDS.format("start")).alias("start"), "n", "loudest")
 
 
 @query("SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 seconds THEN 1 ELSE 0 END AS g FROM events)) GROUP BY user_id, s")
 def gap_sessions(spark, d):
     e = read(spark, d, "events")
-    return e.groupBy("user_id", F.session_window("ts", "3600 seconds")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")).select("user_id", "n", "first_id")
+    return online.sessions(e, "ts", 3600, ["user_id"], first_id=F.min("event_id")).select("user_id", "n", "first_id")
 
 
 @query()
@@ -646,17 +647,17 @@ def gbt_score(spark, d):
     return features.score_trees(features.train_trees(t, ["rho", "k"], "label", maxIter=3, maxDepth=3), t).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(SQL["online_windows"])
 def online_stream(spark, d):
-    """The sliding windows as a stream over the events' file, run to its end."""
+    """The sliding windows as a stream over the events' file, run to its end; the last windows too, which no watermark closes."""
     import uuid
 
     schema = read(spark, d, "events").schema
     stream = online.event_time(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parq*"), "ts")
-    name = f"online_{uuid.uuid4().hex}"
-    run = online.sliding(stream, "ts").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    out = f"{scratch_dir(spark)}/online-{uuid.uuid4().hex}"
+    online.write_updates(online.sliding(stream, "ts"), f"{out}/rows", f"{out}/state").awaitTermination()
+    rows = online.latest(spark.read.parquet(f"{out}/rows"), ["start", "end"])
+    return rows.select((F.unix_micros("start") / 1_000_000).alias("start"), "n", "loudest")
 
 
 @query("SELECT id, rho FROM t WHERE sqrt(rho) > 7 AND greatest(rho, k) > 60 AND NOT k = 3", _T)
@@ -726,8 +727,7 @@ def trials_flattened(spark, d):
 @query("SELECT id, job_id, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS classifier FROM t", _T)
 def labelled_union(spark, d):
     t = triggers(spark, d)
-    bkg, sim = t.where("event_type = 'view'").withColumn("classifier", F.lit(0)), t.where("event_type <> 'view'").withColumn("classifier", F.lit(1))
-    return bkg.unionByName(sim).select("id", "job_id", "classifier")
+    return store.labelled(t.where("event_type = 'view'"), t.where("event_type <> 'view'")).select("id", "job_id", "classifier")
 
 
 @query("SELECT job_id, round(min(rho), 6) AS lo, round(max(rho) - min(rho), 6) AS spread, count(DISTINCT event_type) AS kinds FROM t GROUP BY 1", _T)

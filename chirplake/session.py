@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,24 @@ def get_spark(app: str = "chirplake", master: str | None = None, shuffle_partiti
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for tables between steps: ``spark.checkpoint.dir``; where it is unset, a folder of this machine if it runs the whole session, else an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='chirplake-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """The session, able to checkpoint into its shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
+    return spark
+
+
 def ship_library(spark: SparkSession) -> None:
     """Python workers started by this session find the library where the driver found it."""
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -35,8 +35,8 @@ def read_json_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, sequence: Column | None = None) -> None:
-    """Appends rows with an ingest order ``_seq``, which keep-last reads; Spark's commit makes the write atomic."""
-    seq = sequence if sequence is not None else F.unix_micros(F.current_timestamp())
+    """Appends rows with an ingest order ``_seq`` (the append's time, then the row in it), which keep-last reads; Spark's commit makes the write atomic."""
+    seq = sequence if sequence is not None else F.struct(F.unix_micros(F.current_timestamp()).alias("append"), F.monotonically_increasing_id().alias("row"))
     df.withColumn("_seq", seq).write.mode("append").parquet(path)
 
 

@@ -1,19 +1,62 @@
-"""Online analysis as Structured Streaming: sliding windows, data-quality gate, gaps, stateful duplicates."""
+"""Online analysis as Structured Streaming: sources, sliding windows, data-quality gate, gaps, duplicates, significance.
+
+What the streams remember (offsets, windows, pending triggers) is Spark's state
+under the query's checkpoint, so a run that is started again goes on where it
+stopped.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import math
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from ..operators import far
+
+#: Fixed value: seconds from the Unix epoch to the GPS epoch, leap seconds not counted.
+GPS_EPOCH = 315964800
+
 
 def event_time(df: DataFrame, column: str) -> DataFrame:
     """``column`` as TIMESTAMP, which watermarks need; naive times count as UTC (the session's zone must be)."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
+def of_gps(gps: Column) -> Column:
+    """TIMESTAMP of GPS seconds."""
+    return F.timestamp_micros(((gps + GPS_EPOCH) * 1_000_000).cast("long"))
+
+
+def directory(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
+    """Files that appear in a shared folder, with the GPS start and the length (s) that their names end in (-START-LENGTH.ext)."""
+    rows = spark.readStream.schema(schema).format(form).load(path)
+    name = F.col("_metadata.file_name")
+    start, length = (F.regexp_extract(name, r"-(\d+)-(\d+)\.[^.]+$", i).try_cast("double") for i in (1, 2))
+    return rows.select("*", start.alias("start"), length.alias("length")).where("start is not null")
+
+
+def kafka(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:
+    """Messages of a topic as rows; needs Spark's Kafka package on the cluster."""
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return rows.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
+
+
+SOURCES: dict[str, Callable[..., DataFrame]] = {"directory": directory, "kafka": kafka}
+
+
+def source(spark: SparkSession, config: Mapping) -> DataFrame:
+    """The source that a mapping with ``type`` and its arguments asks for."""
+    rest = {k: v for k, v in config.items() if k != "type"}
+    if config["type"] not in SOURCES:
+        raise ValueError(f"unknown source: {config['type']}")
+    return SOURCES[config["type"]](spark, **rest)
+
+
 def quality_gate(bits_column: str, bits: int) -> Column:
     """Whether all samples of a data-quality array have all required bits."""
     return F.forall(bits_column, lambda x: x.bitwiseAND(F.lit(bits)) == bits)
@@ -26,17 +69,107 @@ def sliding(df: DataFrame, time: str, duration: int = 60, stride: int = 20, edge
     return df.groupBy(F.window(time, f"{duration} seconds", f"{stride} seconds")).agg(F.count("*").alias("n"), F.max("value").alias("loudest")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "loudest")
 
 
-def sessions(df: DataFrame, time: str, gap: int, key: list[str]) -> DataFrame:
-    """Stretches without a gap of ``gap`` seconds."""
+def sessions(df: DataFrame, time: str, gap: int, key: list[str], **more: Column) -> DataFrame:
+    """Stretches without a gap of ``gap`` seconds: start, end, rows, and further aggregates by name."""
     if df.isStreaming:
         df = df.withWatermark(time, f"{gap} seconds")
-    return df.groupBy(*key, F.session_window(time, f"{gap} seconds").alias("w")).agg(F.count("*").alias("n")).select(*key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    out = df.groupBy(*key, F.session_window(time, f"{gap} seconds").alias("w")).agg(F.count("*").alias("n"), *[c.alias(name) for name, c in more.items()])
+    return out.select(*key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", *more)
+
+
+def journal(stretches: DataFrame, key: list[str]) -> DataFrame:
+    """The gaps between the stretches of a key."""
+    from ..operators import intervals
+
+    return intervals.gaps(stretches, key)
+
+
+def write_updates(df: DataFrame, path: str, checkpoint: str, trigger: Mapping | None = None):
+    """Each micro-batch's changed rows, tagged with its number; ``latest`` gives the last state, so windows that no watermark closes are there too."""
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return df.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key the row of its last batch."""
+    rest = [c for c in rows.columns if c not in (*key, "_batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*key, "_r.*")
+
+
+def _near(a: Mapping, b: Mapping, seconds: float, degrees: float) -> bool:
+    if abs(a["gps"] - b["gps"]) >= seconds:
+        return False
+    x, y = math.radians(a["theta"]), math.radians(b["theta"])
+    cosine = math.cos(x) * math.cos(y) + math.sin(x) * math.sin(y) * math.cos(math.radians(a["phi"] - b["phi"]))
+    return math.degrees(math.acos(min(1.0, max(-1.0, cosine)))) < degrees
+
+
+def settle(pending: list[dict], new: list[dict], seconds: float = 0.5, degrees: float = 5.0) -> list[dict]:
+    """Pending triggers after new ones came: a new one that is near a pending one (the first such) takes its place if it is louder, and else goes."""
+    for one in new:
+        at = next((i for i, p in enumerate(pending) if _near(p, one, seconds, degrees)), None)
+        if at is None:
+            pending.append(one)
+        elif one["rho"] > pending[at]["rho"]:
+            pending[at] = one
+    return pending
+
+
+_COLUMNS = ["id", "gps", "theta", "phi", "rho"]
+_TYPES = "id long, gps double, theta double, phi double, rho double"
+
+
+def settled_neighbours(df: DataFrame, key: str, time: str, hold: float = 100.0, seconds: float = 0.5, degrees: float = 5.0) -> DataFrame:
+    """Triggers (id, gps, theta, phi, rho; degrees) without the quieter neighbours of each, per search (``key``).
+
+    A trigger is held until the watermark is ``hold`` seconds past it.  The state of a search is its triggers of that time.
+    """
+    kind = dict(df.dtypes)[key]
+    df = event_time(df, time).withWatermark(time, "1 second").select(key, F.col(time).alias("_ts"), F.unix_micros(time).alias("_us"), *[F.col(c).cast(t.split()[1]).alias(c) for c, t in zip(_COLUMNS, _TYPES.split(", "), strict=True)])
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pending = json.loads(state.get[0]) if state.exists else []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["gps", "id"], kind="stable")
+            pending = settle(pending, rows[[*_COLUMNS, "_us"]].to_dict("records"), seconds, degrees)
+        mark = state.getCurrentWatermarkMs()
+        done = [p for p in pending if p["_us"] / 1000 + hold * 1000 <= mark]
+        pending = [p for p in pending if p["_us"] / 1000 + hold * 1000 > mark]
+        if pending:
+            state.update((json.dumps(pending),))
+            state.setTimeoutTimestamp(max(mark + 1, int(min(p["_us"] for p in pending) / 1000 + hold * 1000)))
+        elif state.exists:
+            state.remove()
+        if done:
+            yield pd.DataFrame(done)[_COLUMNS].assign(**{key: k[0]})[[key, *_COLUMNS]]
+
+    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {_TYPES}", "pending string", "append", "EventTimeTimeout")
+
+
+def settled_neighbours_batch(df: DataFrame, key: str, seconds: float = 0.5, degrees: float = 5.0) -> DataFrame:
+    """The same for a table, as on shutdown: all that is pending is given out.  Stretches without a trigger for ``seconds`` are apart, so each is a group of its own."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("gps", "id")
+    new = F.when(F.col("gps") - F.lag("gps").over(w) < seconds, 0).otherwise(1)
+    cut = df.select(key, *_COLUMNS).withColumn("_n", new).withColumn("_s", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["gps", "id"], kind="stable")
+        left = settle([], rows[_COLUMNS].to_dict("records"), seconds, degrees)
+        return pd.DataFrame(left, columns=_COLUMNS).assign(**{key: pdf[key].iloc[0]})[[key, *_COLUMNS]]
+
+    return cut.groupBy(key, "_s").applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {_TYPES}")
 
 
 def loudest_of_neighbours(df: DataFrame, time: str, cell: int = 1) -> DataFrame:
-    """Per time cell and sky patch the loudest trigger, kept in state and given out when it changes.
+    """Per time cell the loudest trigger, kept in state and given out when it changes.
 
-    State is one row per (cell, patch); the watermark drops cells that no event can reach any more.
+    State is one row per cell; the watermark drops cells that no event can reach any more.
+    ``settled_neighbours`` also knows the sky and neighbours across a cell's border.
     """
     df = event_time(df, time).withWatermark(time, "1 minute")
     keyed = df.withColumn("cell", F.floor(F.unix_timestamp(time) / cell).cast("long"))
@@ -59,6 +192,44 @@ def loudest_of_neighbours(df: DataFrame, time: str, cell: int = 1) -> DataFrame:
     return keyed.groupBy("cell").applyInPandasWithState(keep, "cell long, event_id long, value double", "event_id long, value double", "update", "EventTimeTimeout")
 
 
+def unknown_or_louder(new: DataFrame, saved: DataFrame, seconds: float = 0.5, degrees: float = 5.0) -> DataFrame:
+    """New triggers but for those that have a saved neighbour as loud; both sides meet in cells of time."""
+    cell = lambda: F.floor(F.col("gps") / seconds).cast("long")
+    old = saved.select(*[F.col(c).alias(f"_{c}") for c in ("gps", "theta", "phi", "rho")], F.explode(F.array(cell() - 1, cell(), cell() + 1)).alias("_cell"))
+    near = (F.abs(F.col("gps") - F.col("_gps")) < seconds) & (geo.separation(F.col("theta"), F.col("phi"), F.col("_theta"), F.col("_phi")) < degrees) & (F.col("_rho") >= F.col("rho"))
+    rows = new.withColumn("_own", cell())
+    return rows.join(old, (F.col("_own") == F.col("_cell")) & near, "left_anti").drop("_own")
+
+
+def handler(path: str, curve: DataFrame, livetime: float) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: triggers of a micro-batch that the saved ones do not know louder, with their false-alarm rate, one folder per batch; a batch that comes again writes the same folder."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        saved = spark.read.schema(f"{_TYPES}, far double, ifar_years double, significance double, batch long").parquet(path).where(F.col("batch") != number) if _exists(spark, path) else None
+        rows = batch.select(*_COLUMNS)
+        rows = rows if saved is None else unknown_or_louder(rows, saved)
+        far.attach_far(rows, "rho", curve, livetime).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_each(df: DataFrame, handle, checkpoint: str):
     """A handler called once per micro-batch with its rows and number; with an idempotent handler each batch counts once."""
     return df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+
+
+def latency(df: DataFrame, gps: str, done: str) -> DataFrame:
+    """Seconds between the data of a trigger and its being done (a TIMESTAMP)."""
+    return df.withColumn("latency", F.unix_micros(done) / 1_000_000 - (F.col(gps) + GPS_EPOCH))
+
+
+def staleness(df: DataFrame, key: list[str], time: str, now: Column, most: float) -> DataFrame:
+    """Per source the age of its last data, and whether that is above a limit."""
+    age = F.unix_micros(now) / 1_000_000 - F.unix_micros(F.max(time)) / 1_000_000
+    return df.groupBy(*key).agg(F.max(time).alias("last"), age.alias("age")).withColumn("stale", F.col("age") > most)

@@ -6,6 +6,7 @@ import os
 import pytest
 
 from chirplake.plans import queries as plans
+from chirplake.plans import search
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -43,3 +44,15 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_gives_rows(spark, name):
     assert plans.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(search.SQL))
+def test_search_matches_sql(spark, duck, name):
+    got = search.QUERIES[name](spark, DATA)
+    want = duck.execute(search.SQL[name])
+    assert canonical(got.columns, [tuple(r) for r in got.collect()]) == canonical([c[0] for c in want.description], want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(search.QUERIES) - set(search.SQL)))
+def test_search_gives_rows(spark, name):
+    assert search.QUERIES[name](spark, DATA).count() > 0
