@@ -1,12 +1,12 @@
 """Main text of web pages, with site templates counted out.
 
-A page is parsed once, by a tolerant tree builder, into blocks of text.  What
-markup or names declare to be no article (navigation, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts, styles, hidden
-parts) goes at once.  Every other element keeps a hash of its subtree, that is
-of its tags and text.  Spark counts these hashes per host, over pages that
-differ; a subtree that recurs on many pages of its host is template and is
-deleted, with all blocks in it.
+A page is parsed once, by a tolerant tree builder, into blocks of text.  Every
+element keeps a hash of its subtree, that is of its tags and text.  Spark counts
+these hashes per host, over pages that differ; a subtree that recurs on many
+pages of its host is template and is deleted, with all blocks in it.  What does
+not recur, because a host has few pages or a part changes with the page, but is
+declared to be no article by markup or names (navigation, headers, footers,
+sidebars, notices, adverts, forms, reader comments, hidden parts), goes too.
 
 Containers, and outside an article every element, are template from
 ``MIN_PAGES`` pages on if these are ``MIN_SHARE`` of the host's, and from
@@ -124,7 +124,7 @@ def _rescue(root: _Node) -> None:
         stack += [c for c in order[-1].children if not isinstance(c, str)]
     for node in reversed(order):
         below = [c for c in node.children if not isinstance(c, str)]
-        node.size = sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace()) + sum(c.size for c in below)
+        node.size = sum(len(c) for c in node.children if isinstance(c, str) and not c.isspace()) + sum(c.size for c in below if c.junk != HARD)
         node.ranks = 1 << node.body
         for c in below:
             node.ranks |= c.ranks * (c.junk != HARD)
@@ -133,25 +133,22 @@ def _rescue(root: _Node) -> None:
     for node in order:
         if node.junk == SOFT and node.tag == "form" and 2 * node.size > root.size:
             node.junk = 0
-        if node.junk:
-            node.children = []
 
 
 def parse(page: str) -> _Node:
-    """The tree of a page.  Text is str, decoded; what is no article is a junk node without children."""
+    """The tree of a page.  Text is str, decoded; what is declared to be no article is below a junk node."""
     root = _Node("#root")
     stack, at, n = [root], 0, len(page)
-    hard_depth = article = 0
+    article = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal hard_depth, article
+        nonlocal article
         while len(stack) > depth:
             node = stack.pop()
-            hard_depth -= node.junk == HARD
             article -= node.body >= 2
 
     def text(s: str) -> None:
-        if s and not hard_depth:
+        if s:
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     while at < n:
@@ -208,15 +205,12 @@ def parse(page: str) -> _Node:
             at = close.end() if close else n
             continue
         if tag in VOID or raw.endswith("/") and tag not in BLOCKS and tag != "a":
-            if not hard_depth:
-                stack[-1].children.append(_Node(tag))
+            stack[-1].children.append(_Node(tag))
             continue
         junk, rank = _attributes(tag, raw, article > 0)
         node = _Node(tag, junk, rank)
-        if not hard_depth:
-            stack[-1].children.append(node)
+        stack[-1].children.append(node)
         stack.append(node)
-        hard_depth += junk == HARD
         article += rank >= 2
     _rescue(root)
     return root
@@ -267,75 +261,89 @@ def _lines(found: list[tuple[str, list[int]]], lines: set[int]) -> list[tuple[in
     return [(h, next((d for d, own in least if h not in own), 0)) for h in sorted(lines)]
 
 
-def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tuple[int, int]]]:
-    """The article's blocks, each with the subtree hashes of the elements it is in; the hashes that can be template; those of lines inside an article, each with what tells its article from others."""
-    bases, found = _articles(parse(page))
-    out: list[tuple[str, list[int]]] = []
+def _above(root: _Node, bases: list[_Node]) -> set[int]:
+    """The elements that hold one of some, by identity."""
+    wanted, out, stack = {id(b) for b in bases}, set(), [(root, ())]
+    while stack:
+        node, path = stack.pop()
+        if id(node) in wanted:
+            while path:
+                out.add(path[0])
+                path = path[1]
+            continue
+        stack += [(c, (id(node), path)) for c in node.children if not isinstance(c, str) and not c.junk]
+    return out
+
+
+def blocks(page: str) -> tuple[list[tuple[str, list[int]]], list[int], list[tuple[int, int]], list[list[int]]]:
+    """The article's blocks, each with the subtree hashes of the elements it is in; the hashes that can be template; those of lines inside an article, each with what tells its article from others; the subtree hashes of the page's other blocks, which names and markup put outside the article."""
+    root = parse(page)
+    bases, found = _articles(root)
+    above, base_ids = _above(root, bases), {id(b) for b in bases}
     every: set[int] = set()
     lines: set[int] = set()
     held: list[str] = []
+    aside: list[str] = []
     # an element's hash is known at its end; blocks refer to open elements by cells
     open_cells: list[list[int]] = []
     cells: list[tuple[str, list[list[int]]]] = []
+    beside: list[list[list[int]]] = []
 
     def flush() -> None:
         words = " ".join("".join(held).split())
         held.clear()
         if words:
             cells.append((words, list(open_cells)))
+        if any(not x.isspace() for x in aside):
+            beside.append(list(open_cells))
+        aside.clear()
 
-    # iterative, as trees may be very deep: (node, state), state: next child, digest
-    for base in bases:
-        flush()
-        mine = [] if len(bases) > 1 else None
-        if mine is not None:
-            open_cells.append(mine)
-        stack: list[list] = [[base, 0, xxhash.xxh3_64(base.tag.encode()), mine]]
-        while stack:
-            frame = stack[-1]
-            node, i, digest, cell = frame
-            if i == len(node.children):
-                if node.tag in BLOCKS:
-                    flush()
-                stack.pop()
-                if cell is not None:
-                    open_cells.pop()
-                    h = digest.intdigest() - (1 << 63)
-                    cell.append(h)
-                    (lines if found and node.tag in LINES and len(stack) else every).add(h)
-                if stack:
-                    stack[-1][2].update(digest.digest())
-                continue
-            frame[1] += 1
-            child = node.children[i]
-            if isinstance(child, str):
-                held.append(child)
-                digest.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
-            elif child.tag in VOID:
-                if child.tag == "hr":
-                    flush()
-                if child.tag != "wbr":
-                    held.append(" ")
-            elif not child.junk:
-                if not found and child.tag in CONTAINERS:
-                    total, linked = _size(child)
-                    if total and linked > 0.7 * total:
-                        continue  # a list of links in a page that names no article
-                if child.tag in BLOCKS:
-                    flush()
-                inner = [] if child.tag in BLOCKS else None
-                if inner is not None:
-                    open_cells.append(inner)
-                stack.append([child, 0, xxhash.xxh3_64(child.tag.encode()), inner])
-            elif child.tag in BLOCKS:
+    # iterative, as trees may be very deep: next child, digest, cell, inside the article, outside it by a name
+    stack: list[list] = [[root, 0, xxhash.xxh3_64(root.tag.encode()), None, id(root) in base_ids, False]]
+    while stack:
+        frame = stack[-1]
+        node, i, digest, cell, inside, named = frame
+        if i == len(node.children):
+            if node.tag in BLOCKS:
+                flush()
+            stack.pop()
+            if cell is not None:
+                open_cells.pop()
+                h = digest.intdigest() - (1 << 63)
+                cell.append(h)
+                (lines if found and inside and not named and node.tag in LINES and id(node) not in base_ids else every).add(h)
+            if stack and stack[-1][5] == named:
+                stack[-1][2].update(digest.digest())
+            continue
+        frame[1] += 1
+        child = node.children[i]
+        if isinstance(child, str):
+            (aside if named or not inside else held).append(child)
+            digest.update(" ".join(child.split()).encode("utf-8", "surrogatepass"))
+            continue
+        if child.tag in VOID:
+            if child.tag == "hr":
                 flush()
+            if child.tag != "wbr":
+                (aside if named or not inside else held).append(" ")
+            continue
+        if child.tag in BLOCKS:
+            flush()
+        away = named or bool(child.junk)
+        if not found and not away and child.tag in CONTAINERS:
+            total, linked = _size(child)
+            away = bool(total) and linked > 0.7 * total  # a list of links in a page that names no article
+        own = [] if child.tag in BLOCKS and id(child) not in above and (len(bases) > 1 or id(child) not in base_ids) else None
+        if own is not None:
+            open_cells.append(own)
+        stack.append([child, 0, xxhash.xxh3_64(child.tag.encode()), own, inside or id(child) in base_ids, away])
     flush()
     out = [(words, [c[0] for c in own]) for words, own in cells]
-    return out, sorted(every - lines), _lines(out, lines)
+    return out, sorted(every - lines), _lines(out, lines), [[c[0] for c in own] for own in beside]
 
 
-PAGES = "page_id long, url string, host string, content long, blocks array<struct<text:string,inside:array<long>>>, hashes array<long>, lines array<struct<h:long,other:long>>"
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))), ("hashes", pa.list_(pa.int64())), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("other", pa.int64())])))])
+PAGES = "page_id long, url string, host string, content long, blocks array<struct<text:string,inside:array<long>>>, hashes array<long>, lines array<struct<h:long,other:long>>, beside array<array<long>>"
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))), ("hashes", pa.list_(pa.int64())), ("lines", pa.list_(pa.struct([("h", pa.int64()), ("other", pa.int64())]))), ("beside", pa.list_(pa.list_(pa.int64())))])
 
 
 def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +352,14 @@ def _parse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(lo, 512)
             rows = []
             for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                found, hashes, lines = blocks(page or "")
+                found, hashes, lines, beside = blocks(page or "")
                 content = _digest("\n".join(t for t, _ in found))
-                rows.append({"page_id": page_id, "url": url, "host": host, "content": content, "blocks": [{"text": t, "inside": own} for t, own in found], "hashes": hashes, "lines": [{"h": h, "other": other} for h, other in lines]})
+                rows.append({"page_id": page_id, "url": url, "host": host, "content": content, "blocks": [{"text": t, "inside": own} for t, own in found], "hashes": hashes, "lines": [{"h": h, "other": other} for h, other in lines], "beside": beside})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def main_text(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough_pages: int = ENOUGH_PAGES, line_share: float = LINE_SHARE) -> DataFrame:
-    """One row per page row: page_id, url, its main text and length, and the number of blocks kept and of template blocks deleted."""
+    """One row per page row: page_id, url, its main text and length, and the number of blocks kept, of blocks deleted as template (by counts), and of those that names and markup alone put outside the article."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
     parsed = scratch.write(rows.mapInArrow(_parse, PAGES).withColumn("row", F.monotonically_increasing_id()), "parsed")
@@ -367,6 +375,7 @@ def main_text(pages: DataFrame, scratch: Scratch, min_pages: int = MIN_PAGES, mi
     own = each.join(template, ["host", "h"]).groupBy("row").agg(F.collect_set("h").alias("gone"))
     own = scratch.write(own, "template")  # its size is known then: small, it is broadcast and the pages stay where they are
     kept = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("gone"))))
-    out = parsed.select("row", "page_id", "url", "blocks").join(own, "row", "left").withColumn("kept", kept)
+    out = parsed.select("row", "page_id", "url", "blocks", "beside").join(own, "row", "left").withColumn("kept", kept)
+    named = F.when(F.col("gone").isNull(), F.size("beside")).otherwise(F.size(F.filter("beside", lambda b: ~F.arrays_overlap(b, F.col("gone")))))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
-    return out.withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), (F.size("blocks") - F.size("kept")).alias("n_template_blocks"))
+    return out.withColumn("text", text).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size("kept").alias("n_blocks"), (F.size("blocks") - F.size("kept") + F.size("beside") - named).alias("n_template_blocks"), named.alias("n_named_blocks"))
