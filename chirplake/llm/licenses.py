@@ -7,8 +7,9 @@ of them, and a rule runs only where its own keyword stands in the text.
 
 Detections are word intervals with the rule's priority.  A detection inside
 another is suppressed when the outer one is longer, or is of higher priority;
-of equal ones the earlier rule stays.  The base phrases are counted apart and
-are never suppressed.
+of equal ones the earlier rule stays.  Of those left, one that overlaps another
+of higher priority is suppressed; equal priorities both stay.  The base phrases
+are counted apart and are never suppressed.
 
 Defined cases: null text is empty, without words, labels or score; equal rows
 are each answered; an empty table gives no rows; other columns are not read.
@@ -122,6 +123,8 @@ TEXTS = (
 #: A text with none of these words has no license.
 GENERAL = r" (?:licen[cs]e[ds]?|spdx|cc|cc0|creative|copyright|unlicense|(?:[al]?gpl|asl|apache|mpl|epl|cddl|eupl|bsl|boost|wtfpl)(?:v?[0-9])?|bsd|hereby|redistribut(?:e|ion)|reproduction|endorse|advertising|unencumbered|liable|misrepresented|waived|intent) "
 BASE_SCORE = 0.5
+#: No rule matches so many words.
+LONGEST = 64
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -192,7 +195,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(part(c), F.struct(to.alias("to"), F.array().cast(kept_type).alias("out")), step, lambda a: a["out"])
 
-    out = out.withColumn("kept", F.when(F.size("order") > 0, F.flatten(F.transform(before, sweep))).otherwise(F.array().cast(kept_type)))
+    out = out.withColumn("outer", F.when(F.size("order") > 0, F.flatten(F.transform(before, sweep))).otherwise(F.array().cast(kept_type)))
+    # none is inside another now, so those that overlap one stand next to it, fewer than LONGEST on either side
+    near = lambda i: F.slice("outer", F.greatest(i + 2 - LONGEST, F.lit(1)), F.lit(2 * LONGEST))
+    stronger = lambda d: lambda o: (o["priority"] > d["priority"]) & (o["start"] < d["end"]) & (d["start"] < o["end"])
+    out = out.withColumn("kept", F.filter("outer", lambda d, i: ~F.exists(near(i), stronger(d))))
     starts = F.concat(*[F.col(f"base{i}") for i in range(len(BASE))])
     base_labels = F.filter(F.array(*[F.when(F.size(f"base{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
     out = out.withColumn("starts", starts).withColumn("base", F.array_sort(base_labels))
