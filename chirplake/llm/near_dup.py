@@ -16,9 +16,10 @@ documents that agree in a band share a bucket.
    bucket of more than ``BUCKET`` members is dealt out: its members are all
    joined to its smallest, which can only make the next step's clusters larger.
 3. The forests' components are clusters that no link leaves.  A cluster's sets
-   meet in one task if they are few; a larger cluster is cut into blocks, and
-   each pair of blocks meets in a task.  There, links are confirmed on the full
-   sets: 100 * intersection >= 80 * union, counted through an inverted index,
+   meet in one task if they are few.  A larger cluster is cut into blocks, each
+   with a few pivots of the cluster, which mostly joins all of it; where it does
+   not, the blocks of what is outside its largest component meet each other and
+   those of that component.  Links are confirmed on the full sets: 100 * intersection >= 80 * union, counted through an inverted index,
    from each unvisited member on.  Only links that join something go out.
 4. The components of the confirmed links, and each class's members, are the
    result.
@@ -50,7 +51,9 @@ from .shared import Scratch, id_and_text
 PERMS, ROWS = 70, 5
 BANDS = 2 * PERMS // ROWS
 PROBABLE = 0.62
-BUCKET, BLOCK, BLOCK_SHINGLES = 1024, 2048, 2_000_000
+BUCKET, BLOCK, BLOCK_SHINGLES = 1024, 512, 500_000
+#: Members of a large cluster that all its blocks are compared with first.
+PIVOTS = 4
 _MULT = (T._stream(0xAB, PERMS) >> T.U64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (T._stream(0xAC, PERMS) >> T.U64(32)).astype(np.uint32)
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"
@@ -240,6 +243,49 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _many(members: DataFrame, *by: str) -> DataFrame:
+    """Into how many blocks of bounded size a cluster's members (or a part of them) go."""
+    size = members.groupBy("cluster", *by).agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    return size.select("cluster", *by, F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
+def _blocks(sized: DataFrame) -> DataFrame:
+    """(node, cluster, part): each member in its block, and the cluster's pivots in all of its blocks, so that most of a large cluster is joined at once."""
+    placed = sized.join(_many(sized), "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
+    pivot = sized.groupBy("cluster").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("nodes"))
+    spread = pivot.join(_many(sized).where("blocks > 1"), "cluster").select("cluster", F.explode("nodes").alias("node"), "blocks")
+    spread = spread.select("node", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("part"))
+    return placed.select("node", "cluster", "part").union(spread).distinct()
+
+
+def _apart(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, cluster, part) of clusters that are not one component yet: blocks of all members but those of the largest component meet each other and that one's blocks.
+
+    Members of the largest component do not meet again: they are joined already.
+    """
+    known = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    size = known.groupBy("cluster", "label").agg(F.count("*").alias("members"))
+    most = size.groupBy("cluster").agg(F.max_by("label", F.struct("members", -F.col("label"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    cut = known.join(most, "cluster").withColumn("major", F.col("label") == F.col("top")).select("node", "cluster", "n", "major")
+    many = _many(cut, "major")
+    counts = many.groupBy("cluster").agg(F.max(F.when(F.col("major"), F.col("blocks"))).alias("majors"), F.max(F.when(~F.col("major"), F.col("blocks"))).alias("minors"))
+    at = F.pmod(F.xxhash64("node"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("long")
+    placed = cut.join(counts, "cluster").withColumn("block", at)
+    i, minors, majors = F.col("block"), F.col("minors").cast("long"), F.col("majors").cast("long")
+    all_of = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # part numbers: minor i and major k meet in i * majors + k; minors i < j behind those
+    with_majors = F.transform(all_of(majors), lambda j: i * majors + j)
+    with_minors = F.transform(F.filter(all_of(minors), lambda j: j != i), lambda j: minors * majors + F.least(i, j) * minors + F.greatest(i, j))
+    parts = F.when(F.col("major"), F.transform(all_of(minors), lambda j: j * majors + i)).otherwise(F.concat(with_majors, with_minors))
+    return placed.select("node", "cluster", F.explode(parts).alias("part"))
+
+
+def _met(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between members that are placed in one part of one cluster."""
+    met = texts.join(placed, texts["doc_id"] == placed["node"]).select("cluster", "part", "doc_id", "text")
+    return met.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "doc_id").mapInArrow(_confirm(k, percent), "a long, b long")
+
+
 def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept, and the number of its set's class members."""
     assert percent >= 80, "bands are laid out for similarities of 0.8 or more"
@@ -258,22 +304,17 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     likely = small.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_probable, "a long, b long")
     clusters = components(likely.union(large), scratch, "likely").withColumnRenamed("label", "cluster")
     scratch.drop("buckets")
-    # a cluster's sets meet in one task, or, cut into blocks by their shingles, in one for each pair of blocks
     sized = scratch.write(clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
-    blocks = sized.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # each pair of different blocks in which a member takes part; links within a block show in any of its pairs
-    pair = lambda o: F.least(F.col("block"), o).cast("long") * F.col("blocks") + F.greatest(F.col("block"), o)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block")), pair))
-    placed = placed.select("node", "cluster", F.explode(pairs).alias("part"))
     texts = rows.where("doc_id is not null")
-    met = texts.join(placed, texts["doc_id"] == placed["node"]).select("cluster", "part", "doc_id", "text")
-    links = met.repartition("cluster", "part").sortWithinPartitions("cluster", "part", "doc_id").mapInArrow(_confirm(k, percent), "a long, b long")
+    links = scratch.write(_met(texts, _blocks(sized), k, percent), "links-first")
+    large = sized.join(_many(sized).where("blocks > 1").select("cluster"), "cluster", "left_semi")
+    if not large.isEmpty():
+        links = links.union(_met(texts, _apart(large, components(links, scratch, "first")), k, percent))
     # a repeated id joins the classes of all its texts
     several = full.join(kinds.select(*same, "rep"), [*same]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     again = several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
     labels = components(links.union(again), scratch, "links")
-    scratch.drop("reps", "clusters")
+    scratch.drop("reps", "clusters", "links-first")
     named = kinds.join(labels, kinds["rep"] == labels["node"], "left").select(*same, F.coalesce("label", "rep").alias("component"), "copies")
     out = signed.select("doc_id", *same).join(named, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -283,7 +324,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
 def one_of_each(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, with one of each group of near duplicates: its smallest doc_id, and one row of that."""
     found = scratch.write(classes(docs, scratch, k, percent), "classes")
-    out = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # the same join at every size: the ids that go are not bounded, so they are never broadcast
+    gone = found.where(~F.col("kept")).select("doc_id").distinct().hint("merge")
+    out = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
     ids = found.where("doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
     if ids[0] == ids[1]:
         return out

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are looked at together: enough to spread NumPy's call costs, little enough for the caches.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _ascii = np.arange(256)
 #: A-Z to a-z; every other byte stays.
