@@ -1,4 +1,12 @@
-"""From documents to packed sequences: the stages of a training corpus, each an operator of chirplake.llm."""
+"""From documents to packed sequences: the stages of a training corpus, each an operator of chirplake.llm.
+
+Defined cases: null and empty texts are clean, in no group of near duplicates,
+and packed as their end id alone; a null doc_id stays a row of its own up to the
+last stage; of rows with one doc_id one is left by the near-duplicate stage; of
+equally near documents the smallest doc_id stays; an empty table gives no rows;
+without labels nothing is toxic, without a benchmark nothing is contaminated;
+further columns stay until packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +52,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Trained models, tokenizers and dynamic programming have no SQL form; tests hold the stages against brute force.
+#: Trained models, tokenizers and dynamic programming have no SQL form; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -148,6 +148,34 @@ def test_license_texts_and_short_names(frame):
     assert not wrong and got[1000] == "" and got[1001] == ""
 
 
+def suppressed_by_hand(words):
+    """All rules over a text of words, then containment, then priority."""
+    text = f" {' '.join(words)} "
+    found = []
+    if re.search(licenses.GENERAL, text):
+        for i, (label, keyword, pattern, priority, _) in enumerate(licenses.rules()):
+            if keyword in text:
+                for m in re.finditer(pattern, text):
+                    start = text[: m.start()].count(" ") - 1
+                    found.append((start, start + m[0].count(" ") + 1, priority, i, label))
+    outer = [d for d in found if not any(o[0] <= d[0] and d[1] <= o[1] and (o[1] - o[0] > d[1] - d[0] or (o[2], -o[3]) > (d[2], -d[3])) for o in found if o is not d)]
+    return sorted((s, e, label) for s, e, p, _, label in outer if not any(o[2] > p and o[0] < e and s < o[1] for o in outer))
+
+
+def test_suppression(frame):
+    import random
+
+    rng = random.Random(4)
+    phrases = [t for t, _ in LICENSE_TEXTS] + ["licensed under the", "the GNU General Public License version 2", "released under the MIT license", "Apache License", "version 2.0", "under the terms of the", "BSD license", "or", "creative commons attribution", "share alike 4.0", "Mozilla Public License"]
+    docs = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(1, 7)))) for i in range(150)]
+    some = 0
+    for r in licenses.scan(frame(docs, SCHEMA)).collect():
+        want = suppressed_by_hand(ALNUM.findall(lowered(dict(docs)[r["doc_id"]])))
+        assert sorted((d["start"], d["end"], d["label"]) for d in r["detections"]) == want
+        some += len(want) > 1
+    assert some > 50
+
+
 # --- personal data
 
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
