@@ -135,9 +135,9 @@ def range_rate(spark, d):
     return rounded(out, "gps_time", digits=3)
 
 
-@query("SELECT id, round(gps_time + (CAST(CAST('0x' || substr(md5('5_' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 2 - 1) * 3, 4) AS gps_time FROM t", _T)
+@query("SELECT id, round(k + (CAST(CAST('0x' || substr(md5('5_' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 2 - 1) * 3, 6) AS gps_time FROM t", _T)
 def jitter(spark, d):
-    return rounded(injections.jittered(triggers(spark, d).select("id", "gps_time"), 3.0, 0.1, "id", seed=5), "gps_time", digits=4)
+    return rounded(injections.jittered(triggers(spark, d).select("id", F.col("k").cast("double").alias("gps_time")), 3.0, 0.1, "id", seed=5), "gps_time")
 
 
 @query()
