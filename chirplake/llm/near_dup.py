@@ -305,7 +305,9 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     clusters = components(likely.union(large), scratch, "likely").withColumnRenamed("label", "cluster")
     scratch.drop("buckets")
     sized = scratch.write(clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
-    texts = rows.where("doc_id is not null")
+    # the clusters' texts are taken out once; all that follows moves only these
+    texts = rows.where("doc_id is not null").join(sized.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    texts = scratch.write(texts, "texts")
     links = scratch.write(_met(texts, _blocks(sized), k, percent), "links-first")
     large = sized.join(_many(sized).where("blocks > 1").select("cluster"), "cluster", "left_semi")
     if not large.isEmpty():
@@ -314,7 +316,7 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     several = full.join(kinds.select(*same, "rep"), [*same]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     again = several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
     labels = components(links.union(again), scratch, "links")
-    scratch.drop("reps", "clusters", "links-first")
+    scratch.drop("reps", "clusters", "texts", "links-first")
     named = kinds.join(labels, kinds["rep"] == labels["node"], "left").select(*same, F.coalesce("label", "rep").alias("component"), "copies")
     out = signed.select("doc_id", *same).join(named, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
