@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_dedup, decontam, html_main, licenses, near_dup, oracles, packing, pii, quality, token_files, toxicity
+from . import bpe, byte_dedup, decontam, html_main, late_sessions, licenses, near_dup, oracles, packing, pii, quality, ranked_search, token_files, toxicity
 from .shared import Scratch, table
 
 
@@ -58,6 +59,23 @@ def op7_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, PATTERN), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sessions.versions(late_sessions.turns_as_events(table(spark, sf_dir, "conversations")), Scratch(spark, "op12"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

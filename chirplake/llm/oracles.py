@@ -67,9 +67,46 @@ SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d JOIN kept USING (row) LEFT JOIN totals USING (row)
 """
 
+#: The checksum's table comes from its polynomial; a text's checksum folds its ASCII bytes.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: CAST(ascii(substr({text}, k, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+LATE_SESSIONS = f"""
+WITH {_CRC_TABLE},
+k AS (SELECT conv_id, turn, {_crc("CAST(conv_id AS VARCHAR)")} AS c, {_crc("(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))")} AS h FROM conversations, crc WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+s AS (SELECT 2 * CAST(floor(conv_id / 8) AS BIGINT) + c % 2 AS u, (c // 2) % 7200 + 300 * turn + h % 600 AS s, h, h // 600 AS g FROM k),
+e AS (SELECT u, s, h, CAST(floor(s / 1800) AS BIGINT) + CASE WHEN g % 3 = 0 THEN g % 4 ELSE 0 END AS b FROM s),
+so_far AS (SELECT x.u, x.b, e.s, e.h, e.b = x.b AS new FROM (SELECT DISTINCT u, b FROM e) x JOIN e ON e.u = x.u AND e.b <= x.b),
+cut AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY u, b ORDER BY s) <= 240 THEN 0 ELSE 1 END AS first FROM so_far),
+dealt AS (SELECT *, sum(first) OVER (PARTITION BY u, b ORDER BY s ROWS UNBOUNDED PRECEDING) AS i FROM cut),
+v AS (SELECT u, b, min(s) AS s, max(s) AS e, count(*) AS n, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS n_new, CAST(sum(h) AS BIGINT) AS h FROM dealt GROUP BY u, b, i HAVING bool_or(new)),
+gone AS (SELECT v.u, v.b, v.s, min_by(w.b, w.b) AS by_b, min_by(w.s, w.b) AS by_s FROM v JOIN v w ON w.u = v.u AND w.b > v.b AND w.s <= v.s AND v.s <= w.e GROUP BY 1, 2, 3)
+SELECT v.u AS "user", v.b AS batch, v.s AS start_s, v.e AS end_s, v.n AS n_events, v.n_new, (SELECT count(*) FROM gone x WHERE x.u = v.u AND x.by_b = v.b AND x.by_s = v.s) AS n_retracted, v.h AS h_sum, by_b AS retracted_batch, by_s AS retracted_start_s
+FROM v LEFT JOIN gone ON gone.u = v.u AND gone.b = v.b AND gone.s = v.s
+"""
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+WITH q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_words("text", _TERMS)}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY 1, 2),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_words("text", _TERMS)} AS w FROM documents),
+sums AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+k AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, sums GROUP BY term, docs),
+scored AS (SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score FROM p JOIN k USING (term) JOIN q USING (term), sums GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, row) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
 SQL = {
     "op2_winnowing_decontamination": DECONTAMINATION,
     "op6_line_frequency_quality": QUALITY,
     "op8_minmax_near_duplicates": NEAR_DUPLICATES,
     "op10_suffix_repeats": REPEATS,
+    "op12_late_sessions": LATE_SESSIONS,
+    "op13_ranked_search": RANKED,
 }
