@@ -43,6 +43,8 @@ from .shared import bounded_batches, id_and_text
 
 #: States of the machine, and bytes of pieces that go through it together.
 STATES, TOGETHER = 1 << 17, 256
+#: States by which the table grows.
+ROWS = 1 << 12
 #: Bytes of a piece after which settled tokens are emitted.
 EMIT_BYTES = 4096
 #: With so many tokens below a node, a thread keeps which of them fit instead of the token before.
@@ -80,6 +82,8 @@ class Transducer:
                 made.append(number)
                 if halves:
                     self.halves[number] = halves
+        reached = set(made)
+        self.unmade = {t: i for i, t in enumerate(tokens) if i not in reached}
         #: Whether a token is always made after its halves, as the ranks say.
         self.ordered = all(self.length[h] == 1 or h < t for t, both in self.halves.items() for h in both)
         #: The trie, in the order of its tokens' bytes: those below a node are a range of ``order``.
@@ -105,14 +109,14 @@ class Transducer:
         self._start()
 
     def _start(self) -> None:
-        self.fit: dict[tuple[int, int], bool] = {}
         self.thread_number: dict[tuple, int] = {}
         self.threads: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}  # both answers of _move in one number
         first = (self._thread(0, -1, None),)
         self.number, self.states = {first: 0}, [first]
-        #: By state: the next state for each byte (-1: not asked for yet), and the token that ended with the last one.
-        self.table, self.ended = np.full((1024, 256), -1, np.int32), np.full(1024, -1, np.int32)
+        #: By state: the next state for each byte that was met (-1: not asked for yet), and the token that ended with the last one.
+        self.column = np.full(256, -1, np.int64)
+        self.table, self.ended = np.full((ROWS, 32), -1, np.int32), np.full(ROWS, -1, np.int32)
 
     def _thread(self, node: int, before: int, fitting: tuple | None) -> int:
         """The number of a thread: at a node, with the token before it, or, where few tokens are below, with those of them that fit."""
@@ -164,12 +168,7 @@ class Transducer:
 
     def fits(self, before: int, token: int) -> bool:
         """Whether both stay as they are when they are merged together."""
-        key = (before, token)
-        if key not in self.fit:
-            if len(self.fit) > 8 * self.most:
-                self.fit.clear()
-            self.fit[key] = self._apart(before, token) if self.ordered else self.merged(self.tokens[before] + self.tokens[token])[0] == [before, token]
-        return self.fit[key]
+        return self._apart(before, token) if self.ordered else self.merged(self.tokens[before] + self.tokens[token])[0] == [before, token]
 
     def _apart(self, before: int, token: int) -> bool:
         """The same without merging: at no time do the neighbours at the boundary form a token that is due before either is merged away."""
@@ -194,22 +193,32 @@ class Transducer:
             key = thread << 8 | byte
             got = self.moves.get(key)
             if got is None:
-                got = self.moves[key] = self._move(thread, byte)
-            if got[0] >= 0:
-                live.append(got[0])
+                then, token = self._move(thread, byte)
+                got = self.moves[key] = (then + 1) << 32 | token + 1
+            if got >> 32:
+                live.append((got >> 32) - 1)
             if new < 0:
-                new = got[1]
+                new = (got & 0xFFFFFFFF) - 1
         key = (*live, self._thread(0, new, None))
         then = self.number.setdefault(key, len(self.states))
         if then == len(self.states):
             self.states.append(key)
             if then == len(self.table):
-                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-                self.ended = np.concatenate([self.ended, np.full_like(self.ended, -1)])
+                self.table = np.concatenate([self.table, np.full((ROWS, self.table.shape[1]), -1, np.int32)])
+                self.ended = np.concatenate([self.ended, np.full(ROWS, -1, np.int32)])
             self.ended[then] = new
-        self.table[state, byte] = then
+        self.table[state, self.column[byte]] = then
         return then
 
+    def _met(self, raw: np.ndarray) -> None:
+        """Gives bytes that are new a column."""
+        new = np.flatnonzero(np.bincount(raw, minlength=256).astype(bool) & (self.column < 0))
+        used = int(self.column.max()) + 1
+        self.column[new] = np.arange(used, used + len(new))
+        more = -(-(used + len(new) - self.table.shape[1]) // 32) * 32
+        if more > 0:
+            self.table = np.concatenate([self.table, np.full((len(self.table), more), -1, np.int32)], axis=1)
+
     def _settled(self, state: int, ends: list[int]) -> int:
         """How many bytes the live threads agree on: where the ways back from their beginnings meet."""
         at = sorted({len(ends) - self.depth[self.threads[thread][0]] for thread in self.states[state]})
@@ -231,11 +240,14 @@ class Transducer:
 
     def ids(self, piece: bytes) -> list[int]:
         """One piece of any length."""
+        if piece in self.unmade:
+            return [self.unmade[piece]]
         if len(self.states) >= self.most:
             self._start()
+        self._met(np.frombuffer(piece, np.uint8))
         state, out, ends = 0, [], []
         for b in piece:
-            then = int(self.table[state, b])
+            then = int(self.table[state, self.column[b]])
             state = then if then >= 0 else self._grow(state, b)
             ends.append(int(self.ended[state]))
             if len(ends) >= EMIT_BYTES:
@@ -245,6 +257,7 @@ class Transducer:
                 if len(self.states) >= self.most:  # the threads stay, under new numbers
                     kept = [self.threads[thread] for thread in self.states[state]]
                     self._start()
+                    self._met(np.frombuffer(piece, np.uint8))
                     key = tuple(self._thread(*thread) for thread in kept)
                     state = self.number[key] = len(self.states)
                     self.states.append(key)
@@ -254,25 +267,29 @@ class Transducer:
         """The ids of all pieces, one after the other, and each one's number of ids: short pieces go through the machine together, a byte at a time."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         count, found = np.zeros(len(pieces), np.int64), []
-        for i in np.flatnonzero(size > TOGETHER).tolist():
+        apart = size > TOGETHER
+        if self.unmade:
+            apart |= np.fromiter((p in self.unmade for p in pieces), bool, len(pieces))
+        for i in np.flatnonzero(apart).tolist():
             ids = self.ids(pieces[i])
             count[i] = len(ids)
             found.append((np.full(len(ids), i), np.arange(len(ids)), np.array(ids, np.int64)))
-        short = np.flatnonzero(size <= TOGETHER)
+        short = np.flatnonzero(~apart)
         short = short[np.argsort(-size[short], kind="stable")]
         if len(self.states) >= self.most:
             self._start()
         n = size[short]
         raw, first = np.frombuffer(b"".join([pieces[i] for i in short.tolist()]), np.uint8), np.cumsum(n) - n
-        ends, state, alive = np.zeros(len(raw), np.int32), np.zeros(len(short), np.int32), len(short)
+        self._met(raw)
+        ends, state = np.zeros(len(raw), np.int32), np.zeros(len(short), np.int32)
         for k in range(int(n.max()) if len(n) else 0):
             alive = int(np.searchsorted(-n, -k, "left"))  # those longer than k
             here, byte = state[:alive], raw[first[:alive] + k]
-            then = self.table[here, byte]
+            then = self.table[here, self.column[byte]]
             if (then < 0).any():
                 for key in np.unique(here[then < 0].astype(np.int64) << 8 | byte[then < 0]).tolist():
                     self._grow(key >> 8, key & 255)
-                then = self.table[here, byte]
+                then = self.table[here, self.column[byte]]
             state[:alive] = then
             ends[first[:alive] + k] = self.ended[then]
         at, place = n.copy(), 0
