@@ -39,10 +39,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import encoding
+from . import textbytes as T
 from .shared import bounded_batches, id_and_text
 
 #: States of the machine, and bytes of pieces that go through it together.
 STATES, TOGETHER = 1 << 17, 256
+#: Words with kept ids, and bytes of text encoded together.
+WORDS, CHUNK_BYTES = 150_000, 2 << 20
 #: States by which the table grows.
 ROWS = 1 << 12
 #: Bytes of a piece after which settled tokens are emitted.
@@ -356,13 +359,22 @@ class Splitter:
             yield some
 
 
+class _Words(encoding._Known):
+    """Words with their ids; all are learned anew when they are too many."""
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        if len(self.number) > WORDS:
+            self.__init__(self.learn)
+        return super().numbers(parts)
+
+
 class Encoder(encoding.Encoder):
     """Texts cut at spaces that begin a piece, as for the other byte-level tokenizer; ids of the parts by the machine."""
 
     def __init__(self, path: str, pattern: str):
         self.machine, self.splitter = Transducer(read_ranks(path)), Splitter(pattern)
         self.spaced, self.added = True, []
-        self.words, self.heads = encoding._Known(self._learn), encoding._Known(self._whole)
+        self.words, self.heads = _Words(self._learn), _Words(self._whole)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Encoder:
@@ -401,7 +413,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = Encoder.of(path, pattern)
         for batch in it:
             texts = batch.column("text")
-            for a, b in encoding.batches(texts):
+            for a, b in T.chunks(T.flat(texts)[1], CHUNK_BYTES):
                 ids, count = encoder.encode(texts.slice(a, b - a))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "ids"])
