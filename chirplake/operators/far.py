@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import YEAR
+from .graph import BUCKETS
 
 
 def _cumulated(bins: DataFrame, key: str, n: str) -> Column:
@@ -60,29 +61,31 @@ def attach_far(events: DataFrame, value: str, curve: DataFrame, livetime: float)
     return out.withColumn("ifar_years", 1.0 / F.greatest("far", F.lit(1e-30))).withColumn("significance", -F.log10(F.greatest(p, F.lit(1e-300))))
 
 
-def count_at_least(events: DataFrame, background: DataFrame, value: str, bkg_value: str, lo: float, width: float) -> DataFrame:
-    """``n_above``: the background values at or above each event's value.
+def count_at_least(events: DataFrame, background: DataFrame, value: str, bkg_value: str) -> DataFrame:
+    """``n_above``: the background values at or above each event's value; null for an event without a value.
 
-    Background is counted per distinct value in buckets of fixed width.  An event adds the buckets above
-    its own (a running sum over buckets) and the values above it inside its bucket, by a join on the bucket.
+    Background is counted per distinct value in BUCKETS ranges, cut at its quantiles.  An event adds the ranges above
+    its own (a running sum over ranges) and the values above it inside its range, by a join on the range.
     """
-    bucket = lambda c: F.floor((F.col(c) - lo) / width).cast("long")
     kinds = background.where(F.col(bkg_value).isNotNull()).groupBy(F.col(bkg_value).alias("_v")).agg(F.count("*").alias("_n"))
-    kinds = kinds.withColumn("_b", F.floor((F.col("_v") - lo) / width).cast("long"))
+    edges = sorted(set(kinds.approxQuantile("_v", [i / BUCKETS for i in range(1, BUCKETS)], 0.2 / BUCKETS)))  # BUCKETS values
+    places = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<double>")
+    bucket = lambda c: F.size(F.filter(places, lambda x: x <= F.col(c))).cast("long")
+    kinds = kinds.withColumn("_b", bucket("_v"))
     per_bucket = kinds.groupBy("_b").agg(F.sum("_n").alias("_in"))
-    wanted = events.select(value).distinct().withColumn("_b", bucket(value))
+    wanted = events.where(F.col(value).isNotNull()).select(value).distinct().withColumn("_b", bucket(value))
     # running sums inside a bucket, by value: both sides in one order, the background first among equals
     both = kinds.select("_b", F.col("_v").alias("v"), "_n", F.lit(0).alias("ask")).unionByName(wanted.select("_b", F.col(value).alias("v"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("ask")))
     inside = both.withColumn("_here", F.sum("_n").over(Window.partitionBy("_b").orderBy(F.col("v").desc(), "ask").rowsBetween(Window.unboundedPreceding, 0))).where("ask = 1")
     slots = per_bucket.select("_b", "_in").unionByName(wanted.select("_b").distinct().withColumn("_in", F.lit(0).cast("long"))).groupBy("_b").agg(F.sum("_in").alias("_in"))
-    above = slots.withColumn("_over", F.coalesce(F.sum("_in").over(Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    above = slots.withColumn("_over", F.coalesce(F.sum("_in").over(Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # BUCKETS rows
     counted = inside.join(above.select("_b", "_over"), "_b").select(F.col("v").alias(value), (F.col("_here") + F.col("_over")).alias("n_above"))
-    return events.join(counted, value)
+    return events.join(counted, value, "left")
 
 
-def per_event_ifar(events: DataFrame, background: DataFrame, value: str, livetime: float, lo: float = 0.0, width: float = 1.0) -> DataFrame:
-    """n_above, far_hz = n / live time, ifar_s = live time / n (null where nothing is as loud)."""
-    out = count_at_least(events, background, value, value, lo, width)
+def per_event_ifar(events: DataFrame, background: DataFrame, value: str, livetime: float) -> DataFrame:
+    """n_above, far_hz = n / live time, ifar_s = live time / n (null where nothing is as loud); all null for an event without a value."""
+    out = count_at_least(events, background, value, value)
     return out.withColumn("far_hz", F.col("n_above") / max(livetime, 1.0)).withColumn("ifar_s", F.when(F.col("n_above") > 0, F.lit(livetime) / F.col("n_above")))
 
 

@@ -10,35 +10,49 @@ from ..session import checkpoints
 BUCKETS = 256
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+#: A node with more than one in so many of all edge ends is a hub; there are fewer hubs than that.
+HUBS = 4096
+
+
+def _with_least(rows: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """Rows (u, v) with ``m``, the least neighbour of their u.  A hub's rows stay where they are and get its m by a broadcast of the hubs, so no task holds all of them."""
+    hub = F.col("n") > ends / HUBS
+    hubs = F.broadcast(least.where(hub).select("u", "m"))  # fewer than HUBS rows
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b): the smallest node of its component.
 
-    Labels spread along edges and then jump to their labels' labels, so a chain
-    of n nodes takes about log n rounds.  Each round is cut by a checkpoint in
-    the shared folder; ``most`` only guards against edges that change meanwhile.
+    Two steps in turn, until no edge changes: each node links its larger
+    neighbours to its smallest, and then its smaller neighbours and itself.  The
+    edges end as stars, after about log n rounds for a chain of n nodes; each
+    round is cut by a checkpoint in the shared folder.
     """
     checkpoints(edges.sparkSession)
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("a", "b").distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = spread.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = spread.join(up, spread["label"] == up["_n"]).select("node", F.least("label", "_l").alias("label"), "old").checkpoint()
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    sign = lambda: tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen, before = sign(), None
+    while seen != before:  # each round makes some label smaller or is the last
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both.where("v > u"), least, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().checkpoint()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, down, 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = small.union(down.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        seen, before = sign(), seen
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def running(df: DataFrame, by: str, order: list[Column | str], value: Column, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before each one, in an order that begins with the number ``by``.
 
-    Rows are summed in BUCKETS ranges of ``by``; the running sum goes over those, and then inside one.
+    Rows are summed in BUCKETS ranges of ``by``, cut at its quantiles; the running sum goes over those, and then inside one.
     """
-    span = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).first()  # one row
-    lo, width = float(span["lo"] or 0), max((float(span["hi"] or 0) - float(span["lo"] or 0)) / BUCKETS, 1e-9)
-    dealt = df.withColumn("__b", F.least(F.floor((F.col(by) - lo) / width), F.lit(BUCKETS - 1)).cast("long")).withColumn("__v", value)
+    edges = df.approxQuantile(by, [i / BUCKETS for i in range(1, BUCKETS)], 0.2 / BUCKETS)  # BUCKETS values: equal parts of the rows, however the values lie
+    places = F.array(*[F.lit(x) for x in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    # the first edge above a value: nulls, which come first in the order, in a bucket of their own
+    dealt = df.withColumn("__b", F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.size(F.filter(places, lambda x: x <= F.col(by)))).cast("long")).withColumn("__v", value)
     per = dealt.groupBy("__b").agg(F.sum("__v").alias("__s"))
     before = per.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -63,19 +63,30 @@ def _arrivals(rate: float, seed: int):
     return run
 
 
+def _drawn(rows: DataFrame, trials: int, rate: float, seed: int) -> DataFrame:
+    """The arrivals of each interval in each trial."""
+    slots = rows.select("interval_id", "start", "end").withColumn("trial_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
+    return slots.mapInPandas(_arrivals(rate, seed), "interval_id long, start double, end double, trial_idx long, times array<double>")
+
+
 def in_intervals_poisson(injections: DataFrame, rate: float, rows: DataFrame, key: str, count: int, seed: int = 0, most_trials: int | None = None) -> DataFrame:
     """Injections, numbered from 0 by ``key``, on the arrivals of a Poisson process in each trial's intervals (interval_id, start, end), trial after trial until none is left.
 
     Each interval of each trial draws its own arrivals; they are numbered by running sums of their counts.
+    Where the first trials have too few arrivals, more are drawn; with ``most_trials``, what finds no arrival in them is left out.
     """
     total = rows.agg(F.sum(F.col("end") - F.col("start")).alias("t")).first()["t"] or 0.0  # one row
     if total <= 0:
         raise ValueError("there is no live time")
     per = rate * total
     trials = max(1, math.ceil((count + 8 * math.sqrt(count + 1) + 8) / per))
-    trials = min(trials, most_trials) if most_trials else trials
-    slots = rows.select("interval_id", "start", "end").withColumn("trial_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    drawn = slots.mapInPandas(_arrivals(rate, seed), "interval_id long, start double, end double, trial_idx long, times array<double>")
+    while True:
+        trials = min(trials, most_trials) if most_trials else trials
+        drawn = _drawn(rows, trials, rate, seed)
+        arrivals = drawn.agg(F.sum(F.size("times")).alias("n")).first()["n"] or 0  # one row
+        if arrivals >= count or trials == most_trials:
+            break
+        trials += max(1, math.ceil(2 * (count - arrivals) / per))
     drawn = drawn.withColumn("_axis", F.col("trial_idx") + F.col("interval_id") / F.lit(1e15))
     first = graph.running(drawn, "_axis", ["trial_idx", "interval_id"], F.size("times"), "_first")
     each = first.select("trial_idx", "interval_id", "_first", F.posexplode("times").alias("_k", "gps_time")).select("trial_idx", "interval_id", "gps_time", (F.col("_first") + F.col("_k")).cast("long").alias("_i"))

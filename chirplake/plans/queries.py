@@ -86,7 +86,7 @@ def far_attach(spark, d):
 @query(f"SELECT a.id, count(*) AS n_above, round(count(*) / {LIVETIME} * 1e6, 6) AS far_hz, round({LIVETIME} / count(*), 4) AS ifar_s FROM (SELECT * FROM t WHERE event_type = 'click') a JOIN t b ON b.rho >= a.rho GROUP BY a.id", _T)
 def per_event_ifar(spark, d):
     t = triggers(spark, d)
-    out = far.per_event_ifar(t.where("event_type = 'click'").select("id", "rho"), t, "rho", LIVETIME, LO, WIDTH)
+    out = far.per_event_ifar(t.where("event_type = 'click'").select("id", "rho"), t, "rho", LIVETIME)
     return out.select("id", "n_above", F.round(F.col("far_hz") * 1e6, 6).alias("far_hz"), F.round("ifar_s", 4).alias("ifar_s"))
 
 

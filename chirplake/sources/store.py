@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from ..operators import catalog, lags
 from .files import PROGRESS
 
+#: Job ids that go to a scan as a filter.
+PUSHED = 1000
 #: Ingest order: the append, then the row inside it.
 SEQUENCE = "_seq"
 CONFIG = "version string, config string"
@@ -84,10 +86,31 @@ class Catalogue:
         return (catalog.keep_last(rows, order=SEQUENCE) if deduplicate else rows).drop(SEQUENCE)
 
     def of_jobs(self, ids: DataFrame, where: Column | None = None) -> DataFrame:
-        """Triggers of the jobs of a table with ``job_id``; a filter goes to the scan."""
+        """Triggers of the jobs of a table with ``job_id``, as the last append left them; a filter sees those alone, never a row that was replaced.
+
+        Up to ``PUSHED`` ids go to the scan as a filter on the key, so files and
+        row groups without them are skipped (see ``cluster``); more meet the
+        triggers in a semi-join, which Spark helps by a filter at run time.
+        """
+        wanted = ids.select("job_id").distinct()
+        few = [r["job_id"] for r in wanted.limit(PUSHED + 1).collect()]
         rows = self._table("triggers")
-        rows = rows if where is None else rows.where(where)
-        return catalog.keep_last(rows.join(ids.select("job_id").distinct(), "job_id", "left_semi"), order=SEQUENCE).drop(SEQUENCE)
+        rows = rows.where(F.col("job_id").isin(few)) if len(few) <= PUSHED else rows.join(wanted, "job_id", "left_semi")
+        last = catalog.keep_last(rows, order=SEQUENCE).drop(SEQUENCE)
+        return last if where is None else last.where(where)
+
+    def cluster(self, files: int = 64, row_group: int = 16 << 20) -> Catalogue:
+        """A catalogue beside this one, ``<path>-clustered``, with the triggers dealt and sorted by job: every file holds a range of jobs, every row group a narrow one, and a Bloom filter of them, so a scan for some jobs skips the rest.
+
+        ``files`` bounds the number of files; appends go on in either.
+        """
+        out = Catalogue(self.spark, f"{self.path}-clustered")
+        rows = self._table("triggers").repartitionByRange(files, "job_id").sortWithinPartitions("job_id")
+        writer = rows.write.option("parquet.block.size", str(row_group)).option("parquet.bloom.filter.enabled#job_id", "true").option("parquet.bloom.filter.expected.ndv#job_id", "100000")
+        writer.parquet(f"{out.path}/triggers")
+        for name in ("progress", "run_config", "jobs"):
+            self._table(name).write.parquet(f"{out.path}/{name}")
+        return out
 
     def append(self, rows: DataFrame) -> None:
         with_sequence(rows).write.mode("append").parquet(f"{self.path}/triggers")
@@ -131,8 +154,6 @@ def live_time_rows(jobs: DataFrame) -> DataFrame:
 
 
 _RENAMED = {"json_extract_string": "get_json_object", "json_extract": "get_json_object", "list_contains": "array_contains", "list_sum": "aggregate_sum", "list_max": "array_max", "list_min": "array_min", "epoch": "unix_seconds"}
-#: Words that may follow a relation and are no alias.
-_FOLLOW = "(?:AS|ON|WHERE|GROUP|ORDER|LIMIT|JOIN|LEFT|RIGHT|INNER|FULL|USING|HAVING|UNION|CROSS|SEMI|ANTI|QUALIFY|EXCEPT|INTERSECT|WINDOW)\\b"
 _QUALIFY = re.compile(r"\bQUALIFY\b(.*?)(?=\bORDER\s+BY\b(?![^()]*\))|\bLIMIT\b|\Z)", re.I | re.S)
 
 
@@ -152,7 +173,7 @@ def _with_text(sql: str, texts: list[str]) -> str:
 
 
 def translated(sql: str, views: Mapping[str, str] | None = None) -> str:
-    """The sort of SQL that catalogues are asked in, as Spark's: names of JSON and list functions, list elements counted from 1, QUALIFY behind one SELECT; relations as the views given for them.
+    """The sort of SQL that catalogues are asked in, as Spark's: names of JSON and list functions, list elements counted from 1, QUALIFY behind one SELECT (an error elsewhere), names in double quotes; relations are common tables over the views given for them.
 
     Text in quotes stays as it is.
     """
@@ -161,14 +182,18 @@ def translated(sql: str, views: Mapping[str, str] | None = None) -> str:
         sql = re.sub(rf"\b{old}\s*\(", f"{new}(", sql, flags=re.I)
     sql = re.sub(r"\baggregate_sum\(([\w.]+)\)", r"aggregate(\1, 0D, (a, x) -> a + x)", sql)
     sql = re.sub(r"([A-Za-z_][\w.]*)\[(\d+)\]", r"try_element_at(\1, \2)", sql)
-    for name, view in (views or {}).items():
-        sql = re.sub(rf"(\b(?:FROM|JOIN)\s+){name}\b(?!\s*\.)", rf"\1{view} AS {name}", sql, flags=re.I)
-        sql = re.sub(rf"({view}) AS {name}\s+(?:AS\s+)?(?!{_FOLLOW})([A-Za-z_]\w*)", r"\1 AS \2", sql, flags=re.I)
+    sql = re.sub(r'"((?:[^"]|"")*)"', lambda m: "`" + m[1].replace('""', '"').replace("`", "``") + "`", sql)
     found = _QUALIFY.search(sql)
     if found:
         head, tail = sql[: found.start()], sql[found.end() :]
+        if not re.match(r"\s*SELECT\b", sql, re.I) or head.count("(") != head.count(")") or _QUALIFY.search(tail) or re.search(r"\b(?:UNION|EXCEPT|INTERSECT)\b", sql, re.I):
+            raise ValueError("QUALIFY is understood behind a single SELECT only")
         inner = re.sub(r"^\s*SELECT\s+(.*?)\s+FROM\s", lambda m: f"SELECT {m[1]}, ({found[1].strip()}) AS __kept FROM ", head, count=1, flags=re.I | re.S)
         sql = f"SELECT * EXCEPT (__kept) FROM ({inner}) WHERE __kept {tail}"
+    if views:  # the query's own names, ahead of its own common tables
+        own = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        start = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
+        sql = f"WITH {start[1] or ''}{own}, {sql[start.end() :]}" if start else f"WITH {own} {sql}"
     return _with_text(sql, texts)
 
 

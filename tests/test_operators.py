@@ -97,6 +97,11 @@ def test_far_counts(frame):
     assert [(r["bin"], r["n"], r["n_above"]) for r in far.far_curve(t, "rho", 0.0, 1.0, 2, far.YEAR).orderBy("bin").collect()] == [(0, 1, 4), (1, 3, 3)]
     got = far.per_event_ifar(t.distinct(), t, "rho", 100.0).collect()
     assert {r["rho"]: r["n_above"] for r in got} == {0.5: 4, 1.5: 3, 2.0: 1}
+    # an event without a value stays, without a rate; background without one does not count
+    more = frame([(1.5,), (None,), (9.0,), (-1.0,)], "rho double")
+    got = {r["rho"]: (r["n_above"], r["ifar_s"]) for r in far.per_event_ifar(more, t.unionByName(more.where("rho IS NULL")), "rho", 100.0).collect()}
+    assert got[None] == (None, None) and got[1.5] == (3, 100 / 3) and got[-1.0] == (4, 25.0)
+    assert far.per_event_ifar(more, t.where("rho > 5"), "rho", 100.0).count() == 4
 
 
 def test_crossing(frame):

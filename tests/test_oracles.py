@@ -5,8 +5,8 @@ import os
 
 import pytest
 
+from chirplake.plans import planes, search, streams
 from chirplake.plans import queries as plans
-from chirplake.plans import search
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -56,3 +56,16 @@ def test_search_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(search.QUERIES) - set(search.SQL)))
 def test_search_gives_rows(spark, name):
     assert search.QUERIES[name](spark, DATA).count() > 0
+
+
+MORE = [(module, name) for module in (planes, streams) for name in sorted(module.QUERIES)]
+
+
+@pytest.mark.parametrize(("module", "name"), MORE, ids=[n for _, n in MORE])
+def test_more_match_sql(spark, duck, module, name):
+    got = module.QUERIES[name](spark, DATA)
+    rows = [tuple(r) for r in got.collect()]
+    assert rows
+    if name in module.SQL:
+        want = duck.execute(module.SQL[name])
+        assert canonical(got.columns, rows) == canonical([c[0] for c in want.description], want.fetchall())

@@ -55,6 +55,16 @@ def test_poisson_schedule(spark, frame):
     assert injections.in_intervals_poisson(points, 0.02, rows, "i", 2000, seed=4, most_trials=2).count() < 2000
 
 
+def test_poisson_schedule_draws_on_until_all_have_an_arrival(spark, frame, monkeypatch):
+    """Where the first trials hold too few arrivals, no injection is lost; also in one range."""
+    drawn = injections._drawn
+    trials = []
+    monkeypatch.setattr(injections, "_drawn", lambda rows, n, rate, seed: trials.append(n) or drawn(rows, n if len(trials) > 1 else 1, rate, seed))
+    points = spark.range(200).withColumnRenamed("id", "i")
+    got = injections.in_range_poisson(spark, points, 0.01, 0.0, 5000.0, "i", 200, edge=10.0, seed=2).collect()
+    assert len(got) == 200 and len(trials) > 1 and all(10 <= r["gps_time"] < 4990 for r in got)
+
+
 def test_rates_that_do_not_fit(spark, frame):
     with pytest.raises(ValueError):
         injections.in_range_at_rate(spark.range(5), 0.1, 0.0, 5.0, "id", 5)

@@ -143,3 +143,59 @@ def test_command_line(spark, frame, made, tmp_path, capsys):
     frame([(2,)], "a int").write.parquet(str(tmp_path / "f2"))
     main(["merge", str(tmp_path / "f1"), str(tmp_path / "f2"), "--out", str(tmp_path / "all")], spark)
     assert spark.read.parquet(str(tmp_path / "all")).count() == 2
+
+
+def test_a_filter_never_brings_back_what_was_replaced(frame, made, monkeypatch):
+    made.append(frame([("a", 1, 0, 0, 9.0), ("b", 2, 0, 0, 8.0)], ROWS))
+    made.append(frame([("a", 1, 0, 0, 2.0)], ROWS))
+    ids = frame([(1,), (2,)], "job_id int")
+    for pushed in (1000, 1):  # as a filter of the scan, and as a join
+        monkeypatch.setattr(store, "PUSHED", pushed)
+        assert [r["id"] for r in made.of_jobs(ids, F.col("rho") > 5).collect()] == ["b"]
+        assert sorted((r["id"], r["rho"]) for r in made.of_jobs(ids).collect()) == [("a", 2.0), ("b", 8.0)]
+
+
+def metrics(df, names):
+    """Sums of the scan's metrics of a finished plan."""
+    df.collect()
+    out, todo = dict.fromkeys(names, 0), [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        for n in names:
+            if "Scan" in node.nodeName() and node.metrics().contains(n):
+                out[n] += node.metrics().apply(n).value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_clustering_lets_a_scan_skip(spark, frame, made):
+    """The rows of few jobs are read from few row groups of the clustered files; the answer stays."""
+    rows = spark.range(60_000).select(F.concat(F.lit("t"), "id").alias("id"), (F.pmod(F.xxhash64("id"), F.lit(3000))).cast("int").alias("job_id"), F.lit(0).alias("lag_idx"), F.lit(0).alias("trial_idx"), F.rand(1).alias("rho"))
+    made.append(rows.repartition(6))
+    sorted_by_job = made.cluster(files=12)
+    ids = frame([(17,), (1400,)], "job_id int")
+    plain, quick = made.of_jobs(ids), sorted_by_job.of_jobs(ids)
+    key = lambda df: sorted((r["id"], r["job_id"], r["rho"]) for r in df.collect())
+    assert key(plain) == key(quick) and len(key(quick)) > 10
+    read = [metrics(x, ["numOutputRows"])["numOutputRows"] for x in (made.of_jobs(ids), sorted_by_job.of_jobs(ids))]
+    assert read[0] >= 60_000 and read[1] < 20_000
+    assert sorted_by_job.jobs().count() == made.jobs().count() and sorted_by_job.metadata() == made.metadata()
+
+
+def test_sql_names_its_relations_anywhere(spark, frame, made):
+    made.append(frame([("a", 1, 0, 0, 1.0), ("b", 2, 0, 0, 7.0)], ROWS))
+    other = frame([(1, "x")], "job_id int, label string")
+    assert made.query("SELECT id, label FROM jobs, triggers WHERE jobs.job_id = triggers.job_id", jobs=other).first()["label"] == "x"
+    assert made.query('SELECT max("rho") AS m FROM "triggers"').first()["m"] == 7.0
+    assert made.query("WITH big AS (SELECT * FROM triggers WHERE rho > 2) SELECT id FROM big").first()["id"] == "b"
+    assert made.query("SELECT (SELECT count(*) FROM triggers) AS n").first()["n"] == 2
+    for sql in ("WITH x AS (SELECT * FROM triggers QUALIFY row_number() OVER (ORDER BY rho) = 1) SELECT * FROM x", "SELECT * FROM (SELECT * FROM triggers QUALIFY row_number() OVER (ORDER BY rho) = 1)", "SELECT id FROM triggers UNION SELECT id FROM triggers QUALIFY row_number() OVER (ORDER BY id) = 1"):
+        with pytest.raises(ValueError, match="QUALIFY"):
+            made.query(sql)
