@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import far
+from ..operators import far, stretches
 
 #: Fixed value: seconds from the Unix epoch to the GPS epoch, leap seconds not counted.
 GPS_EPOCH = 315964800
@@ -151,11 +151,7 @@ def settled_neighbours(df: DataFrame, key: str, time: str, hold: float = 100.0,
 
 def settled_neighbours_batch(df: DataFrame, key: str, seconds: float = 0.5, degrees: float = 5.0) -> DataFrame:
     """The same for a table, as on shutdown: all that is pending is given out.  Stretches without a trigger for ``seconds`` are apart, so each is a group of its own."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy("gps", "id")
-    new = F.when(F.col("gps") - F.lag("gps").over(w) < seconds, 0).otherwise(1)
-    cut = df.select(key, *_COLUMNS).withColumn("_n", new).withColumn("_s", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
+    cut = stretches.stretched(df.select(key, *_COLUMNS), [key], "gps", seconds, "_s")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["gps", "id"], kind="stable")
@@ -201,14 +197,22 @@ def unknown_or_louder(new: DataFrame, saved: DataFrame, seconds: float = 0.5, de
     return rows.join(old, (F.col("_own") == F.col("_cell")) & near, "left_anti").drop("_own")
 
 
+#: Seconds within which a saved trigger is a neighbour.
+NEAR = 0.5
+
+
 def handler(path: str, curve: DataFrame, livetime: float) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: triggers of a micro-batch that the saved ones do not know louder, with their false-alarm rate, one folder per batch; a batch that comes again writes the same folder."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        saved = spark.read.schema(f"{_TYPES}, far double, ifar_years double, significance double, batch long").parquet(path).where(F.col("batch") != number) if _exists(spark, path) else None
         rows = batch.select(*_COLUMNS)
-        rows = rows if saved is None else unknown_or_louder(rows, saved)
+        if _exists(spark, path):
+            span = rows.agg(F.min("gps").alias("lo"), F.max("gps").alias("hi")).first()  # one row
+            saved = spark.read.schema(f"{_TYPES}, far double, ifar_years double, significance double, batch long").parquet(path).where(F.col("batch") != number)
+            # of the history only what is near in time: the rest is skipped by the files' statistics
+            near = F.col("gps").between(span["lo"] - NEAR, span["hi"] + NEAR) if span["lo"] is not None else F.lit(False)
+            rows = unknown_or_louder(rows, saved.where(near), NEAR)
         far.attach_far(rows, "rho", curve, livetime).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
