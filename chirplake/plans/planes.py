@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import coherent, kernels, ranks, skypix, tiles
+from ..operators import coherent, kernels, prediction, ranks, skypix, tiles
 from .queries import _T, Query, read, rounded, triggers
 
 QUERIES: dict[str, Query] = {}
@@ -182,6 +182,19 @@ def best_directions(spark, d):
     return rounded(coherent.best_direction(*_network(spark, d), ["event"], 8, digits=6), "statistic", "energy", digits=4)
 
 
+# --- linear prediction: vectors of a group, one after the other, are a series
+
+_SERIES = "x AS (SELECT vec_id % 16 AS job, vec_id // 16 AS block, k, CAST(embedding[k] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)), l AS (SELECT job, v, lag(v) OVER w AS a, lag(v, 2) OVER w AS b FROM x WINDOW w AS (PARTITION BY job ORDER BY block, k)), r AS (SELECT job, count(*) AS n, sum(v * a) AS va, sum(v * b) AS vb, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM l WHERE b IS NOT NULL GROUP BY 1)"
+
+
+@query("SELECT job, n, round((va * bb - vb * ab) / (aa * bb - ab * ab), 6) AS first, round((vb * aa - va * ab) / (aa * bb - ab * ab), 6) AS second FROM r", _SERIES)
+def linear_prediction(spark, d):
+    v = F.col("vec_id")
+    series = read(spark, d, "embeddings").select((v % 16).alias("job"), F.floor(v / 16).alias("block"), F.col("embedding").alias("samples"))
+    found = prediction.coefficients(series, ["job"], 2)
+    return rounded(found.select("job", "n", F.get("coefficients", F.lit(0)).alias("first"), F.get("coefficients", F.lit(1)).alias("second")), "first", "second")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
