@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import coherent, kernels, prediction, ranks, skypix, tiles
+from ..operators import bootstrap, coherent, kernels, prediction, ranks, skypix, tiles
 from .queries import _T, Query, read, rounded, triggers
 
 QUERIES: dict[str, Query] = {}
@@ -195,6 +195,17 @@ def linear_prediction(spark, d):
     return rounded(found.select("job", "n", F.get("coefficients", F.lit(0)).alias("first"), F.get("coefficients", F.lit(1)).alias("second")), "first", "second")
 
 
+# --- bands of means
+
+_STEPS = "(" + " + ".join(f"CASE WHEN u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} THEN 1 ELSE 0 END" for k in range(bootstrap.MOST)) + ")"
+_DRAWN = f"b AS (SELECT event_type, rho, r, CAST(CAST('0x' || substr(md5('0_' || r || '_' || id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM t, range(40) x(r)), m AS (SELECT event_type, r, sum({_STEPS} * rho) / sum({_STEPS}) AS mean FROM b GROUP BY 1, 2)"
+
+
+@query("SELECT event_type, (SELECT count(*) FROM t WHERE t.event_type = m.event_type) AS n, round((SELECT avg(rho) FROM t WHERE t.event_type = m.event_type), 6) AS mean, round(quantile_cont(mean, 0.05), 6) AS lower, round(quantile_cont(mean, 0.95), 6) AS upper FROM m GROUP BY 1", _T, _DRAWN)
+def mean_bands(spark, d):
+    return rounded(bootstrap.bands(triggers(spark, d).select("id", "event_type", "rho"), ["event_type"], "id", "rho", 40, 0.9), "mean", "lower", "upper")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
