@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -73,12 +73,16 @@ def defragmented(pixels: DataFrame, group: Sequence[str], t_gap: float, f_gap: f
 
 
 def loudest_pixels(pixels: DataFrame, group: Sequence[str], n: int, value: str = "likelihood", tie: str = "pixel") -> DataFrame:
-    """The n loudest pixels of each cluster, of equal ones the first: a bounded list per cluster, by partial aggregation."""
-    row = F.struct((-F.col(value)).alias("_v"), F.col(tie).alias("_t"), F.struct(*[c for c in pixels.columns if c not in (*group, "cluster_id")]).alias("_r"))
-    # per part of a cluster n at most, then n of those
-    parts = pixels.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(64))).groupBy(*group, "cluster_id", "_part").agg(F.slice(F.sort_array(F.collect_list(row)), 1, n).alias("top"))
-    top = parts.groupBy(*group, "cluster_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, n).alias("top"))
-    return top.select(*group, "cluster_id", F.posexplode("top").alias("place", "x")).select(*group, "cluster_id", "place", "x._r.*")
+    """The n loudest pixels of each cluster, of equal ones the first, those without a value last: n of each of 64 parts of a cluster, then n of those.
+
+    Spark drops what is beyond a part's n before it moves rows, so no cluster's pixels are gathered.
+    """
+    order = [F.col(value).desc_nulls_last(), F.col(tie)]
+    rest = [c for c in pixels.columns if c not in (*group, "cluster_id")]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*group, "cluster_id", *by).orderBy(*order))
+    some = pixels.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(64))).withColumn("_place", place("_part")).where(F.col("_place") <= n)
+    top = some.withColumn("_place", place()).where(F.col("_place") <= n)
+    return top.select(*group, "cluster_id", (F.col("_place") - 1).alias("place"), *rest)
 
 
 def cross_talk(pixels: DataFrame, table: DataFrame, on: Sequence[str] = ("layer", "index")) -> DataFrame:

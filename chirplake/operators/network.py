@@ -70,10 +70,10 @@ def sky_table(grid: DataFrame, detectors: Sequence[Detector], reference: Detecto
 
 
 def to_icrs(system: str, first: Column, second: Column, gps: Column) -> tuple[Column, Column]:
-    """(ra, dec) in radians from ``icrs`` (as it is), ``geo`` (longitude, latitude) or ``cwb`` (longitude, co-latitude)."""
+    """(ra, dec) in radians from ``icrs`` (as it is), ``geo`` (longitude, latitude) or ``colatitude`` (longitude, co-latitude)."""
     if system == "icrs":
         return first, second
-    if system not in ("geo", "cwb"):
+    if system not in ("geo", "colatitude"):
         raise ValueError(f"unknown coordinates: {system}")
     ra = F.pmod(first + geo.sidereal_radians(gps), F.lit(2 * math.pi))
     return ra, second if system == "geo" else F.lit(math.pi / 2) - second

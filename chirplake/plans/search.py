@@ -9,11 +9,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, geo
 from ..operators import clusters, dq, efficiency, injections, intervals, jobs, network, reports, selection, sky
 from ..sources import params, store
 from ..streaming import online
-from .queries import _IV, _SKY, _T, LIVETIME, SECONDS, Query, _iv, progress, read, rounded, triggers
+from .queries import _GMST, _IV, _SKY, _T, LIVETIME, SECONDS, Query, _iv, progress, read, rounded, triggers
 from .queries import _P as _PROGRESS
 
 QUERIES: dict[str, Query] = {}
@@ -226,6 +226,15 @@ def efficiency_by_ifar(spark, d):
     return efficiency.by_group(each, ["name", "ifar", "hrss"], F.col("rho") >= F.col("least")).drop("efficiency")
 
 
+_IFAR = "e AS (SELECT event_type AS name, ifar, 1.0 + k // 20 AS hrss, avg(CASE WHEN rho >= least THEN 1.0 ELSE 0.0 END) AS e FROM t, (VALUES ('1yr', 60.0), ('1mo', 30.0)) x(ifar, least) GROUP BY ALL), n AS (SELECT *, lead(e) OVER w AS e2, lead(hrss) OVER w AS h2 FROM e WINDOW w AS (PARTITION BY name, ifar ORDER BY hrss))"
+
+
+@query("SELECT name, ifar, round(CASE WHEN min(e) > 0.5 THEN min(hrss) WHEN max(e) < 0.5 THEN max(hrss) ELSE min_by(CASE WHEN abs(e2 - e) < 1e-12 THEN hrss ELSE pow(10, log10(hrss) + (0.5 - e) / (e2 - e) * (log10(h2) - log10(hrss))) END, hrss) FILTER (WHERE e <= 0.5 AND e2 >= 0.5 OR e >= 0.5 AND e2 <= 0.5) END, 5) AS hrss50 FROM n GROUP BY 1, 2", _T, _IFAR)
+def hrss50_by_ifar(spark, d):
+    t = triggers(spark, d).select(F.col("event_type").alias("name"), (F.floor(F.col("k") / 20) + 1.0).alias("hrss"), "rho")
+    return rounded(reports.hrss50_by_ifar(t, "rho", {"1yr": 60.0, "1mo": 30.0}), "hrss50", digits=5)
+
+
 @query("SELECT CASE WHEN rho = hi THEN 19 ELSE CAST(floor((rho - lo) / ((hi - lo) / 20)) AS BIGINT) END AS bin, count(*) AS n FROM t, (SELECT min(rho) AS lo, max(rho) AS hi FROM t) GROUP BY 1", _T)
 def auto_histogram(spark, d):
     return reports.auto_histogram(triggers(spark, d), "rho", 20)
@@ -264,7 +273,18 @@ def sky_delays(spark, d):
 @query("SELECT id, round(pi() / 2 - k * 0.01, 6) AS dec FROM t", _T)
 def frame_to_icrs(spark, d):
     t = triggers(spark, d)
-    return t.select("id", F.round(network.to_icrs("cwb", F.col("k") * 0.01, F.col("k") * 0.01, F.col("gps_time"))[1], 6).alias("dec"))
+    return t.select("id", F.round(network.to_icrs("colatitude", F.col("k") * 0.01, F.col("k") * 0.01, F.col("gps_time"))[1], 6).alias("dec"))
+
+
+@query(f"SELECT id, frame, round((k * 0.05 + {_GMST}) % {geo.TWO_PI}, 5) AS ra, round(CASE frame WHEN 'geo' THEN k * 0.01 ELSE pi() / 2 - k * 0.01 END, 6) AS dec FROM t, (VALUES ('geo'), ('colatitude')) f(frame)", _T)
+def frames_to_icrs(spark, d):
+    """Both frames, and both coordinates of each."""
+    t = triggers(spark, d)
+    parts = []
+    for frame in ("geo", "colatitude"):
+        ra, dec = network.to_icrs(frame, F.col("k") * 0.05, F.col("k") * 0.01, F.col("gps_time"))
+        parts.append(t.select("id", F.lit(frame).alias("frame"), F.round(ra, 5).alias("ra"), F.round(dec, 6).alias("dec")))
+    return parts[0].unionByName(parts[1])
 
 
 @query()
