@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, coherent, kernels, prediction, ranks, skypix, tiles
+from ..operators import bootstrap, coherent, efficiency, kernels, prediction, ranks, skypix, tiles
 from .queries import _T, Query, read, rounded, triggers
 
 QUERIES: dict[str, Query] = {}
@@ -206,6 +206,16 @@ def mean_bands(spark, d):
     return rounded(bootstrap.bands(triggers(spark, d).select("id", "event_type", "rho"), ["event_type"], "id", "rho", 40, 0.9), "mean", "lower", "upper")
 
 
+# --- curves of all waveforms at once
+
+
+@query()
+def sigmoid_fits(spark, d):
+    """The error function has no SQL form; tests hold the fit against a direct maximiser."""
+    t = triggers(spark, d).withColumn("hrss", F.col("k") + 1.0)
+    return rounded(efficiency.sigmoids(t, ["event_type"], "hrss", F.col("rho") * F.col("hrss") > 1500), "middle", "width", "hrss10", "hrss50", "hrss90")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
