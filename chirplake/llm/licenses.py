@@ -2,8 +2,10 @@
 
 Texts are brought to words: lower case, everything that is no letter, digit or
 beyond ASCII made one space.  Signature rules are regular expressions over that
-form.  They are gated twice: a text without any general license word runs none
-of them, and a rule runs only where its own keyword stands in the text.
+form.  They are gated thrice: a text without any general license word runs none
+of them; a name, short name or wording is looked for, by one constant pattern,
+only where its keyword stands in the text; and the rules made of it run only
+where it was found.  No rule can match without its gate's pattern.
 
 Detections are word intervals with the rule's priority.  A detection inside
 another is suppressed when the outer one is longer, or is of higher priority;
@@ -17,10 +19,12 @@ are each answered; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import PART, placed
+from .native import PART, let, placed
 from .shared import id_and_text
 
 # The phrases and labels that the results are defined by.
@@ -149,6 +153,19 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
+def gates() -> list[tuple[str, str]]:
+    """(keyword, pattern) of each rule, in the order of ``rules``: rules of one name share a gate, whatever version or form they ask for."""
+    needed = []
+    for label, name, versions in NAMES:
+        spdx = f" spdx license identifier {label.replace('-', ' ')}"
+        for _ in dict.fromkeys(["", *versions]):
+            needed += [spdx if priority == 100 else f" {name}" for _, priority, _ in FORMS]
+    for _, name, _, versions in SHORT:
+        needed += [f" {name}"] * len(versions)
+    needed += [f" {pattern}" for _, _, pattern in TEXTS]
+    return [(rule[1], pattern) for rule, pattern in zip(rules(), needed, strict=True)]
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -166,14 +183,19 @@ def scan(docs: DataFrame) -> DataFrame:
     words = F.col("words")
     out = id_and_text(docs).select("doc_id", spaced.alias("words"))
     out = out.withColumn("some", words.rlike(GENERAL))
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(l).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(r).alias("priority"), F.lit(s).alias("score")) for i, (l, k, p, r, s) in enumerate(rules())])
+    gate_of = gates()
+    numbers = {gate: i for i, gate in enumerate(dict.fromkeys(gate_of))}
+    # one constant, parsed once as the query is planned: thousands of literals take longer to plan than the texts to scan
+    rows = [{"rule": i, "gate": numbers[gate_of[i]], "label": l, "pattern": p, "priority": r, "score": s} for i, (l, _, p, r, s) in enumerate(rules())]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<rule:int,gate:int,label:string,pattern:string,priority:int,score:double>>")
     none = F.array().cast("array<struct<start:bigint,end:bigint,rule:int,label:string,priority:int,score:double>>")
 
     def run(rule: Column) -> Column:
         return F.transform(_places(words, rule["pattern"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), rule["rule"].alias("rule"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["score"].alias("score")))
 
-    gated = F.filter(table, lambda r: F.contains(words, r["keyword"]))
-    out = out.withColumn("found", F.when(F.col("some"), F.flatten(F.transform(gated, run))).otherwise(none))
+    opened = F.array(*[F.contains(words, F.lit(keyword)) & words.rlike(pattern) for keyword, pattern in numbers])
+    found = let(opened, lambda o: F.flatten(F.transform(F.filter(table, lambda r: F.get(o, r["gate"])), run)))
+    out = out.withColumn("found", F.when(F.col("some"), found).otherwise(none))
     for i, phrase in enumerate(BASE):
         out = out.withColumn(f"base{i}", F.when(F.col("some") & F.contains(words, F.lit(f" {phrase} ")), F.transform(_places(words, f"(?<= ){phrase}(?= )"), lambda p: p["start"])).otherwise(F.array().cast("array<bigint>")))
 

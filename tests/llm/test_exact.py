@@ -96,6 +96,18 @@ def test_rules_are_many_and_compile():
         assert keyword.startswith(" ") and 0 < score <= 1
 
 
+def test_no_rule_matches_without_its_gate():
+    texts = [f" {' '.join(ALNUM.findall(lowered(t)))} " for t, _ in LICENSE_TEXTS]
+    texts += [f" spdx license identifier {label.replace('-', ' ')} {v} " for label, _, versions in licenses.NAMES for v in versions]
+    met = 0
+    for (_, keyword, pattern, _, _), gate in zip(licenses.rules(), licenses.gates(), strict=True):
+        for text in texts:
+            if keyword in text and re.search(pattern, text):
+                assert gate[0] == keyword and re.search(gate[1], text)
+                met += 1
+    assert met > len(texts)
+
+
 LICENSE_TEXTS = (
     ("Permission is hereby granted, free of charge", "mit"),
     ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
