@@ -35,7 +35,7 @@ grams AS (SELECT row, i, w[i:i + 2] AS g FROM (SELECT row, w, unnest(range(1, le
 again AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS j FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS c FROM grams) WHERE c > 1) GROUP BY 1),
 each AS (SELECT row, source, {_LINE} AS h, len(regexp_extract_all(x, '{_SPACED}')) AS n FROM (SELECT row, source, unnest(lines) AS x FROM w)),
 hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
-common AS (SELECT e.source, h FROM (SELECT source, h, count(DISTINCT row) AS c FROM each GROUP BY 1, 2) e JOIN hosts USING (source) WHERE c > {quality.MAX_DOCS} AND c > {quality.MAX_SHARE} * docs),
+common AS (SELECT e.source, h FROM (SELECT source, h, count(DISTINCT row) AS c FROM each GROUP BY 1, 2) e JOIN hosts USING (source) WHERE c > {quality.MAX_DOCS} AND (c > {quality.MAX_SHARE} * docs OR c > {quality.ENOUGH_DOCS})),
 hit AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_common, count(*) AS n_lines FROM each JOIN common USING (source, h) GROUP BY 1),
 counts AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS symbols, len(lines) - len(list_distinct(lines)) AS dups, coalesce(n, 0) AS again, coalesce(n_common, 0) AS n_common, n_common IS NOT NULL AS has_common, coalesce(n_lines, 0) AS n_lines FROM w LEFT JOIN again USING (row) LEFT JOIN hit USING (row))
 SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dups AS BIGINT) AS n_dup_lines, again AS n_repeat_words, n_words < 50 OR 100 * again > 50 * n_words AS base_failed,
