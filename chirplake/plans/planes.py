@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, coherent, efficiency, kernels, prediction, ranks, skypix, tiles
+from ..operators import bootstrap, coherent, efficiency, isolation, kernels, prediction, ranks, skypix, tiles
 from .queries import _T, Query, read, rounded, triggers
 
 QUERIES: dict[str, Query] = {}
@@ -216,6 +216,45 @@ def sigmoid_fits(spark, d):
     return rounded(efficiency.sigmoids(t, ["event_type"], "hrss", F.col("rho") * F.col("hrss") > 1500), "middle", "width", "hrss10", "hrss50", "hrss90")
 
 
+# --- outliers by isolation trees
+
+
+def _uniform_sql(*parts: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5({" || '_' || ".join(parts)}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+
+
+def _forest_sql() -> list[str]:
+    """The trees of ``isolation`` from ``f`` (id, x, y), a level after another, and the sums of depths."""
+    top = isolation.height(isolation.SIZE)
+    place = ["'0'", "tree", "node"]
+    out = [
+        f"pool AS MATERIALIZED (SELECT * FROM f WHERE x IS NOT NULL AND y IS NOT NULL ORDER BY {_uniform_sql("'0'", 'id')}, CAST(id AS VARCHAR) LIMIT {isolation.POOL})",
+        f"s0 AS MATERIALIZED (SELECT tree, x, y, 1 AS node FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY {_uniform_sql("'0'", 'tree', 'id')}, CAST(id AS VARCHAR)) AS r FROM pool, range({isolation.TREES}) t(tree)) WHERE r <= {isolation.SIZE})",
+    ]
+    for i in range(top + 1):
+        chosen = f"CASE WHEN hx > lx AND hy > ly THEN CAST(floor({_uniform_sql(*place, "'feature'")} * 2) AS INTEGER) WHEN hx > lx THEN 0 WHEN hy > ly THEN 1 END"
+        out.append(f"n{i} AS MATERIALIZED (SELECT *, CASE WHEN node < {1 << top} THEN {chosen} END AS feature FROM (SELECT tree, node, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM s{i} GROUP BY 1, 2))")
+        out.append(f"c{i} AS MATERIALIZED (SELECT tree, node, n, feature, CASE WHEN feature = 0 THEN lx + (hx - lx) * ({_uniform_sql(*place, "'cut'")}) ELSE ly + (hy - ly) * ({_uniform_sql(*place, "'cut'")}) END AS cut FROM n{i})")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT tree, x, y, 2 * node + CASE WHEN CASE WHEN feature = 0 THEN x ELSE y END > cut THEN 1 ELSE 0 END AS node FROM s{i} JOIN c{i} USING (tree, node) WHERE feature IS NOT NULL)")
+    out.append("trees AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(top + 1)) + ")")
+    out.append(f"mean AS MATERIALIZED (SELECT m, CASE WHEN m < 2 THEN 0 ELSE 2 * (SELECT sum(1.0::DOUBLE / i) FROM range(1, {isolation.SIZE}) h(i) WHERE i < m) - 2.0::DOUBLE * (m - 1) / m END AS c FROM range({isolation.SIZE + 1}) r(m))")
+    out.append("p0 AS MATERIALIZED (SELECT id, x, y, tree, node, feature, cut, n FROM f, trees WHERE node = 1 AND x IS NOT NULL AND y IS NOT NULL)")
+    for i in range(top):
+        out.append(f"p{i + 1} AS MATERIALIZED (SELECT p.id, p.x, p.y, t.tree, t.node, t.feature, t.cut, t.n FROM p{i} p JOIN trees t ON t.tree = p.tree AND t.node = CASE WHEN p.feature IS NULL THEN p.node ELSE 2 * p.node + CASE WHEN CASE WHEN p.feature = 0 THEN p.x ELSE p.y END > p.cut THEN 1 ELSE 0 END END)")
+    out.append(f"depths AS MATERIALIZED (SELECT id, CAST(sum({isolation.UNIT} * CAST(floor(log2(node)) AS BIGINT) + CAST(round({isolation.UNIT} * c) AS BIGINT)) AS BIGINT) AS depth FROM p{top} JOIN mean ON m = n GROUP BY 1)")
+    return out
+
+
+_FEATURES = "f AS MATERIALIZED (SELECT id, CAST(rho AS DOUBLE) AS x, CAST(k AS DOUBLE) AS y FROM t)"
+_FLAGGED = "flagged AS MATERIALIZED (SELECT id, depth, coalesce(depth < (SELECT depth FROM depths ORDER BY depth LIMIT 1 OFFSET (SELECT CAST(ceil((count(*) - 1) * 0.15) AS BIGINT) FROM depths)) AND (x > (SELECT median(x) FROM f JOIN depths USING (id)) OR y > (SELECT median(y) FROM f JOIN depths USING (id))), false) AS outlier FROM f LEFT JOIN depths USING (id))"
+
+
+@query("SELECT id, depth, outlier, CASE WHEN l IS NULL OR r - id < id - l THEN coalesce(r, id) ELSE l END AS taken FROM (SELECT *, max(CASE WHEN NOT outlier THEN id END) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS l, min(CASE WHEN NOT outlier THEN id END) OVER (ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM flagged)", _T, _FEATURES, *_forest_sql(), _FLAGGED)
+def outliers_replaced(spark, d):
+    t = triggers(spark, d).select("id", F.col("rho").cast("double").alias("x"), F.col("k").cast("double").alias("y"))
+    return isolation.nearest_inliers(isolation.outliers(t, "id", ["x", "y"]), [], "id").select("id", "depth", "outlier", "taken")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
