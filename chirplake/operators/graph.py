@@ -44,15 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _place(value: Column, edges: list[float], step: int = 16) -> Column:
+    """How many of the edges, which ascend, are no larger than a value: first of each ``step``-th, then within that part."""
+    if not edges:
+        return F.lit(0)
+    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
+    part = F.size(F.filter(F.array(*[F.lit(p[0]) for p in parts]), lambda x: x <= value)) - 1
+    inside = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, p)) for p in parts]), part), lambda x: x <= value))
+    return F.when(part < 0, F.lit(0)).otherwise(part * step + inside)
+
+
 def running(df: DataFrame, by: str, order: list[Column | str], value: Column, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before each one, in an order that begins with the number ``by``.
 
     Rows are summed in BUCKETS ranges of ``by``, cut at its quantiles; the running sum goes over those, and then inside one.
     """
     edges = df.approxQuantile(by, [i / BUCKETS for i in range(1, BUCKETS)], 0.2 / BUCKETS)  # BUCKETS values: equal parts of the rows, however the values lie
-    places = F.array(*[F.lit(x) for x in sorted(set(edges))]) if edges else F.array().cast("array<double>")
     # the first edge above a value: nulls, which come first in the order, in a bucket of their own
-    dealt = df.withColumn("__b", F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.size(F.filter(places, lambda x: x <= F.col(by)))).cast("long")).withColumn("__v", value)
+    dealt = df.withColumn("__b", F.when(F.col(by).isNull(), F.lit(-1)).otherwise(_place(F.col(by), sorted(set(edges)))).cast("long")).withColumn("__v", value)
     per = dealt.groupBy("__b").agg(F.sum("__v").alias("__s"))
     before = per.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.coalesce(F.sum("__v").over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoints, spread
 from . import graph, intervals, jobs
 from .sky import uniform
 
@@ -66,7 +67,7 @@ def _arrivals(rate: float, seed: int):
 def _drawn(rows: DataFrame, trials: int, rate: float, seed: int) -> DataFrame:
     """The arrivals of each interval in each trial."""
     slots = rows.select("interval_id", "start", "end").withColumn("trial_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
-    return slots.mapInPandas(_arrivals(rate, seed), "interval_id long, start double, end double, trial_idx long, times array<double>")
+    return spread(slots, "interval_id", "trial_idx").mapInPandas(_arrivals(rate, seed), "interval_id long, start double, end double, trial_idx long, times array<double>")
 
 
 def in_intervals_poisson(injections: DataFrame, rate: float, rows: DataFrame, key: str, count: int, seed: int = 0, most_trials: int | None = None) -> DataFrame:
@@ -75,6 +76,7 @@ def in_intervals_poisson(injections: DataFrame, rate: float, rows: DataFrame, ke
     Each interval of each trial draws its own arrivals; they are numbered by running sums of their counts.
     Where the first trials have too few arrivals, more are drawn; with ``most_trials``, what finds no arrival in them is left out.
     """
+    checkpoints(rows.sparkSession)
     total = rows.agg(F.sum(F.col("end") - F.col("start")).alias("t")).first()["t"] or 0.0  # one row
     if total <= 0:
         raise ValueError("there is no live time")
@@ -82,7 +84,7 @@ def in_intervals_poisson(injections: DataFrame, rate: float, rows: DataFrame, ke
     trials = max(1, math.ceil((count + 8 * math.sqrt(count + 1) + 8) / per))
     while True:
         trials = min(trials, most_trials) if most_trials else trials
-        drawn = _drawn(rows, trials, rate, seed)
+        drawn = _drawn(rows, trials, rate, seed).checkpoint()  # read four times
         arrivals = drawn.agg(F.sum(F.size("times")).alias("n")).first()["n"] or 0  # one row
         if arrivals >= count or trials == most_trials:
             break
@@ -90,7 +92,8 @@ def in_intervals_poisson(injections: DataFrame, rate: float, rows: DataFrame, ke
     drawn = drawn.withColumn("_axis", F.col("trial_idx") + F.col("interval_id") / F.lit(1e15))
     first = graph.running(drawn, "_axis", ["trial_idx", "interval_id"], F.size("times"), "_first")
     each = first.select("trial_idx", "interval_id", "_first", F.posexplode("times").alias("_k", "gps_time")).select("trial_idx", "interval_id", "gps_time", (F.col("_first") + F.col("_k")).cast("long").alias("_i"))
-    return injections.join(each.where(F.col("_i") < count), injections[key] == each["_i"]).drop("_i")
+    # Spark takes the arrivals for as few as their intervals, and would send all of them through the driver as a broadcast
+    return injections.join(each.where(F.col("_i") < count).hint("merge"), injections[key] == each["_i"]).drop("_i")
 
 
 def in_range_poisson(spark: SparkSession, injections: DataFrame, rate: float, start: float, end: float, key: str, count: int, edge: float = 0.0, seed: int = 0, most_trials: int | None = None) -> DataFrame:

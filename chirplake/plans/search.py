@@ -10,7 +10,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geo
-from ..operators import clusters, dq, efficiency, injections, intervals, jobs, network, reports, selection, sky
+from ..operators import clusters, dq, efficiency, graph, injections, intervals, jobs, network, reports, selection, sky
 from ..sources import params, store
 from ..streaming import online
 from .queries import _GMST, _IV, _SKY, _T, LIVETIME, SECONDS, Query, _iv, progress, read, rounded, triggers
@@ -145,7 +145,7 @@ def poisson_schedule(spark, d):
     c = read(spark, d, "customer")
     iv = c.select(F.col("c_custkey").alias("interval_id"), (F.col("c_custkey") * 1000.0).alias("start"), (F.col("c_custkey") * 1000.0 + 500).alias("end"))
     t = triggers(spark, d).select("id")
-    numbered = t.withColumn("i", F.col("id") - t.agg(F.min("id")).first()[0])
+    numbered = graph.numbered(t, "id", ["id"], "i")  # ids may have gaps
     return rounded(injections.in_intervals_poisson(numbered, 0.01, iv, "i", t.count(), seed=1), "gps_time", digits=4)
 
 
