@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Draws of one row above this many are one in 10**10.
 MOST = 12
 KINDS = ("percentile", "bca", "studentised")
@@ -30,23 +32,32 @@ KINDS = ("percentile", "bca", "studentised")
 
 def draws(key: Column, replicate: Column, seed: int) -> Column:
     """How often a row counts in a replicate: the number of steps of the Poisson distribution below a uniform number from 52 bits of a hash."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), replicate.cast("string"), key.cast("string"))), 1, 13), 16, 10).cast("long")
-    uniform = bits / F.lit(float(1 << 52))
-    steps, below, chance = [], 0.0, math.exp(-1)
+    return _steps(_hashed(key, replicate, seed))
+
+
+def _hashed(key: Column, replicate: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("_", F.lit(str(seed)), replicate.cast("string"), key.cast("string")))
+
+
+def _steps(hexed: Column) -> Column:
+    out, below, chance = None, 0.0, math.exp(-1)
     for k in range(MOST):
         below += chance / math.factorial(k)
-        steps.append(below)
-    return F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= uniform))
+        # the first 13 hex digits order as their number does, so the hash is compared as it is, and never made a number
+        under = hexed < f"{math.ceil(below * (1 << 52)):013x}" if below < 1 else F.lit(True)
+        out = F.when(under, F.lit(k)) if out is None else out.when(under, F.lit(k))
+    return out.otherwise(F.lit(MOST))
 
 
 def replicates(rows: DataFrame, group: Sequence[str], key: str, value: str, count: int, seed: int = 0) -> DataFrame:
     """(group columns, replicate, n, mean, deviation) of ``count`` replicates: how many draws, their mean, and its standard error."""
     good = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*group, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
-    each = good.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_w", draws(F.col("_key"), F.col("replicate"), seed)).where("_w > 0")
-    sums = each.groupBy(*group, "replicate").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_v")).alias("_1"), F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("_2"))
+    # each row is hashed ``count`` times, so rows are dealt out first; no filter of the draws, for which Spark would draw twice
+    each = spread(good, "_key").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_h", _hashed(F.col("_key"), F.col("replicate"), seed)).withColumn("_w", _steps(F.col("_h")))
+    sums = each.groupBy(*group, "replicate").agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_v")).alias("_1"), F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("_2")).where("n > 0")
     mean = F.col("_1") / F.col("n")
-    spread = F.greatest(F.lit(0.0), F.col("_2") / F.col("n") - mean * mean)
-    return sums.select(*group, "replicate", "n", mean.alias("mean"), F.sqrt(spread / F.col("n")).alias("deviation"))
+    around = F.greatest(F.lit(0.0), F.col("_2") / F.col("n") - mean * mean)
+    return sums.select(*group, "replicate", "n", mean.alias("mean"), F.sqrt(around / F.col("n")).alias("deviation"))
 
 
 def _quantile(values: np.ndarray, q: float) -> float:

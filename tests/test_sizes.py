@@ -24,3 +24,8 @@ def test_scheduled_events_may_have_gaps_in_their_ids(spark, frame, tmp_path):
     spark.sql("SELECT 1000 * id AS event_id, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, '{\"k\": 1}' AS props FROM range(40)").write.parquet(f"{tmp_path}/events.parquet")
     spark.range(5).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert sorted(r["id"] for r in search.QUERIES["poisson_schedule"](spark, str(tmp_path)).collect()) == [1000 * i for i in range(40)]
+
+
+def test_rows_of_one_file_are_drawn_in_many_tasks(frame):
+    rows = frame([("a", i, 1.0 * i) for i in range(20)], "g string, id long, v double").coalesce(1)
+    assert "REPARTITION_BY_NUM" in plan(bootstrap.replicates(rows, ["g"], "id", "v", 5))
