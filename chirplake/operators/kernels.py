@@ -95,9 +95,11 @@ def cluster_pixels(pixels: DataFrame, group: list[str], kf: int = 3, kt: int = 2
 
 
 def cluster_statistics(pixels: DataFrame, group: list[str]) -> DataFrame:
-    """Likelihood-weighted centre, size and energy of each cluster; native partial sums."""
+    """Likelihood-weighted centre, size and energy of each cluster; native partial sums.  A cluster of likelihood 0 has no centre (NaN)."""
     w = F.col("likelihood")
-    return pixels.groupBy(*group, "cluster_id").agg(F.count("*").alias("size"), F.sum(w).alias("likelihood"), (F.sum(w * F.col("time")) / F.sum(w)).alias("time"), (F.sum(w * F.col("freq")) / F.sum(w)).alias("freq"))
+    # without weight there is no centre: NaN, as a quotient of doubles has it
+    centre = lambda c: F.coalesce(F.try_divide(F.sum(w * F.col(c)), F.sum(w)), F.when(F.sum(w) == 0, F.lit(float("nan"))))
+    return pixels.groupBy(*group, "cluster_id").agg(F.count("*").alias("size"), F.sum(w).alias("likelihood"), centre("time").alias("time"), centre("freq").alias("freq"))
 
 
 def whiten(x: np.ndarray, block: int = 64) -> np.ndarray:

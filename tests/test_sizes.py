@@ -29,3 +29,10 @@ def test_scheduled_events_may_have_gaps_in_their_ids(spark, frame, tmp_path):
 def test_rows_of_one_file_are_drawn_in_many_tasks(frame):
     rows = frame([("a", i, 1.0 * i) for i in range(20)], "g string, id long, v double").coalesce(1)
     assert "REPARTITION_BY_NUM" in plan(bootstrap.replicates(rows, ["g"], "id", "v", 5))
+
+
+def test_a_cluster_without_likelihood_has_no_centre(frame):
+    rows = frame([(1, 0, 5, 5, 0.0), (1, 0, 6, 5, 0.0), (1, 1, 50, 60, 2.0)], "job_id int, cluster_id long, freq int, time int, likelihood double")
+    got = {r["cluster_id"]: r for r in kernels.cluster_statistics(rows, ["job_id"]).collect()}
+    assert got[0]["size"] == 2 and got[0]["likelihood"] == 0 and got[0]["time"] != got[0]["time"]
+    assert (got[1]["time"], got[1]["freq"]) == (60.0, 50.0)
