@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import with_cells
@@ -46,6 +49,102 @@ def overlapping(triggers: DataFrame, sims: DataFrame, buffer: float = 0.0, cell:
     return t.join(s, on).drop("_lo", "_hi", "_cell", "_cell2")
 
 
+#: Comparisons of a step of ``_loudest``, which bound its memory.
+STEP = 1 << 21
+#: Cells of a group of ``matched``.
+BLOCK = 32
+
+
+def _loudest(loud: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """For each window the place of its overlapping trigger of least ``loud``, then nearest, then first; -1 where there is none.
+
+    Triggers come sorted by ``loud``, so a window looks at them from the loudest on
+    and is done at the first that it meets; all as loud as that one are then compared.
+    """
+    best = np.full(len(start), -1, np.int64)
+    # windows that nothing overlaps would look at all triggers
+    some = np.searchsorted(np.sort(lo), end, "left") - np.searchsorted(np.sort(hi), start, "right") > 0
+    todo, first = np.flatnonzero(some), 0
+    while len(todo) and first < len(lo):
+        last = min(len(lo), first + max(1, min(max(64, first), STEP // len(todo))))
+        met = (lo[None, first:last] < end[todo, None]) & (hi[None, first:last] > start[todo, None])
+        found = met.any(axis=1)
+        best[todo[found]] = first + met[found].argmax(axis=1)
+        todo, first = todo[~found], last
+    met = np.flatnonzero(best >= 0)
+    left, right = (np.searchsorted(loud, loud[best[met]], side) for side in ("left", "right"))
+    met, left, right = (x[right - left > 1] for x in (met, left, right))
+    order = np.argsort(left, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if len(order) else []:
+        a, b = left[some[0]], right[some[0]]
+        for part in np.array_split(some, max(1, -(-len(some) * int(b - a) // STEP))):
+            w = met[part]
+            near = np.abs(at[None, a:b] - middle[w, None])
+            near = np.where(np.isnan(near), -1.0, near)  # as a null distance is ordered
+            near[~((lo[None, a:b] < end[w, None]) & (hi[None, a:b] > start[w, None]))] = np.inf
+            best[w] = a + near.argmin(axis=1)
+    return best
+
+
+def _candidates(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    """The best trigger of each cell for each of its windows; windows alike look once."""
+    code, seen = pd.factorize(t["_loud"], sort=True)
+    t = t.assign(_code=np.where(code < 0, len(seen), code)).sort_values(["_cell", "_code", "_id"], kind="stable")
+    s = s.sort_values(["_cell", "_start", "_end", "_at"], kind="stable")
+    windows = s[["_cell", "_start", "_end", "_at"]].to_numpy(float)
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (windows[1:] != windows[:-1]).any(axis=1)
+    which, (cells, *alike) = np.cumsum(fresh) - 1, windows[fresh].T
+    of_cell, columns = t["_cell"].to_numpy(float), [t[c].to_numpy(float) for c in ("_code", "_lo", "_hi", "_gps")]
+    best = np.full(len(cells), -1, np.int64)
+    for first, last in zip(*(np.searchsorted(cells, np.unique(cells), side) for side in ("left", "right")), strict=True):
+        left, right = (np.searchsorted(of_cell, cells[first], side) for side in ("left", "right"))
+        got = _loudest(*[c[left:right] for c in columns], *[c[first:last] for c in alike])
+        best[first:last] = np.where(got < 0, -1, got + left)
+    best = best[which]
+    some = best >= 0
+    won = t.iloc[best[some]]
+    return pd.DataFrame({"_sim": s["_sim"].to_numpy()[some], "_id": won["_id"].to_numpy(), "_loud": won["_loud"].to_numpy(float), "_dist": np.abs(won["_gps"].to_numpy(float) - s["_at"].to_numpy(float)[some])})
+
+
+def matched(triggers: DataFrame, sims: DataFrame, buffer: float, cell: float) -> DataFrame:
+    """``resolve`` of the ``overlapping`` pairs, without the pairs, whose number is the square of how close rows lie.
+
+    Both sides meet in blocks of cells of time, in narrow rows, and a cell gives one trigger
+    for each simulation.  Triggers alike but for the id count by their first one.
+    """
+    keys = [k for k in ("trial_idx", "job_id") if k in triggers.columns and k in sims.columns]
+    k = [f"_k{i}" for i in range(len(keys))]
+    named = lambda prefix="": [F.col(prefix + c).alias(n) for c, n in zip(keys, k, strict=True)]
+    lo, hi = trigger_window(triggers)
+    loud = F.coalesce(-F.col("rho").cast("double"), F.lit(float("inf")))
+    t = triggers.select(*named(), (lo - buffer).cast("double").alias("_lo"), (hi + buffer).cast("double").alias("_hi"), F.col("gps_time").cast("double").alias("_gps"), loud.alias("_loud"), F.col("id").alias("_id")).dropna(subset=[*k, "_lo", "_hi", "_id"])
+    t = t.groupBy(*k, "_lo", "_hi", "_gps", "_loud").agg(F.min("_id").alias("_id"))
+    s = sims.select(*named(), F.col("real_start").cast("double").alias("_start"), F.col("real_end").cast("double").alias("_end"), F.col("gps_time").cast("double").alias("_at"), F.col("sim_idx").alias("_sim")).dropna(subset=[*k, "_start", "_end"])
+    t, s = with_cells(t, F.col("_lo"), F.col("_hi"), cell), with_cells(s, F.col("_start"), F.col("_end"), cell)
+    # a group is a block of cells: one for each cell would cost more than its rows
+    t, s = (x.withColumn("_block", F.floor(F.col("_cell") / BLOCK)) for x in (t, s))
+    kinds = dict(t.dtypes) | dict(s.dtypes)
+    by = [*k, "_block"]
+    found = t.groupBy(*by).cogroup(s.groupBy(*by)).applyInPandas(lambda g, a, b: _keyed(g[:-1], k, _candidates(a, b)), ", ".join([f"{n} {kinds[n]}" for n in (*k, "_sim", "_id")] + ["_loud double", "_dist double"]))
+    one = found.groupBy("_sim").agg(F.min_by(F.struct(*k, "_sim", "_id", "_dist"), F.struct("_loud", "_dist", "_id")).alias("r")).select("r.*")
+    kept = one.groupBy("_id").agg(F.min_by(F.struct(*k, "_sim", "_id"), F.struct("_dist", "_sim")).alias("r")).select("r.*")
+    left = triggers.dropDuplicates(["id", *keys])
+    right = sims.select(*[F.col(c).alias(f"sim_{c}") for c in sims.columns]).dropDuplicates(["sim_sim_idx", *[f"sim_{c}" for c in keys]])
+    # Spark can't know that these are as many rows as there are matches
+    both = left.join(kept.hint("merge"), (left["id"] == kept["_id"]) & _all(left[c] == kept[n] for c, n in zip(keys, k, strict=True)))
+    out = both.hint("merge").join(right, both["_sim"].eqNullSafe(right["sim_sim_idx"]) & _all(right[f"sim_{c}"] == both[n] for c, n in zip(keys, k, strict=True)))
+    return out.select(*left.columns, *right.columns)
+
+
+def _keyed(values: tuple, names: Sequence[str], rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(**dict(zip(names, values, strict=True)))[[*names, "_sim", "_id", "_loud", "_dist"]]
+
+
+def _all(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def resolve(pairs: DataFrame) -> DataFrame:
     """One to one, in two passes: each simulation keeps its loudest (then nearest, then first) trigger, each trigger then its nearest simulation.
 
@@ -63,7 +162,7 @@ def match(triggers: DataFrame, sims: DataFrame, how: str = "inner", buffer: floa
     """Matched pairs, and with left, right or outer also the rows of that side without one."""
     if how not in ("inner", "left", "right", "outer"):
         raise ValueError(f"unknown kind of join: {how}")
-    found = resolve(overlapping(triggers, sims, buffer, cell))
+    found = matched(triggers, sims, buffer, cell) if cell else resolve(overlapping(triggers, sims, buffer))
     out = found
     if how in ("left", "outer"):
         out = out.unionByName(triggers.join(found.select("id").distinct(), "id", "left_anti"), allowMissingColumns=True)
@@ -76,12 +175,20 @@ def match(triggers: DataFrame, sims: DataFrame, how: str = "inner", buffer: floa
 def nearest(points: DataFrame, events: DataFrame, window: float, at: str, event_at: str, event_id: str, key: str) -> DataFrame:
     """For each point the event nearest in time within the window; of equally near ones the smallest id.
 
-    Both sides meet in cells as long as the window; a point looks into its own and the two beside it.
+    Both sides meet in cells as long as the window, an event also in the two beside
+    its own; there a point takes the last event before it and the first behind it,
+    so there are no pairs, however close rows lie.
     """
-    p = points.withColumn("_cell", F.explode(F.array(*[F.floor(F.col(at) / window).cast("long") + d for d in (-1, 0, 1)])))
-    e = events.select(F.col(event_at).alias("_at"), F.col(event_id).alias("_id"), F.floor(F.col(event_at) / window).cast("long").alias("_cell"))
-    near = p.join(e, "_cell").where(F.abs(F.col("_at") - F.col(at)) <= window)
-    best = near.groupBy(key).agg(F.min(F.struct(F.abs(F.col("_at") - F.col(at)).alias("dt"), F.col("_id").alias("id"))).alias("m"))
+    cell = lambda c: F.floor(F.col(c) / window).cast("long")
+    e = events.where(F.col(event_at).isNotNull() & F.col(event_id).isNotNull()).groupBy(F.col(event_at).cast("double").alias("_at")).agg(F.min(event_id).alias("_id"))
+    e = e.withColumn("_cell", F.explode(F.array(*[cell("_at") + d for d in (-1, 0, 1)])))
+    p = points.where(F.col(at).isNotNull()).select(F.col(at).cast("double").alias("_at"), F.col(key).alias("_key")).withColumn("_cell", cell("_at")).withColumn("_point", F.lit(True))
+    own = F.when(F.col("_point").isNull(), F.struct("_at", "_id"))
+    before, after = (Window.partitionBy("_cell").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col("_at").asc(), F.col("_at").desc()))
+    seen = e.unionByName(p, allowMissingColumns=True).withColumn("_before", F.max(own).over(before)).withColumn("_after", F.min(own).over(after)).where("_point")
+    found = lambda c: F.struct(F.abs(F.col(f"{c}._at") - F.col("_at")).alias("dt"), F.col(f"{c}._id").alias("id"))
+    near = F.array_min(F.array(*[F.when(F.abs(F.col(f"{c}._at") - F.col("_at")) <= window, found(c)) for c in ("_before", "_after")]))
+    best = seen.select(F.col("_key").alias(key), near.alias("m")).where("m IS NOT NULL").groupBy(key).agg(F.min("m").alias("m"))
     return points.join(best, key).select(*points.columns, F.col("m.id").alias("nearest_id"), F.col("m.dt").alias("dt"))
 
 

@@ -36,3 +36,32 @@ def test_a_cluster_without_likelihood_has_no_centre(frame):
     got = {r["cluster_id"]: r for r in kernels.cluster_statistics(rows, ["job_id"]).collect()}
     assert got[0]["size"] == 2 and got[0]["likelihood"] == 0 and got[0]["time"] != got[0]["time"]
     assert (got[1]["time"], got[1]["freq"]) == (60.0, 50.0)
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_matches_without_pairs(frame, monkeypatch, keyed):
+    rng = random.Random(7)
+    louds = [None, 1.0, 2.0, 3.0, 3.5, -1.0]
+    at = lambda: rng.randrange(4000) / 4
+    t = frame([(i, i % 2, g := at(), rng.choice(louds), g - rng.randrange(5), g + rng.randrange(40)) for i in range(400)], "id long, trial_idx int, gps_time double, rho double, event_start_a double, event_stop_a double")
+    s = frame([(i, i % 2, g := at(), g - rng.randrange(30), g + rng.randrange(30)) for i in range(150)], "sim_idx long, trial_idx int, gps_time double, real_start double, real_end double")
+    if not keyed:
+        t, s = t.drop("trial_idx"), s.drop("trial_idx")
+    want = sorted(map(str, matching.resolve(matching.overlapping(t, s, 0.5, 20.0)).collect()))
+    monkeypatch.setattr(matching, "overlapping", None)
+    monkeypatch.setattr(matching, "STEP", 500)
+    assert sorted(map(str, matching.match(t, s, "inner", 0.5, 20.0).collect())) == want and want
+
+
+def test_nearest_without_pairs(frame):
+    rng = random.Random(3)
+    points = [(i, rng.randrange(800) / 2) for i in range(100)] + [(100, None), (101, 5000.0)]
+    events = [(i, rng.randrange(200) * 2.0) for i in range(150)] + [(200, None)]
+    out = matching.nearest(frame(points, "id long, t double"), frame(events, "e long, t double"), 3.0, "t", "t", "e", "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the points again
+    want = {}
+    for i, t in points:
+        near = [(abs(u - t), e) for e, u in events if t is not None and u is not None and abs(u - t) <= 3.0]
+        if near:
+            want[i] = min(near)
+    assert {r["id"]: (r["dt"], r["nearest_id"]) for r in out.collect()} == want
