@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoints
 
 BINS = 1024
+#: Ranks that are broadcast.
+FEW = 10_000
 
 
 def largest(rows: DataFrame, group: Sequence[str], value: str, ranks: DataFrame) -> DataFrame:
@@ -40,6 +42,8 @@ def largest(rows: DataFrame, group: Sequence[str], value: str, ranks: DataFrame)
     state = state.where("lo < hi")
     while not state.isEmpty():
         ask = state.select(*[F.col(k).alias(f"_{k}") for k in keys], "k", "left", "lo", "hi")
+        # few ranks are sent to the rows, so that no group's rows meet in a task; of many ranks the groups are small, and meet theirs by a shuffle
+        ask = F.broadcast(ask) if state.count() <= FEW else ask
         met = data.join(ask, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).where("v BETWEEN lo AND hi")
         # of bounds very far apart the difference may overflow, so both are halved
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)

@@ -65,3 +65,12 @@ def test_nearest_without_pairs(frame):
         if near:
             want[i] = min(near)
     assert {r["id"]: (r["dt"], r["nearest_id"]) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_ranks_with_and_without_a_broadcast(frame, monkeypatch, few):
+    assert ranks.FEW == 10_000
+    monkeypatch.setattr(ranks, "FEW", few)
+    rows = frame([(g, float(v * 7 % 100)) for g in "ab" for v in range(100)], "g string, v double")
+    got = ranks.largest(rows, ["g"], "v", frame([("a", 1), ("a", 30), ("b", 100)], "g string, k long"))
+    assert sorted((r["g"], r["k"], r["found"]) for r in got.collect()) == [("a", 1, 99.0), ("a", 30, 70.0), ("b", 100, 0.0)]
