@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoints
+from ..session import checkpoints, spread
 from . import ranks
 
 TREES, SIZE = 100, 256
@@ -127,7 +127,7 @@ def outliers(df: DataFrame, key: str, columns: Sequence[str], share: float = 0.1
     """The rows with ``depth``, ``score`` and ``outlier``: of the ``share`` that is set apart first, those with a feature above its median."""
     forest = grown(samples(df, key, columns, trees, size, seed), len(columns), size, seed)
     checkpoints(df.sparkSession)
-    scored = depths(df, forest, columns, trees, size).withColumn("_apart", -F.col("depth")).checkpoint()
+    scored = depths(spread(df, key), forest, columns, trees, size).withColumn("_apart", -F.col("depth")).checkpoint()
     whole = scored.where("depth IS NOT NULL")
     n = whole.count()
     if not n:
@@ -153,11 +153,12 @@ def nearest_inliers(df: DataFrame, series: Sequence[str], place: str, outlier: s
     rows = df.withColumn("_cell", F.floor(F.col(place) / CELL)).withColumn("_in", F.when(~F.col(outlier), F.col(place)))
     by = [*series, "_cell"]
     cells = rows.groupBy(*by).agg(F.min("_in").alias("_first"), F.max("_in").alias("_last"))
-    over = Window.partitionBy(*series).orderBy("_cell")
-    ends = cells.select(*by, F.max("_last").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    first, last = (Window.partitionBy(*series).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_cell").asc(), F.col("_cell").desc()))
+    ends = cells.select(*by, F.max("_last").over(first).alias("_before"), F.min("_first").over(last).alias("_after"))
     beside = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_before", "_after")
-    inside = Window.partitionBy(*by).orderBy(place)
-    near = rows.withColumns({"_l": F.max("_in").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_r": F.min("_in").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    # from both ends: a frame up to the last row would be summed anew for each row
+    up, down = (Window.partitionBy(*by).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col(place).asc(), F.col(place).desc()))
+    near = rows.withColumns({"_l": F.max("_in").over(up), "_r": F.min("_in").over(down)})
     met = near.join(beside, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)], "left")
     left, right, at = F.coalesce("_l", "_before"), F.coalesce("_r", "_after"), F.col(place)
     taken = F.when(left.isNull() | (right - at < at - left), right).otherwise(left)

@@ -74,3 +74,10 @@ def test_ranks_with_and_without_a_broadcast(frame, monkeypatch, few):
     rows = frame([(g, float(v * 7 % 100)) for g in "ab" for v in range(100)], "g string, v double")
     got = ranks.largest(rows, ["g"], "v", frame([("a", 1), ("a", 30), ("b", 100)], "g string, k long"))
     assert sorted((r["g"], r["k"], r["found"]) for r in got.collect()) == [("a", 1, 99.0), ("a", 30, 70.0), ("b", 100, 0.0)]
+
+
+def test_inliers_are_looked_up_from_both_ends(frame):
+    out = isolation.nearest_inliers(frame([(i, i % 5 != 2) for i in range(9000)], "id long, outlier boolean"), [], "id")
+    assert "unboundedfollowing" not in plan(out).lower()
+    got = {r["id"]: r["taken"] for r in out.where(F.col("id").isin(0, 2, 4, 5, 8999)).collect()}
+    assert got == {0: 2, 2: 2, 4: 2, 5: 7, 8999: 8997}
