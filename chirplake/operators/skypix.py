@@ -21,11 +21,13 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import checkpoints
+from ..session import checkpoints, spread
 
 HALF_PI = math.pi / 2
 #: Highest order: two bits each in a long beside the face.
@@ -163,32 +165,131 @@ def cover(cones: DataFrame, order: int, theta: str = "theta", phi: str = "phi",
     return reduce(DataFrame.unionByName, out)
 
 
-def order_for(radius: float) -> int:
-    """The finest order whose pixels are no smaller than a cone of this radius, so that it touches few of them."""
-    return max(0, min(MAX_ORDER, math.floor(math.log2(math.sqrt(math.pi / 3) / max(radius, 1e-8)))))
+def _band(theta: Column, size: float) -> Column:
+    return F.greatest(F.lit(0).cast("long"), F.least(F.lit(math.floor(math.pi / size)).cast("long"), _long(F.floor(theta / size))))
+
+
+def _slots(band: Column, size: float) -> Column:
+    """Parts of a band of latitude that are about as long as it is high."""
+    low, high = band * size, (band + 1) * size
+    widest = F.when((low <= HALF_PI) & (high >= HALF_PI), F.lit(1.0)).otherwise(F.greatest(F.sin(low), F.sin(high)))
+    return F.greatest(F.lit(1).cast("long"), _long(F.floor(widest * (2 * math.pi / size))))
+
+
+def _turn(phi: Column) -> Column:
+    return F.pmod(phi, F.lit(2 * math.pi)) / (2 * math.pi)
+
+
+def _touching(cones: DataFrame, size: float, theta: str, phi: str, radius: str) -> DataFrame:
+    """A row for each cell (_band, _slot) that a cone may touch: bands of latitude, cut into parts of longitude."""
+    reached = F.col(radius) * (1 + 1e-9) + 1e-12
+    rows = spread(cones.where(F.col(theta).isNotNull() & F.col(phi).isNotNull())).withColumn("_band", F.explode(F.sequence(_band(F.col(theta) - reached, size), _band(F.col(theta) + reached, size))))
+    polar = (F.col(theta) - reached <= 0) | (F.col(theta) + reached >= math.pi)
+    half = F.asin(F.least(F.lit(1.0), F.sin(reached) / F.sin(theta))) * ((1 + 1e-9) / (2 * math.pi)) + 1e-12
+    rows = rows.withColumns({"_n": _slots(F.col("_band"), size), "_turn": _turn(F.col(phi)), "_half": F.when(polar, F.lit(1.0)).otherwise(half)})
+    low, high = (_long(F.floor((F.col("_turn") + k * F.col("_half")) * F.col("_n"))) for k in (-1, 1))
+    every = high - low + 1 >= F.col("_n")
+    slots = F.sequence(F.when(every, F.lit(0).cast("long")).otherwise(low), F.when(every, F.col("_n") - 1).otherwise(high))
+    return rows.withColumn("_slot", F.explode(slots)).withColumn("_slot", F.pmod("_slot", "_n")).drop("_n", "_turn", "_half")
+
+
+def _celled(points: DataFrame, size: float, theta: str, phi: str) -> DataFrame:
+    rows = points.where(F.col(theta).isNotNull() & F.col(phi).isNotNull()).withColumn("_band", _band(F.col(theta), size))
+    n = _slots(F.col("_band"), size)
+    return rows.withColumn("_slot", F.least(_long(F.floor(_turn(F.col(phi)) * n)), n - 1))
+
+
+def _met(cones: DataFrame, points: DataFrame, largest: float, theta: str, phi: str, radius: str, keys: Sequence[str] = ()) -> DataFrame:
+    size = min(max(largest, 1e-8), math.pi)
+    touched = _touching(cones.where(F.col(radius) <= largest), size, theta, phi, radius)
+    beside = _celled(points.select(*[F.col(c).alias(f"point_{c}") for c in points.columns]), size, f"point_{theta}", f"point_{phi}")
+    on = [touched[c] == beside[c] for c in ("_band", "_slot")] + [F.col(k) == F.col(f"point_{k}") for k in keys] + [F.abs(F.col(theta) - F.col(f"point_{theta}")) <= F.col(radius) + 1e-9]
+    # a file of cones may be small and their cells many: no broadcast, with which the pairs would be found in as many tasks as the points have files
+    return touched.join(beside.hint("merge"), reduce(lambda a, b: a & b, on)).drop("_band", "_slot")
 
 
 def within(cones: DataFrame, points: DataFrame, largest: float, theta: str = "theta", phi: str = "phi", radius: str = "radius", keys: Sequence[str] = ()) -> DataFrame:
     """All pairs of a cone and a point in it: the columns of both (a point's as point_*), and their distance.
 
-    ``largest`` is the largest radius; pixels of about that size are the join's
+    ``largest`` is the largest radius; cells of about that size are the join's
     key, beside ``keys``, which both tables have.  A cone has a row for each
-    pixel it touches, a point one; a hot pixel's rows are split by AQE's skew join.
+    cell it touches, a point one; a hot cell's rows are split by AQE's skew join.
     """
-    order = order_for(largest)
-    touched = cover(cones.where(F.col(radius) <= largest), order, theta, phi, radius)
-    touched = touched.withColumn("_pixel", F.explode(F.sequence("low", F.col("high") - 1))).drop("low", "high", "inside")
-    beside = points.select(*[F.col(c).alias(f"point_{c}") for c in points.columns]).withColumn("_pixel", pixel(F.col(f"point_{theta}"), F.col(f"point_{phi}"), order))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"point_{k}") for k in keys], touched["_pixel"] == beside["_pixel"])
-    met = touched.join(beside, on).drop("_pixel")
+    met = _met(cones, points, largest, theta, phi, radius, keys)
     return met.withColumn("distance", distance(F.col(theta), F.col(phi), F.col(f"point_{theta}"), F.col(f"point_{phi}"))).where(F.col("distance") <= F.col(radius))
 
 
+#: Groups of cells of ``totals``, and comparisons of a step of it.
+GROUPS, STEP = 256, 1 << 20
+
+
+def _apart(theta1: np.ndarray, phi1: np.ndarray, theta2: np.ndarray, phi2: np.ndarray) -> np.ndarray:
+    half = np.sin((theta1 - theta2) / 2) ** 2 + np.sin(theta1) * np.sin(theta2) * np.sin((phi1 - phi2) / 2) ** 2
+    return 2 * np.arcsin(np.sqrt(np.minimum(1.0, half)))
+
+
+def _vectors(theta: np.ndarray, phi: np.ndarray) -> np.ndarray:
+    return np.stack([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)], axis=1)
+
+
+def _summed(cones: tuple[np.ndarray, ...], points: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of each cone (theta, phi, radius) the count, the nearest distance (infinite if there is none) and the sum of values of the points (theta, phi, value) in it.
+
+    Products of unit vectors decide; those too near the edge, and the nearest, by the distance itself.
+    """
+    (theta, phi, radius), (t, p, value) = cones, points
+    n, nearest, total = np.zeros(len(theta), np.int64), np.full(len(theta), np.inf), np.zeros(len(theta), np.int64)
+    ours, theirs, least = _vectors(theta, phi), _vectors(t, p).T.copy(), np.cos(np.minimum(radius, math.pi))
+    # 21 bits a column, so that sums of doubles are exact
+    parts = np.stack([np.ones(len(t)), value & 0x1FFFFF, (value >> 21) & 0x1FFFFF, value >> 42], axis=1).astype(float)
+    wide = min(len(t), 1 << 14)
+    for a in range(0, len(t), max(wide, 1)):
+        there = slice(a, a + wide)
+        for b in range(0, len(theta), max(1, STEP // wide)):
+            here = slice(b, b + max(1, STEP // wide))
+            near = ours[here] @ theirs[:, there]
+            inside = near >= least[here, None]
+            i, j = np.nonzero(np.abs(near - least[here, None]) < 1e-12)
+            inside[i, j] = _apart(theta[here][i], phi[here][i], t[there][j], p[there][j]) <= radius[here][i]
+            sums = (inside.astype(float) @ parts[there]).astype(np.int64)
+            n[here] += sums[:, 0]
+            total[here] += sums[:, 1] + (sums[:, 2] << 21) + (sums[:, 3] << 42)
+            i, j = np.nonzero(inside & (near >= near.max(axis=1, keepdims=True) - 1e-14))
+            np.minimum.at(nearest, b + i, _apart(theta[here][i], phi[here][i], t[there][j], p[there][j]))
+    return n, nearest, total
+
+
+def totals(cones: DataFrame, points: DataFrame, largest: float, key: str, value: str, theta: str = "theta", phi: str = "phi", radius: str = "radius") -> DataFrame:
+    """Per cone that holds a point: its key, ``n`` points, the distance of the ``nearest``, the ``total`` of a whole number of theirs (null as 0).
+
+    The pairs of ``within`` are never rows: cones and points meet in the same cells,
+    and a cell gives one row for each of its cones.  Cones are told apart by their key.
+    """
+    size = min(max(largest, 1e-8), math.pi)
+    group = F.pmod(F.xxhash64("_band", "_slot"), F.lit(GROUPS)).alias("_group")
+    rows = _touching(cones.where(F.col(radius) <= largest).select(F.col(key).alias("_key"), theta, phi, radius), size, theta, phi, radius).select("_key", F.col(theta).alias("_t"), F.col(phi).alias("_p"), F.col(radius).alias("_r"), "_band", "_slot", group)
+    beside = _celled(points.select(theta, phi, F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long")).alias("_v")), size, theta, phi).select(F.col(theta).alias("_t"), F.col(phi).alias("_p"), "_v", "_band", "_slot", group)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        there = b.groupby(["_band", "_slot"]).indices
+        found = []
+        for cell, here in a.groupby(["_band", "_slot"]).indices.items():
+            if cell in there:
+                x, y = a.iloc[here], b.iloc[there[cell]]
+                n, nearest, total = _summed(tuple(x[c].to_numpy(float) for c in ("_t", "_p", "_r")), (y["_t"].to_numpy(float), y["_p"].to_numpy(float), y["_v"].to_numpy(np.int64)))
+                found.append(pd.DataFrame({"_key": x["_key"].to_numpy(), "n": n, "nearest": nearest, "total": total})[n > 0])
+        return pd.concat(found) if found else pd.DataFrame({"_key": a["_key"][:0], "n": [], "nearest": [], "total": []})
+
+    met = rows.groupBy("_group").cogroup(beside.groupBy("_group")).applyInPandas(run, f"_key {dict(cones.dtypes)[key]}, n long, nearest double, total long")
+    return met.groupBy(F.col("_key").alias(key)).agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"), F.sum("total").alias("total"))
+
+
 def close_directions(points: DataFrame, radius: float, key: str, theta: str = "theta", phi: str = "phi") -> DataFrame:
     """Pairs of points at most ``radius`` apart, each once: id_a < id_b and their distance."""
     cones = points.select(F.col(key).alias("id_a"), theta, phi, F.lit(float(radius)).alias("radius"))
-    met = within(cones, points.select(key, theta, phi), radius, theta, phi)
-    return met.where(F.col("id_a") < F.col(f"point_{key}")).select("id_a", F.col(f"point_{key}").alias("id_b"), "distance")
+    met = _met(cones, points.select(key, theta, phi), radius, theta, phi, "radius").where(F.col("id_a") < F.col(f"point_{key}"))
+    met = met.withColumn("distance", distance(F.col(theta), F.col(phi), F.col(f"point_{theta}"), F.col(f"point_{phi}"))).where(F.col("distance") <= radius)
+    return met.select("id_a", F.col(f"point_{key}").alias("id_b"), "distance")
 
 
 def circles(cones: DataFrame, order: int, theta: str = "theta", phi: str = "phi", radius: str = "radius") -> DataFrame:
