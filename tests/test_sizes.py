@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from chirplake.functions import geo
 from chirplake.operators import bootstrap, injections, isolation, kernels, matching, ranks
 from chirplake.plans import search
 
@@ -67,6 +68,31 @@ def test_nearest_without_pairs(frame):
     assert {r["id"]: (r["dt"], r["nearest_id"]) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize(("crowd", "group"), [(100_000, 256), (20, 3)])
+@pytest.mark.parametrize(("window", "degrees"), [(9.0, 20.0), (0.3, 1.0), (40.0, 200.0), (9.0, 0.0)])
+def test_close_pairs_of_odd_directions(frame, monkeypatch, crowd, group, window, degrees):
+    rng = random.Random(5)
+    odd = [0.0, 20.0, 180.0, -30.0, 400.0, 1e9, float("nan"), float("inf"), None]
+    angle = lambda top: rng.choice(odd) if rng.random() < 0.2 else float(rng.randrange(0, top, 5))
+    time = lambda: rng.choice([None, float("nan"), float("inf"), -float("inf"), 1e300]) if rng.random() < 0.03 else rng.randrange(-150, 150) / 3
+    df = frame([(None if rng.random() < 0.03 else rng.randrange(250), time(), angle(180), angle(360)) for i in range(300)], "id long, gps double, theta double, phi double")
+    a, b = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for side in "ab")
+    later = (F.col("gps_b") > F.col("gps_a")) | ((F.col("gps_b") == F.col("gps_a")) & (F.col("id_b") > F.col("id_a")))
+    close = geo.separation(*[F.col(c) for c in ("theta_a", "phi_a", "theta_b", "phi_b")]) < degrees
+    want = a.crossJoin(b).where(later & (F.col("gps_b") - F.col("gps_a") < window) & close).select("id_a", "id_b", F.col("gps_b") - F.col("gps_a"))
+    monkeypatch.setattr(matching, "CROWD", crowd)
+    monkeypatch.setattr(matching, "GROUP", group)
+    got = sorted(map(tuple, matching.close_pairs(df, window, degrees).collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) and (got or not degrees)
+
+
+def test_rows_of_one_time_are_not_all_paired(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("gps"), F.degrees(F.acos(F.rand(1) * 2 - 1)).alias("theta"), (F.rand(2) * 360).alias("phi"))
+    looked = matching.close_groups(df, 10.0, 20.0).agg(F.sum(F.size("a").cast("long") * F.size("b"))).first()[0]
+    pairs = matching.close_pairs(df, 10.0, 20.0).count()
+    assert 100_000 < pairs < looked < 1_200_000  # of 9,000,000 of a cell of time
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_ranks_with_and_without_a_broadcast(frame, monkeypatch, few):
     assert ranks.FEW == 10_000
