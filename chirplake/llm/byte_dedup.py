@@ -23,7 +23,9 @@ Neighbouring strings mostly share their key; a run of them is a segment.
    entry per batch and string.
 4. The marks meet the documents, and the marked bytes go.
 
-The documents are dealt by doc_id once; all later steps read that exchange.
+Steps 1 and 2 end in a table, and so does step 3: what each has shuffled goes with
+its end.  The documents are dealt by doc_id for step 3 and again for step 4, so
+that their texts and the segments' bytes do not lie on disk together to the end.
 
 Defined cases: null text is empty; a text shorter than ``length`` loses
 nothing; equal rows of one doc_id do not count as repeats of each other, and
@@ -449,13 +451,14 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> Data
     rows = id_and_text(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    dealt = rows.where("doc_id is not null").repartition(n, "doc_id")  # both joins below read this one exchange
+    dealt = rows.where("doc_id is not null").repartition(n, "doc_id")
     entries = rows.mapInArrow(_entries(n * PARTS, length), "part int, entries binary, docs binary, doc_id long, marks binary")
     first = entries.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_resolve(length), "doc_id long, marks binary, asked binary")
     first = scratch.write(first, "first")
     asked = first.where("asked is not null").groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
     fetched = dealt.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "key long, doc_id long, start long, n int, bytes binary, marks binary")
     second = fetched.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id long, marks binary")
+    second = scratch.write(second, "second")  # the dealt texts and the fetched bytes go before the texts are dealt again
     marks = first.where("marks is not null").select("doc_id", "marks").union(second).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
     marked = dealt.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
     free = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
