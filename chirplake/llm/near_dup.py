@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as T
-from .components import components
+from .components import components, forest
 from .shared import Scratch, id_and_text
 
 PERMS, ROWS = 70, 5
@@ -113,23 +113,6 @@ def _sign(k: int):
     return run
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels of n nodes joined by edges (a, b): the smallest number of each component."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-    return label
-
-
 def _probable(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, part): links of each group's likely forest."""
 
@@ -311,7 +294,8 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     links = scratch.write(_met(texts, _blocks(sized), k, percent), "links-first")
     large = sized.join(_many(sized).where("blocks > 1").select("cluster"), "cluster", "left_semi")
     if not large.isEmpty():
-        links = links.union(_met(texts, _apart(large, components(links, scratch, "first")), k, percent))
+        first = components(links, scratch, "first")
+        links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_met(texts, _apart(large, first), k, percent))
     # a repeated id joins the classes of all its texts
     several = full.join(kinds.select(*same, "rep"), [*same]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     again = several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
