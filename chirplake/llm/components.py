@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, lean
 
 HUBS = 4096
 #: Edges that a task joins at once, and edges a task of a round.
@@ -47,6 +47,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+@lean
 def _joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (u, v) of a task, some at a time, as links of each node to the smallest that they join it to."""
     held, many = [], 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textbytes as T
-from .shared import Scratch, bounded_batches, id_and_text
+from .shared import Scratch, bounded_batches, id_and_text, lean
 
 SPAN, K = 10, 5
 SLICE_BYTES = 16 << 20
@@ -254,7 +254,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, slice_bytes: int, step: Calla
     for i, part in enumerate(parts):
         last = i == len(parts) - 1
         held = spark.sparkContext.broadcast(part.toArrow())  # about slice_bytes
-        out = out.mapInArrow(step(held, last), schema(last))
+        out = out.mapInArrow(lean(step(held, last)), schema(last))
         if not last:
             out = scratch.write(out, f"pass-{i}")
             held.destroy()

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as T
 from .components import components, forest
-from .shared import Scratch, id_and_text
+from .shared import Scratch, id_and_text, lean
 
 PERMS, ROWS = 70, 5
 BANDS = 2 * PERMS // ROWS
@@ -81,6 +81,7 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, a: int, b: int, k: int) -> t
 
 
 def _sign(k: int):
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             raw, offs = T.flat(batch.column("text"))
@@ -113,6 +114,7 @@ def _sign(k: int):
     return run
 
 
+@lean
 def _probable(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, part): links of each group's likely forest."""
 
@@ -199,6 +201,7 @@ class _Cluster:
 def _confirm(k: int, percent: int):
     """Rows sorted by (cluster, part), each with a text: confirmed links."""
 
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, docs, sets = None, [], []
 
@@ -285,8 +288,10 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     large = shared.where(F.col("members") > BUCKET).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     small = shared.where(F.col("members") <= BUCKET).select("bucket", "rep").join(reps.select("rep", "n", "sketch"), "rep")
     likely = small.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_probable, "a long, b long")
-    clusters = components(likely.union(large), scratch, "likely").withColumnRenamed("label", "cluster")
-    scratch.drop("buckets")
+    # links are written before they are joined: two Python steps in one stage take two workers a core, and all of them stay
+    likely = scratch.write(likely.union(large), "likely-links")
+    clusters = components(likely, scratch, "likely").withColumnRenamed("label", "cluster")
+    scratch.drop("buckets", "likely-links")
     sized = scratch.write(clusters.join(reps.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node"), "clusters")
     # the clusters' texts are taken out once; all that follows moves only these
     texts = rows.where("doc_id is not null").join(sized.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
@@ -295,12 +300,13 @@ def classes(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80) ->
     large = sized.join(_many(sized).where("blocks > 1").select("cluster"), "cluster", "left_semi")
     if not large.isEmpty():
         first = components(links, scratch, "first")
-        links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_met(texts, _apart(large, first), k, percent))
+        second = scratch.write(_met(texts, _apart(large, first), k, percent), "links-second")
+        links = first.select(F.col("node").alias("a"), F.col("label").alias("b")).union(second)
     # a repeated id joins the classes of all its texts
     several = full.join(kinds.select(*same, "rep"), [*same]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1")
     again = several.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
     labels = components(links.union(again), scratch, "links")
-    scratch.drop("reps", "clusters", "texts", "links-first")
+    scratch.drop("reps", "clusters", "texts", "links-first", "links-second")
     named = kinds.join(labels, kinds["rep"] == labels["node"], "left").select(*same, F.coalesce("label", "rep").alias("component"), "copies")
     out = signed.select("doc_id", *same).join(named, [*same], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

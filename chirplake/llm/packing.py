@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .encoding import Encoder, batches
-from .shared import id_and_text
+from .shared import id_and_text, lean
 
 SIZE = 2048
 #: In ids of padding: a cut at the end of a sentence, inside a sentence, and a window of a smaller power of two.
@@ -117,6 +117,7 @@ def tail_cost(n: int) -> int:
 
 
 def _pack(path: str, size: int, end_id: int, stops: tuple[str, ...]):
+    @lean
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, spaced=False)
         marks = [encoder.model.token_to_id(x) for x in stops]
