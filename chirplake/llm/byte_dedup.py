@@ -24,8 +24,12 @@ Neighbouring strings mostly share their key; a run of them is a segment.
 4. The marks meet the documents, and the marked bytes go.
 
 Steps 1 and 2 end in a table, and so does step 3: what each has shuffled goes with
-its end.  The documents are dealt by doc_id for step 3 and again for step 4, so
-that their texts and the segments' bytes do not lie on disk together to the end.
+its end.  The documents are dealt for step 3 and again for step 4, so that their
+texts and the segments' bytes do not lie on disk together to the end.
+
+Documents are dealt in buckets of their doc_id.  Marks and requests for bytes are
+records in blobs, a few blobs for a bucket and task, that come to its texts ahead
+of them in one sort: there is no row, and no list of rows, for a mark.
 
 Defined cases: null text is empty; a text shorter than ``length`` loses
 nothing; equal rows of one doc_id do not count as repeats of each other, and
@@ -36,10 +40,12 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +55,14 @@ from .shared import Scratch, id_and_text
 
 GRAM, LENGTH = 16, 50
 #: Starts in one segment at most, starts looked at together, and symbols in one transform.
-RUN, SLICE, BLOCK = 128, 1 << 20, 1 << 19
+RUN, SLICE, BLOCK = 128, 1 << 17, 1 << 19
 #: Bytes of text whose equal segments are looked for before anything is shuffled.
 SHARED = 8 << 20
 #: Different segments of one key from which on it is dealt out by its strings.
 WIDE = 4096
 PARTS = 8
+#: Buckets of documents in a partition, and records that a task holds before it gives them out.
+BUCKETS, HELD = 4, 1 << 20
 ENTRY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("n", "u1"), ("left", "<u2"), ("right", "<u2")])
 #: Sides of a segment: NONE can match nothing, ANY may match everything (the gram that makes the key stands in it several times).
 NONE, ANY = 0, 0xFFFF
@@ -82,7 +90,7 @@ def keys(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]
     return low, h
 
 
-def _sides(h: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _sides(h: np.ndarray, low: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray, total: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Short hashes of the bytes left and right of each segment's gram.
 
     A string of ``length`` bytes with the gram inside reaches at least half of
@@ -92,24 +100,42 @@ def _sides(h: np.ndarray, key: np.ndarray, begin: np.ndarray, size: np.ndarray,
     width = length - GRAM + 1  # starts of strings that hold one gram
     half = (length - GRAM) // 2
     left, right = np.full(len(key), ANY, np.uint16), np.full(len(key), ANY, np.uint16)
-    some = np.flatnonzero(size <= width)  # a longer run holds the gram more than once
-    at = np.arange(2 * width - 1)
-    for i in range(0, len(some), 4096):
-        j = some[i : i + 4096]
-        seen = (h[np.minimum(begin[j, None] + at, len(h) - 1)] == key[j, None]) & (at < (size[j] + width - 1)[:, None])
-        once = seen.sum(1) == 1
-        j = j[once]
-        q = begin[j] + seen[once].argmax(1)
-        reach = q - half >= begin[j]
-        left[j], right[j] = NONE, NONE
-        a, b = j[reach], q[reach]
-        left[a] = _short((total[b] - total[b - half]) * down[b - half])
-        reach = q + GRAM + half <= begin[j] + size[j] - 1 + length
-        a, b = j[reach], q[reach] + GRAM
-        right[a] = _short((total[b + half] - total[b]) * down[b])
+    j = np.flatnonzero(size <= width)  # a longer run holds the gram more than once
+    q, many = _places(h, low, width, begin[j], size[j], key[j])
+    j, q = j[many == 1], q[many == 1]
+    reach = q - half >= begin[j]
+    left[j], right[j] = NONE, NONE
+    a, b = j[reach], q[reach]
+    left[a] = _short((total[b] - total[b - half]) * down[b - half])
+    reach = q + GRAM + half <= begin[j] + size[j] - 1 + length
+    a, b = j[reach], q[reach] + GRAM
+    right[a] = _short((total[b + half] - total[b]) * down[b])
     return left, right
 
 
+def _places(h: np.ndarray, low: np.ndarray, width: int, begin: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last place of each segment's gram, and the number of its places.
+
+    A segment's gram is the smallest of windows of ``width`` grams, so it is looked for only among the grams that are the smallest of one.
+    """
+    have, most = 1, np.concatenate([np.zeros(width - 1, T.U64), low, np.zeros(width - 1, T.U64)])
+    while have < width:
+        step = min(have, width - have)
+        most = np.maximum(most[:-step], most[step:])
+        have += step
+    least = h == most[: len(h)]
+    at, before = np.flatnonzero(least), np.zeros(len(h) + 1, np.int64)
+    np.cumsum(least, out=before[1:])
+    i, stop = before[begin], before[np.minimum(begin + size + width - 1, len(h))]
+    place, many, some = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.arange(len(key))
+    while len(some := some[i[some] < stop[some]]):
+        found = some[h[at[i[some]]] == key[some]]
+        place[found] = at[i[found]]
+        many[found] += 1
+        i[some] += 1
+    return place, many
+
+
 def _short(h: np.ndarray) -> np.ndarray:
     return (T.mix(h) % T.U64(ANY - 1) + T.U64(1)).astype(np.uint16)
 
@@ -147,56 +173,89 @@ def segments(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> Iterato
             total = np.zeros(len(part) + 1, T.U64)
             np.cumsum(T._BYTE[part] * up[: len(part)], out=total[1:])
             h = T.mix((total[begin + size + length - 1] - total[begin]) * down[begin] + size.astype(T.U64))
-            left, right = _sides(grams, k[begin], begin, size, total, down, length)
+            left, right = _sides(grams, k, k[begin], begin, size, total, down, length)
         start = begin + a
         yield k[begin], h, np.searchsorted(ends, start, "right"), start, size, left, right
 
 
-def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals joined where they touch or overlap."""
-    if not len(start):
-        return start, end
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    head = np.ones(len(start), bool)
-    head[1:] = start[1:] > end[:-1]
-    at = np.flatnonzero(head)
-    return start[at], end[np.append(at[1:], len(start)) - 1]
+MARK = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
+REQUEST = np.dtype([("doc", "<i8"), ("key", "<u8"), ("start", "<u4"), ("n", "u1"), ("wide", "u1")])
 
 
-def _by_doc(doc: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Rows in the order of their documents, as one blob per document."""
-    raw, width = rows.tobytes(), rows.dtype.itemsize * (rows.shape[1] if rows.ndim > 1 else 1)
-    first = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else np.zeros(0, np.int64)
-    cut = [*(first * width).tolist(), len(raw)]
-    return doc[first].tolist(), [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    rows = np.empty(len(doc), MARK)
+    rows["doc"], rows["start"], rows["end"] = doc, start, end
+    return rows
+
+
+def joined(marks: np.ndarray) -> np.ndarray:
+    """Marks by document and place, in one where they touch or overlap."""
+    if not len(marks):
+        return marks
+    marks = marks[np.lexsort((marks["start"], marks["doc"]))]
+    head = np.ones(len(marks), bool)
+    head[1:] = marks["doc"][1:] != marks["doc"][:-1]
+    own = np.cumsum(head) << 32  # no mark reaches into the next document
+    end = np.maximum.accumulate(marks["end"] + own)
+    head[1:] |= (marks["start"] + own)[1:] > end[:-1]
+    at = np.flatnonzero(head)
+    out = marks[at]
+    out["end"] = (end - own)[np.append(at[1:], len(marks)) - 1]
+    return out
 
 
-def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Per document, its intervals as one blob."""
-    order = np.argsort(doc, kind="stable")
-    return _by_doc(doc[order], np.stack([start[order], end[order]], 1).astype("<i8"))
+def _blobs(records: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Records by the bucket of their document, as one blob each."""
+    bucket = records["doc"] % buckets
+    order = np.lexsort((records["doc"], bucket))
+    bucket, raw, width = bucket[order], records[order].tobytes(), records.dtype.itemsize
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    cut = [*(first * width).tolist(), len(raw)]
+    return bucket[first].tolist(), [raw[i:j] for i, j in zip(cut, cut[1:], strict=False)]
 
 
-class _Buffer:
-    """Rows gathered into record batches of some size."""
+class _Records:
+    """Records of several kinds, given out as blobs by bucket when there are many."""
 
-    def __init__(self, schema: list[tuple[str, pa.DataType]], size: int = 8192):
-        self.schema, self.size, self.columns = schema, size, [[] for _ in schema]
+    def __init__(self, buckets: int, *names: str):
+        self.buckets, self.names, self.held, self.n = buckets, names, [[] for _ in names], 0
 
-    def add(self, *columns: list) -> Iterator[pa.RecordBatch]:
-        for held, new in zip(self.columns, columns, strict=True):
-            held += new
-        if len(self.columns[0]) >= self.size:
+    def add(self, *records: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for held, new in zip(self.held, records, strict=True):
+            if len(new):
+                held.append(new)
+                self.n += len(new)
+        if self.n >= HELD:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(self.columns, self.schema, strict=True)], names=[n for n, _ in self.schema])
-            self.columns = [[] for _ in self.schema]
+        for name, held in zip(self.names, self.held, strict=True):
+            if held:
+                bucket, blobs = _blobs(np.concatenate(held), self.buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *[pa.array(blobs if name == other else [None] * len(blobs), pa.binary()) for other in self.names]], names=["bucket", *self.names])
+        self.held, self.n = [[] for _ in self.names], 0
 
 
-def _entries(parts: int, length: int):
+def _by_bucket(it: Iterator[pa.RecordBatch], name: str, kind: np.dtype, ready: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Rows by bucket, blobs of records ahead of the texts: a bucket's records with each batch of its texts."""
+    now, held, records = None, [], None
+    for batch in it:
+        bucket = batch.column("bucket").to_numpy()
+        cut = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if bucket[a] != now:
+                now, held, records = bucket[a], [], None
+            blobs = len(part) - part.column(name).null_count
+            held += part.column(name).slice(0, blobs).to_pylist()
+            if blobs < len(part):
+                if records is None:
+                    records = ready(np.frombuffer(b"".join(held), kind))
+                    held = []
+                yield records, part.slice(blobs)
+
+
+def _entries(parts: int, buckets: int, length: int):
     """(doc_id, text) to blobs of entries for each part, and marks of what a smaller document of the batch holds."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,91 +271,80 @@ def _entries(parts: int, length: int):
                     continue
                 key, h, doc, start, size, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
                 start = start - offs[:-1][doc]
-                order = np.argsort(ids[doc], kind="stable") if (np.diff(ids) < 0).any() else slice(None)
-                key, h, doc, start, size, left, right = (x[order] for x in (key, h, doc, start, size, left, right))
-                order = np.argsort(T.mix(key) ^ h, kind="stable")  # equal segments stand together, by document
+                order = np.argsort(T.mix(key) ^ h)  # equal segments stand together
                 key, h, doc, start, size, left, right = (x[order] for x in (key, h, doc, start, size, left, right))
                 head = np.ones(len(key), bool)
                 head[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-                first = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-                repeat = ids[doc] != ids[doc[first]]
-                mark_ids, mark_blobs = _marks(ids[doc[repeat]], start[repeat], start[repeat] + size[repeat] + length - 1)
+                owner = ids[doc]
+                repeat = owner != np.minimum.reduceat(owner, np.flatnonzero(head))[np.cumsum(head) - 1]
+                bucket, marks = _blobs(joined(_marks(owner[repeat], start[repeat], start[repeat] + size[repeat] + length - 1)), buckets)
                 keep = ~repeat
                 key, h, doc, start, size, left, right = (x[keep] for x in (key, h, doc, start, size, left, right))
-                part = (key >> T.U64(32)) % T.U64(parts)
-                order = np.argsort(part, kind="stable")
+                part = ((key >> T.U64(32)) % T.U64(parts)).astype(np.int64)
+                order = np.argsort(part << 16 | doc)
                 entry = np.empty(len(key), ENTRY)
                 entry["key"], entry["low"], entry["high"] = key & T.U64(0xFFFFFFFF), h & T.U64(0xFFFFFFFF), h >> T.U64(32)
-                entry["doc"], entry["start"], entry["n"], entry["left"], entry["right"] = doc, start, size, left, right
+                entry["start"], entry["n"], entry["left"], entry["right"] = start, size, left, right
                 assert not len(start) or start.max() < 1 << 32
-                entry, part = entry[order], part[order]
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                out_part, blobs, docs = [], [], []
-                for p in range(parts):
-                    e = entry[cut[p] : cut[p + 1]]
-                    if len(e):
-                        used, number = np.unique(e["doc"], return_inverse=True)
-                        e["doc"] = number
-                        out_part.append(p)
-                        blobs.append(e.tobytes())
-                        docs.append(ids[used].astype("<i8").tobytes())
-                n, m = len(out_part), len(mark_ids)
-                spread = [i % parts for i in range(m)]
+                entry, part, doc = entry[order], part[order], doc[order]
+                new = np.ones(len(part), bool)  # a part's first entry, or its first one of a document
+                new[1:] = part[1:] != part[:-1]
+                first = np.flatnonzero(new)
+                new[1:] |= doc[1:] != doc[:-1]
+                number = np.cumsum(new) - 1
+                entry["doc"] = number - np.repeat(number[first], np.diff(np.append(first, len(part))))
+                raw, docs = entry.tobytes(), ids[doc[new]].astype("<i8").tobytes()
+                cut, of = np.append(first, len(part)), np.append(number[first], new.sum())
+                blobs = [raw[i:j] for i, j in zip((cut[:-1] * ENTRY.itemsize).tolist(), (cut[1:] * ENTRY.itemsize).tolist(), strict=True)]
+                docs = [docs[i:j] for i, j in zip((of[:-1] * 8).tolist(), (of[1:] * 8).tolist(), strict=True)]
+                n, m = len(blobs), len(marks)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_part + spread, pa.int32()), pa.array(blobs + [None] * m, pa.binary()), pa.array(docs + [None] * m, pa.binary()), pa.array([None] * n + mark_ids, pa.int64()), pa.array([None] * n + mark_blobs, pa.binary())],
-                    names=["part", "entries", "docs", "doc_id", "marks"],
+                    [pa.array(part[first].tolist() + [b % parts for b in bucket], pa.int32()), pa.array(blobs + [None] * m, pa.binary()), pa.array(docs + [None] * m, pa.binary()), pa.array([None] * n + bucket, pa.int32()), pa.array([None] * n + marks, pa.binary())],
+                    names=["part", "entries", "docs", "bucket", "marks"],
                 )
 
     return run
 
 
-REQUEST = np.dtype([("key", "<u8"), ("start", "<i8"), ("n", "<i4"), ("wide", "<i4")])
-
-
-def _resolve(length: int):
+def _resolve(buckets: int, length: int):
     """Rows by part: marks (also those passed through), and requests for the bytes of differing segments."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        out = _Buffer([("doc_id", pa.int64()), ("marks", pa.binary()), ("asked", pa.binary())])
+        out = _Records(buckets, "marks", "asked")
 
-        def close() -> tuple[list, list, list]:
+        def close() -> tuple[np.ndarray, np.ndarray]:
             e = np.concatenate([np.frombuffer(x, ENTRY) for x, _ in held])
             doc = np.concatenate([np.frombuffer(d, "<i8")[np.frombuffer(x, ENTRY)["doc"]] for x, d in held])
             h = e["high"].astype(np.uint64) << np.uint64(32) | e["low"]
-            order = np.argsort(doc, kind="stable")
-            mixed = e["key"].astype(np.uint64) << np.uint64(32) | (h ^ h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-            order = order[np.argsort(mixed[order], kind="stable")]  # by key, equal segments together, by document
+            order = np.argsort(e["key"].astype(np.uint64) << np.uint64(32) | (h ^ h >> np.uint64(16)) & np.uint64(0xFFFFFFFF))  # by key, equal segments together
             e, doc, h = e[order], doc[order], h[order]
-            n = len(e)
-            new_key, new_seg = np.ones(n, bool), np.ones(n, bool)
+            new_key, new_seg = np.ones(len(e), bool), np.ones(len(e), bool)
             new_key[1:] = e["key"][1:] != e["key"][:-1]
             new_seg[1:] = new_key[1:] | (h[1:] != h[:-1])
-            first = np.maximum.accumulate(np.where(new_seg, np.arange(n), 0))
-            repeat = doc != doc[first]
-            start, end = e["start"].astype(np.int64), e["start"].astype(np.int64) + e["n"] + length - 1
-            ids, marks = _marks(doc[repeat], start[repeat], end[repeat])
-            group = np.cumsum(new_key) - 1
-            heads = np.flatnonzero(new_key)
-            least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
-            # of the key's different segments, those that agree with another on a side
-            kind = np.flatnonzero(new_seg)
-            of = group[kind]
-            wanted = np.bincount(of, weights=e["left"][kind] == ANY, minlength=len(heads))[of] > 0
+            seg = np.cumsum(new_seg) - 1
+            kind, heads = np.flatnonzero(new_seg), np.flatnonzero(new_key)
+            repeat = doc != np.minimum.reduceat(doc, kind)[seg]
+            start, size = e["start"].astype(np.int64), e["n"].astype(np.int64)
+            marks = _marks(doc[repeat], start[repeat], (start + size)[repeat] + length - 1)
+            # of a key's different segments, those that agree with another on a side
+            of = (np.cumsum(new_key) - 1)[kind]
+            mixed = (np.bincount(of) > 1) & (np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads))
+            some = np.flatnonzero(mixed[of])
+            of, some_kind = of[some], kind[some]
+            wanted = np.bincount(of, weights=e["left"][some_kind] == ANY, minlength=len(heads))[of] > 0
             for side in ("left", "right"):
-                value = e[side][kind].astype(np.int64)
+                value = e[side][some_kind].astype(np.int64)
                 _, which, many = np.unique(of << 16 | value, return_inverse=True, return_counts=True)
                 wanted |= (many[which] > 1) & (value != NONE)
-            wanted &= (least < most)[of]
-            kinds = np.bincount(of, weights=wanted, minlength=len(heads))
-            ask = (wanted & (kinds > 1)[of])[np.cumsum(new_seg) - 1] & ~repeat
+            kinds = np.bincount(of, weights=wanted, minlength=len(heads))[of]
+            wide = np.full(len(kind), -1)  # of a segment: -1 where it isn't asked for
+            wide[some] = np.where(wanted & (kinds > 1), kinds > WIDE, -1)
+            ask = (wide[seg] >= 0) & ~repeat
             r = np.empty(int(ask.sum()), REQUEST)
-            r["key"] = np.uint64(now) << np.uint64(32) | e["key"][ask]
-            r["start"], r["n"], r["wide"] = start[ask], e["n"][ask], (kinds > WIDE)[group[ask]]
-            by = np.argsort(doc[ask], kind="stable")
-            r, who = r[by], doc[ask][by]
-            ids2, asked = _by_doc(who, r)
-            return ids + ids2, marks + [None] * len(ids2), [None] * len(ids) + asked
+            r["doc"], r["key"] = doc[ask], np.uint64(now) << np.uint64(32) | e["key"][ask]
+            r["start"], r["n"], r["wide"] = start[ask], size[ask], wide[seg[ask]]
+            return marks, r
 
         for batch in it:
             for row in batch.to_pylist():
@@ -305,7 +353,7 @@ def _resolve(length: int):
                         yield from out.add(*close())
                     now, held = row["part"], []
                 if row["entries"] is None:
-                    yield from out.add([row["doc_id"]], [row["marks"]], [None])
+                    yield from out.add(np.frombuffer(row["marks"], MARK), np.zeros(0, REQUEST))
                 else:
                     held.append((row["entries"], row["docs"]))
         if held:
@@ -315,56 +363,53 @@ def _resolve(length: int):
     return run
 
 
-def _fetch(length: int):
-    """(doc_id, text, asked) to rows (key, doc_id, start, n, bytes); of wide keys one row per string, and marks for those that a smaller document of the batch has."""
+def _fetch(buckets: int, length: int):
+    """Texts by bucket and what is asked of them to rows (key, doc_id, start, n, bytes); of wide keys one row per string, and marks for those that a smaller document of the batch has."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            _, edges = T.flat(whole.column("text"))
-            for lo, hi in T.chunks(edges, SHARED):
-                yield from chunk(whole.slice(lo, hi - lo))
+        for asked, whole in _by_bucket(it, "asked", REQUEST, lambda r: r[np.argsort(r["doc"])]):
+            if len(asked):
+                _, edges = T.flat(whole.column("text"))
+                for lo, hi in T.chunks(edges, SHARED):
+                    yield from chunk(asked, whole.slice(lo, hi - lo))
 
-    def chunk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def rows(key: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+        nulls = pa.nulls(len(key), pa.int32()), pa.nulls(len(key), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint64).view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), text, *nulls], names=["key", "doc_id", "start", "n", "bytes", "bucket", "marks"])
+
+    def chunk(asked: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, offs = T.flat(batch.column("text"))
+        ids = batch.column("doc_id").to_numpy()
+        lo, hi = np.searchsorted(asked["doc"], ids, "left"), np.searchsorted(asked["doc"], ids, "right")
+        row, r = np.repeat(np.arange(len(ids)), hi - lo), asked[T.ranges(lo, hi - lo)]
+        size = r["n"].astype(np.int64) + length - 1
+        at = offs[row] + r["start"]
+        fits = at + size <= offs[row + 1]  # else another row of the same doc_id has this segment
+        r, at, size = r[fits], at[fits], size[fits]
+        some = r["wide"] == 0
+        narrow, place = r[some], at[some]
+        edges = np.append(0, np.cumsum(size[some]))
+        for i, j in T.chunks(edges, SLICE):
+            text = raw[T.ranges(place[i:j], np.diff(edges[i : j + 1]))]
+            yield rows(narrow["key"][i:j], narrow["doc"][i:j], narrow["start"][i:j], narrow["n"][i:j], pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((edges[i : j + 1] - edges[i]).astype(np.int32)), pa.py_buffer(text)]))
+        if some.all():
+            return
         data = raw.tobytes()
-        key, doc, start, count, text = [], [], [], [], []
         wide: dict[bytes, list[tuple[int, int]]] = {}
-        for i, (d, asked) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-            base, stop = int(offs[i]), int(offs[i + 1])
-            for blob in asked:
-                for k, s, n, many in np.frombuffer(blob, REQUEST).tolist():
-                    if base + s + n + length - 1 > stop:
-                        continue  # another row of the same doc_id has this segment
-                    if many:
-                        for j in range(s, s + n):
-                            wide.setdefault(data[base + j : base + j + length], []).append((d, j))
-                    else:
-                        key.append(k)
-                        doc.append(d)
-                        start.append(s)
-                        count.append(n)
-                        text.append(data[base + s : base + s + n + length - 1])
-        m_doc, m_at = [], []
+        for d, s, n, p in zip(*(r[c][~some].tolist() for c in ("doc", "start", "n")), at[~some].tolist(), strict=True):
+            for j in range(n):
+                wide.setdefault(data[p + j : p + j + length], []).append((d, s + j))
+        first, repeats = [], []
         for string, places in wide.items():
             least = min(d for d, _ in places)
-            for d, j in places:
-                if d == least:
-                    key.append(int.from_bytes(hashlib.blake2b(string, digest_size=8).digest()))
-                    doc.append(d)
-                    start.append(j)
-                    count.append(1)
-                    text.append(string)
-                else:
-                    m_doc.append(d)
-                    m_at.append(j)
-        at = np.array(m_at, np.int64)
-        ids, marks = _marks(np.array(m_doc, np.int64), at, at + length)
-        n, m = len(key), len(ids)
-        signed = np.array(key, np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(signed, np.array(ids, np.int64)), pa.int64()), pa.array(doc + ids, pa.int64()), pa.array(start + [None] * m, pa.int64()), pa.array(count + [None] * m, pa.int32()), pa.array(text + [None] * m, pa.binary()), pa.array([None] * n + marks, pa.binary())],
-            names=["key", "doc_id", "start", "n", "bytes", "marks"],
-        )
+            first += [(string, d, j) for d, j in places if d == least]
+            repeats += [(d, j) for d, j in places if d != least]
+        key = np.array([int.from_bytes(hashlib.blake2b(string, digest_size=8).digest()) for string, _, _ in first], np.uint64)
+        yield rows(key, np.array([d for _, d, _ in first]), np.array([j for _, _, j in first]), np.ones(len(first)), pa.array([string for string, _, _ in first], pa.binary()))
+        doc, start = np.array(repeats, np.int64).reshape(-1, 2).T
+        bucket, marks = _blobs(joined(_marks(doc, start, start + length)), buckets)
+        none = [pa.nulls(len(bucket), kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), *none, pa.array(bucket, pa.int32()), pa.array(marks, pa.binary())], names=["key", "doc_id", "start", "n", "bytes", "bucket", "marks"])
 
     return run
 
@@ -387,34 +432,43 @@ def repeated(contexts: list[bytes], doc: np.ndarray, n: np.ndarray, length: int
     return owner[again], (order - first[owner])[again]
 
 
-def _compare(length: int):
+def _compare(buckets: int, length: int):
     """Rows sorted by key: marks of strings that a smaller document holds."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, doc, start, n, size, last = [], [], [], [], 0, None
-        out = _Buffer([("doc_id", pa.int64()), ("marks", pa.binary())])
+        held, size, last = [], 0, None
+        out = _Records(buckets, "marks")
 
-        def close() -> tuple[list, list]:
-            owner, at = repeated(text, np.array(doc), np.array(n), length)
-            begin = np.array(start)[owner] + at
-            return _marks(np.array(doc)[owner], begin, begin + length)
+        def close() -> np.ndarray:
+            rows = pa.Table.from_batches(held)
+            doc, start, n = (rows.column(c).to_numpy() for c in ("doc_id", "start", "n"))
+            owner, at = repeated(rows.column("bytes").to_pylist(), doc, n, length)
+            begin = start[owner] + at
+            return joined(_marks(doc[owner], begin, begin + length))
 
         for batch in it:
-            for row in batch.to_pylist():
-                if row["bytes"] is None:
-                    yield from out.add([row["doc_id"]], [row["marks"]])
-                    continue
-                if size >= BLOCK and row["key"] != last:
-                    yield from out.add(*close())
-                    text, doc, start, n, size = [], [], [], [], 0
-                last = row["key"]
-                text.append(row["bytes"])
-                doc.append(row["doc_id"])
-                start.append(row["start"])
-                n.append(row["n"])
-                size += len(row["bytes"])
-        if text:
-            yield from out.add(*close())
+            passed = batch.column("bytes").is_null()
+            for marks in batch.column("marks").filter(passed).to_pylist():
+                yield from out.add(np.frombuffer(marks, MARK))
+            batch = batch.filter(batch.column("bytes").is_valid())
+            if not len(batch):
+                continue
+            key, edges = batch.column("key").to_numpy(), np.append(0, np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy()))
+            cuts, a = np.flatnonzero(np.diff(key)) + 1, 0
+            if key[0] != last:
+                cuts = np.append(0, cuts)
+            while True:  # a block ends with the first key at its size
+                i = int(np.searchsorted(edges[cuts], edges[a] + BLOCK - size))
+                b = int(cuts[i]) if i < len(cuts) else len(key)
+                held.append(batch.slice(a, b - a))
+                size += int(edges[b] - edges[a])
+                if i == len(cuts):
+                    break
+                yield from out.add(close())
+                held, size, a, cuts = [], 0, b, cuts[i + 1 :]
+            last = key[-1]
+        if held:
+            yield from out.add(close())
         yield from out.flush()
 
     return run
@@ -424,24 +478,31 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for marks, batch in _by_bucket(it, "marks", MARK, joined):
         raw, offs = T.flat(batch.column("text"))
         data = memoryview(raw.tobytes())
+        ids = batch.column("doc_id")
+        known = ids.fill_null(0).to_numpy()
+        lo, hi = (np.where(ids.is_valid(), np.searchsorted(marks["doc"], known, side), 0).tolist() for side in ("left", "right"))
         rows = []
-        for i, marks in enumerate(batch.column("marks").to_pylist()):
+        for i, (a, b) in enumerate(zip(lo, hi, strict=True)):
             own = data[offs[i] : offs[i + 1]]
             sha, at, spans = hashlib.sha256(), 0, []
-            if marks:
-                both = np.concatenate([np.frombuffer(m, "<i8").reshape(-1, 2) for m in marks])
-                s, e = joined(both[:, 0], np.minimum(both[:, 1], len(own)))
-                for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                    sha.update(own[at:a])
-                    at = b
-                    spans += [a, b]
+            if b > a:  # of rows of one doc_id, one may end before a mark
+                for s, e in np.minimum(np.stack([marks["start"][a:b], marks["end"][a:b]], 1), len(own)).tolist():
+                    if s < e:
+                        sha.update(own[at:s])
+                        at = e
+                        spans += [s, e]
             sha.update(own[at:])
             rows.append((len(own), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, sha.hexdigest(), spans))
-        n, gone, count, sha, spans = zip(*rows, strict=True) if rows else ([],) * 5
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+        n, gone, count, sha, spans = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+
+
+def _prime(n: int) -> int:
+    """The first prime from n on."""
+    return next(p for p in range(n, 2 * n) if all(p % i for i in range(2, math.isqrt(p) + 1)))
 
 
 def cut_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
@@ -451,15 +512,17 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> Data
     rows = id_and_text(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
-    dealt = rows.where("doc_id is not null").repartition(n, "doc_id")
-    entries = rows.mapInArrow(_entries(n * PARTS, length), "part int, entries binary, docs binary, doc_id long, marks binary")
-    first = entries.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_resolve(length), "doc_id long, marks binary, asked binary")
+    buckets = _prime(BUCKETS * n + 1)  # doc_ids may be the multiples of a number; few have this one
+
+    def dealt(name: str, blobs: DataFrame) -> DataFrame:
+        texts = rows.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int"))
+        both = texts.unionByName(blobs.where(f"{name} is not null").select("bucket", name), allowMissingColumns=True)
+        return both.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket", F.col(name).isNull())
+
+    entries = rows.mapInArrow(_entries(n * PARTS, buckets, length), "part int, entries binary, docs binary, bucket int, marks binary")
+    first = entries.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_resolve(buckets, length), "bucket int, marks binary, asked binary")
     first = scratch.write(first, "first")
-    asked = first.where("asked is not null").groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
-    fetched = dealt.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "key long, doc_id long, start long, n int, bytes binary, marks binary")
-    second = fetched.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc_id long, marks binary")
+    fetched = dealt("asked", first).where("doc_id is not null or asked is not null").mapInArrow(_fetch(buckets, length), "key long, doc_id long, start long, n int, bytes binary, bucket int, marks binary")
+    second = fetched.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(buckets, length), "bucket int, marks binary")
     second = scratch.write(second, "second")  # the dealt texts and the fetched bytes go before the texts are dealt again
-    marks = first.where("marks is not null").select("doc_id", "marks").union(second).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    marked = dealt.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    free = rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
-    return marked.unionByName(free).mapInArrow(_cut, SCHEMA)
+    return dealt("marks", first.select("bucket", "marks").unionByName(second)).mapInArrow(_cut, SCHEMA)
