@@ -93,6 +93,22 @@ def test_rows_of_one_time_are_not_all_paired(spark):
     assert 100_000 < pairs < looked < 1_200_000  # of 9,000,000 of a cell of time
 
 
+def test_rows_alike_are_paired_as_one_kind(spark):
+    df = spark.range(1800).select("id", (F.col("id") % 3).cast("double").alias("gps"), (F.col("id") % 9 * 21).cast("double").alias("theta"), F.lit(0.0).alias("phi"))
+    groups = matching.close_groups(df, 10.0, 20.0)
+    assert groups.agg(F.sum(F.size("a").cast("long") * F.size("b"))).first()[0] < 1000  # pairs of rows: 360,000
+    assert groups.agg(F.max(F.aggregate("a", F.lit(0), lambda n, kind: n + F.size(kind["ids"])))).first()[0] <= matching.GROUP
+    rows, found = df.collect(), matching.close_pairs(df, 10.0, 20.0)
+    near = lambda a, b: a["theta"] == b["theta"] and (a["gps"], a["id"]) < (b["gps"], b["id"])
+    assert sorted((r["id_a"], r["id_b"]) for r in found.collect()) == sorted((a["id"], b["id"]) for a in rows for b in rows if near(a, b))
+
+
+def test_pairs_have_tasks_by_their_rows(spark, monkeypatch):
+    df = spark.range(900).select("id", F.col("id").cast("double").alias("gps"), F.lit(0.0).alias("theta"), F.lit(0.0).alias("phi"))
+    monkeypatch.setattr(matching, "SHARE", 100, raising=False)
+    assert "hashpartitioning(_cell" in (text := plan(matching.close_groups(df, 10.0, 20.0))) and ", 18), REPARTITION_BY_NUM" in text
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_ranks_with_and_without_a_broadcast(frame, monkeypatch, few):
     assert ranks.FEW == 10_000
